@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.llm import oracles
 from lanewise.llm._tables import table
@@ -14,10 +15,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.decontamination import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.concat_ws(",", F.array_sort(c))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("named")).alias("base_labels"), joined(F.array_union("named", "noticed")).alias("labels"), "score")
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op4_mixing": op4_mixing,
 }
 
 ORACLES = {
+    "op2_decontamination": oracles.DECONTAMINATION,
     "op4_mixing": oracles.MIXING,
 }

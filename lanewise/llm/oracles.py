@@ -45,3 +45,34 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, sum(taken)::BIGINT AS taken
 FROM cut GROUP BY id, doc_id, size, source_size, target
 """
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+        FROM (SELECT *, least(8, len(w)) AS n FROM i WHERE len(w) > 0))
+), dw AS (
+  SELECT id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT d.id, d.w, k.n, unnest(range(1, len(d.w) - k.n + 2)) AS p
+        FROM d, (SELECT DISTINCT n FROM iw) k WHERE len(d.w) >= k.n)
+), hit AS (SELECT DISTINCT dw.id, dw.p, dw.n, iw.item_id FROM dw JOIN iw USING (n, g)),
+words AS (
+  SELECT id, count(DISTINCT q) AS n_hit
+  FROM (SELECT id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT id, p, n FROM hit)) GROUP BY id
+), items AS (
+  SELECT id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s
+  FROM hit GROUP BY id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words USING (id) LEFT JOIN items USING (id)
+"""
