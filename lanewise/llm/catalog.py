@@ -22,6 +22,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.secret_scan import listed, scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id", *[count(k) for k in ("assign", "access", "hex")], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), "score"
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.license_scan import scan_licenses
 
@@ -30,13 +40,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("named")).alias("base_labels"), joined(F.array_union("named", "noticed")).alias("labels"), "score")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
+    "op10_jaccard_join": op10_jaccard_join,
     "op4_mixing": op4_mixing,
 }
 
 ORACLES = {
+    "op10_jaccard_join": oracles.JACCARD,
     "op2_decontamination": oracles.DECONTAMINATION,
     "op4_mixing": oracles.MIXING,
 }
