@@ -22,6 +22,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.substring_dedup import cut_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.secret_scan import listed, scan_secrets
 
@@ -48,6 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
@@ -55,6 +63,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_substring_dedup": oracles.SUBSTRINGS,
     "op10_jaccard_join": oracles.JACCARD,
     "op2_decontamination": oracles.DECONTAMINATION,
     "op4_mixing": oracles.MIXING,

@@ -100,3 +100,21 @@ links AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
 """
+
+SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT doc_id, p, hash(array_to_string(w[p:p + 12], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)
+), least AS (SELECT h, min(doc_id) AS m FROM g GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN least USING (h) WHERE doc_id > m),
+gone_of AS (SELECT doc_id, list(q) AS qs, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS s
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) ANTI JOIN gone USING (doc_id, q)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN gone_of USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
