@@ -65,6 +65,22 @@ def set_hash(s: np.ndarray, salt: int) -> int:
         return int(W.mix64(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s)))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bit for each place that an odd number of shingles falls on; as many places as shingles at
+    least. Sets differ in at least as many shingles as their signatures do in bits."""
+    places = 64 << max(0, (len(s) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits by which two signatures differ, the longer folded to the length of the shorter."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 _SALTS = (0x51ED270B9F4D3C21, 0x1F83D9ABFB41BD6B)
 
 
@@ -76,27 +92,28 @@ def _describe(gram: int):
     """A row for each text; after a partition's last, rows of slots that are common in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, slots, total = None, np.zeros(SLOTS, np.int64), 0
+        kind, slots, names = None, np.zeros(SLOTS, np.int64), ["doc_id", "n", "set", "set2", "bits", "slot", "times"]
         for batch in batches:
             kind = batch.column("doc_id").type
             n, one, two, seen = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), []
+            marks: list[bytes | None] = [None] * batch.num_rows
             for block in W.blocks(batch.column("text"), W.SPACED_LOWER):
                 for row, s in enumerate(shingle_sets(block, gram), block.first):
                     n[row], one[row], two[row] = len(s), set_hash(s, _SALTS[0]), set_hash(s, _SALTS[1])
+                    marks[row] = signature(s) if len(s) else None
                     seen.append(_slot(s))
                 if sum(map(len, seen)) > SLOTS:
                     slots += np.bincount(np.concatenate(seen), minlength=SLOTS)
                     seen = []
             if seen:
                 slots += np.bincount(np.concatenate(seen), minlength=SLOTS)
-            total += batch.num_rows
             nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(W.signed(one)), pa.array(W.signed(two)), nothing, nothing], names=["doc_id", "n", "set", "set2", "slot", "times"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(W.signed(one)), pa.array(W.signed(two)), pa.array(marks, pa.binary()), nothing, nothing], names=names)
         mean = slots.mean()
         common = np.flatnonzero(slots > mean + 8 * np.sqrt(mean) + 8)
         if kind is not None and len(common):
             nothing = pa.nulls(len(common), pa.int64())
-            yield pa.record_batch([pa.nulls(len(common), kind), nothing, nothing, nothing, pa.array(common), pa.array(slots[common])], names=["doc_id", "n", "set", "set2", "slot", "times"])
+            yield pa.record_batch([pa.nulls(len(common), kind), nothing, nothing, nothing, pa.nulls(len(common), pa.binary()), pa.array(common), pa.array(slots[common])], names=names)
 
     return run
 
@@ -260,10 +277,27 @@ def _verify(shape: Shape):
     return run
 
 
-def _linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
-    """(x, y): pairs of representatives whose texts link, by exact intersection of sorted sets."""
-    first, second = sets.select(F.col("set").alias("a"), F.col("doc_id").alias("x")), sets.select(F.col("set").alias("b"), F.col("doc_id").alias("y"))
-    pairs = cut(pairs.distinct().join(first, "a").join(second, "b").select("x", "y").filter("x <> y"))
+def _close(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("x_n").to_numpy(), batch.column("y_n").to_numpy()
+            most = n + m - 2 * shape.overlap(n, m)
+            apart = [bits_apart(x, y) for x, y in zip(batch.column("x_bits").to_pylist(), batch.column("y_bits").to_pylist())]
+            yield batch.select(["x", "y"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return run
+
+
+def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
+    """(x, y), x > y: representatives of pairs of sets whose whole signatures allow a link."""
+    first, second = (sets.select(F.col("set").alias(a), F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for a, x in (("a", "x"), ("b", "y")))
+    met = pairs.distinct().join(first, "a").join(second, "b").filter("x <> y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits")
+    close = met.mapInArrow(_close(shape), "x bigint, y bigint")
+    return cut(close.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+
+
+def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs whose texts link, by exact intersection of sorted sets."""
     slot = F.xxhash64("doc_id").bitwiseAND(SIEVE_BITS - 1)
     bits = np.zeros(SIEVE_BITS, bool)
     for row in pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).select(slot.alias("slot")).distinct().toLocalIterator():
@@ -282,10 +316,12 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     Equal sets count once. Of each set the rarest shingles are tokens, so many that two sets that
     link share one; "rare" is by counts of all documents in fixed slots. A tile holds the sets of a
     token (of a common token: those of a size band and its neighbour). In a tile, sizes, the
-    token's places and the bits by which two signatures differ bound the overlap from above. Pairs
-    that remain are decided by intersecting their sorted sets. Large tiles first offer each set one
-    pair; only sets that are then in different components are paired with all others, so that a
-    large group of near copies never makes all its pairs, and no link between components is lost.
+    token's places and the bits by which two signatures differ bound the overlap from above: 128
+    bits in the tile, then as many as a set has shingles. Pairs that remain are decided by
+    intersecting their sorted sets, for each set first the pair with its least partner. Large tiles
+    first offer each set one pair; only sets that are then in different components are paired with
+    all others, so that a large group of near copies never makes all its pairs, and no link between
+    components is lost.
 
     A null, empty or blank text has no shingles and links with nothing. Rows that share a doc_id
     are one document in links. A row without doc_id takes the component of its equal texts, null if
@@ -294,9 +330,9 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     doc_id, text = columns
     shape = Shape(gram, percent)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = cut(docs.mapInArrow(_describe(gram), "doc_id bigint, n bigint, set bigint, set2 bigint, slot bigint, times bigint"))
-    rows = described.filter("slot is null").select("doc_id", "n", "set", "set2")
-    sets = cut(rows.filter("n > 0").groupBy("n", "set", "set2").agg(F.min("doc_id").alias("doc_id")))
+    described = cut(docs.mapInArrow(_describe(gram), "doc_id bigint, n bigint, set bigint, set2 bigint, bits binary, slot bigint, times bigint"))
+    rows = described.filter("slot is null").select("doc_id", "n", "set", "set2", "bits")
+    sets = cut(rows.filter("n > 0").groupBy("n", "set", "set2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
 
     ranks = np.zeros(SLOTS, np.uint16)
     common = described.filter("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "slot").limit(COMMON).collect()
@@ -306,18 +342,24 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     buckets = max(16, int(entries * ENTRY.itemsize / BUCKET_BYTES))
     found = docs.select("text").mapInArrow(_entries(shape, ranks, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_tiles(shape), "a bigint, b bigint, tile bigint, entry binary")
     found = cut(found)
-    links = _linked(docs, sets, found.filter("tile is null").select("a", "b"), shape)
+    close = _candidates(sets, found.filter("tile is null").select("a", "b"), shape)
+    links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
     known = cut(components(links))
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        both = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+        return both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
+
     large = found.filter("tile is not null").select(F.col("tile").alias("id"), F.col("a").alias("set"), "entry")
     named = sets.join(known, sets["doc_id"] == known["node"], "left").groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
     split = large.join(named, "set")
     several = split.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("id")
     more = split.join(several, "id").groupBy("id").applyInArrow(_rest(shape), "a bigint, b bigint")
-    more = cut(more)
+    more = cut(apart(close).union(apart(_candidates(sets, more, shape))).distinct())
     if more.take(1):
-        known = components(links.union(_linked(docs, sets, more, shape)))
+        known = components(links.union(_links(docs, more, shape)))
 
-    out = rows.join(sets.withColumnRenamed("doc_id", "first"), ["n", "set", "set2"], "left").join(known, F.col("first") == F.col("node"), "left")
+    out = rows.drop("bits").join(sets.select("n", "set", "set2", F.col("doc_id").alias("first")), ["n", "set", "set2"], "left").join(known, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
