@@ -22,6 +22,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    gone = F.coalesce("dropped", F.array().cast("array<bigint>"))
+    return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.substring_dedup import cut_repeats
 
@@ -55,6 +63,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
