@@ -37,6 +37,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.quality import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_chars", "perplexity", "score", "limit", "keep")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.secret_scan import listed, scan_secrets
 
@@ -65,6 +72,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
