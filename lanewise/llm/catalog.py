@@ -30,6 +30,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.substring_dedup import cut_repeats
 
@@ -71,6 +77,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
