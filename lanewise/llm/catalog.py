@@ -15,6 +15,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewise.llm.decontamination import decontaminate
 
@@ -75,6 +81,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
@@ -87,6 +94,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk_search": oracles.TOP_K,
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op10_jaccard_join": oracles.JACCARD,
     "op2_decontamination": oracles.DECONTAMINATION,
