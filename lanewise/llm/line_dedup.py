@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
@@ -260,9 +261,10 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=[*batch.schema.names, "n_lines"])
 
 
-def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns: tuple[str, str] = ("doc_id", "text"), carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: doc_id, text (without the lines that repeat earlier ones), n_lines
-    (before), dropped (places of the lines that went, from 0, or null).
+    (before), dropped (places of the lines that went, from 0, or null), and the columns ``carry``
+    in a struct named rest (null without any).
 
     Lines are parted by line feeds. Two lines link if they are equal, or if ``percent`` hundredths
     of their distinct runs of ``size`` characters are common. Of each component the first line, by
@@ -280,7 +282,8 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     one is kept in each of them. An empty table gives an empty result. Other columns are ignored.
     """
     doc_id, text = columns
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"))
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), rest.alias("rest"))
     occurrences = named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint")
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
@@ -289,5 +292,5 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     alone = lines.groupBy("part", "part2").agg(F.min("first").alias("stays"), F.sum("n").alias("times")).filter("times > 1").select("part", "part2", "stays")
     repeated = lines.join(alone, ["part", "part2"]).select("line", "line2", "stays")
     gone = occurrences.join(repeated, ["line", "line2"]).filter(F.struct("doc", "at") != F.col("stays")).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    kind = named.schema["doc_id"].dataType.simpleString()
-    return named.join(gone, "doc", "left").select("doc_id", "text", "dropped").mapInArrow(_drop, f"doc_id {kind}, text string, dropped array<bigint>, n_lines bigint")
+    joined = named.join(gone, "doc", "left").select("doc_id", "text", "dropped", "rest")
+    return joined.mapInArrow(_drop, StructType([*joined.schema.fields, StructField("n_lines", LongType())]))
