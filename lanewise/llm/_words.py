@@ -33,6 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * _RADIX)
+_OTHER_VALUES = mix64(np.arange(1001, 1257, dtype=np.uint64) * _RADIX)
 
 
 class WordClass:
@@ -151,6 +152,15 @@ def blocks(column: pa.Array, words: WordClass, limit: int = BLOCK_BYTES) -> Iter
         yield Block(first, buf, text_at, start, end, np.searchsorted(start, text_at), hashes)
 
 
+def second_hashes(block: Block) -> np.ndarray:
+    """Another hash of each word, from byte values of its own."""
+    up, down = _tables(len(block.buf))
+    sums = np.empty(len(block.buf) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_OTHER_VALUES[block.buf] * up[: len(block.buf)], out=sums[1:])
+    return mix64((sums[block.end] - sums[block.start]) * down[block.start] - (block.end - block.start).astype(np.uint64))
+
+
 def gram_hashes(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """The hash of k consecutive words from each word on; shorter by k - 1 than the input."""
     n = len(hashes) - k + 1

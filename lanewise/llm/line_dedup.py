@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
@@ -17,15 +16,18 @@ from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
 SHINGLE, BANDS, ROWS = 8, 12, 4
-#: Bytes of band entries that a bucket holds on average, and lines of a band that are all paired at once.
-BUCKET_BYTES, SMALL = 12 << 20, 16
+#: Bytes of band entries that a bucket holds on average.
+BUCKET_BYTES = 12 << 20
 SIEVE_BITS = 1 << 23
-STEP = 1 << 18
 
 ENTRY = np.dtype([("band", "<u8"), ("line", "<u8")])
 _LAST = (1 << 63) - 1
 _BINS = BANDS * ROWS
-_EMPTY = np.uint64(1 << 63)
+#: Bits of a minimum, and lines of which minima are told apart in 32 bits together with them.
+_MINIMUM, _AT_ONCE = 14, (1 << 18) // _BINS - 1
+_EMPTY = np.uint32(1 << 31)
+#: Words of a signature whose bits are parities of shingles.
+_PARITY = 512
 
 
 class Lines(W.WordClass):
@@ -39,72 +41,77 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def line_blocks(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray, np.ndarray]]:
-    """(block, number of each line in its text, second hash); its "words" are the lines with more than white space."""
+def line_blocks(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray]]:
+    """(block, number of each line in its text); its "words" are the lines with more than white space."""
     for block in W.blocks(column, LINES):
-        ink = np.concatenate([[0], np.cumsum(~_BLANK[block.buf])])
-        feeds = np.concatenate([[0], np.cumsum(block.buf == 0x0A)])
-        number = feeds[block.start] - np.repeat(feeds[block.text_at[:-1]], np.diff(block.word_at))
+        ink = np.concatenate([[0], np.cumsum(~_BLANK[block.buf], dtype=np.int32)])
+        feeds = np.flatnonzero(block.buf == 0x0A)
+        number = np.searchsorted(feeds, block.start) - np.repeat(np.searchsorted(feeds, block.text_at[:-1]), np.diff(block.word_at))
         keep = ink[block.end] > ink[block.start]
         text = block.text_of_word()[keep]
-        second = W.mix64(block.hashes ^ np.uint64(0xA0761D6478BD642F)) + _checks(block)
         block.start, block.end, block.hashes = block.start[keep], block.end[keep], block.hashes[keep]
         block.word_at = np.searchsorted(text, np.arange(len(block) + 1))
-        yield block, number[keep], second[keep]
+        yield block, number[keep]
 
 
-def _checks(block: W.Block) -> np.ndarray:
-    """A hash of each line apart from the first: bytes weighted by squares of their places."""
-    place = np.arange(len(block.buf), dtype=np.uint64)
-    value = W.mix64(block.buf.astype(np.uint64) + np.uint64(77))
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)]) for v in (value, value * place, value * place * place)]
-    s0, s1, s2 = (x[block.end] - x[block.start] for x in sums)
-    at = block.start.astype(np.uint64)
-    return W.mix64(s2 - np.uint64(2) * at * s1 + at * at * s0)
+def _runs(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive codes, by doubling."""
+    h, length, radix = W.mix64(code.astype(np.uint64) + np.uint64(1)), 1, int(W._GRAM)
+    out, done = None, 0
+    while length <= size:
+        if size & length:
+            part = h[done : len(code) - size + 1 + done]
+            out = part.copy() if out is None else out * np.uint64(pow(radix, length, 1 << 64)) + part
+            done += length
+        if 2 * length <= size:
+            h = h[:-length] * np.uint64(pow(radix, length, 1 << 64)) + h[length:]
+        length *= 2
+    return W.mix64(out)
 
 
 def shingle_hashes(line: str, size: int) -> np.ndarray:
     """A hash of each run of ``size`` characters; of a shorter line, one hash."""
-    code = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    return W.gram_hashes(W.mix64(code + np.uint64(1)), min(size, len(code)), seed=min(size, len(code)))
-
-
-def signatures(lines: list[str], size: int) -> np.ndarray:
-    """One-permutation MinHash of each line: the least shingle hash in each of the bins, empty bins
-    filled from others in an order that depends on the bin alone."""
-    codes = [np.frombuffer(x.encode("utf-32-le", "replace"), "<u4") for x in lines]
-    count = np.array([max(1, len(c) - size + 1) for c in codes])
-    code = W.mix64(np.concatenate(codes).astype(np.uint64) + np.uint64(1))
-    at = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-    whole = W.gram_hashes(code, size, seed=size)
-    long_ = np.flatnonzero(np.diff(at) >= size)
-    line = np.repeat(long_, count[long_])
-    h = whole[B.spans_of(at[long_], count[long_])]
-    for i in np.flatnonzero(np.diff(at) < size).tolist():
-        line, h = np.append(line, i), np.append(h, shingle_hashes(lines[i], size))
-    bins = ((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
-    key = np.sort(((line.astype(np.uint64) * np.uint64(_BINS) + bins) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
-    slot = (key >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-    out = np.full(len(lines) * _BINS, _EMPTY)
-    out[slot[first]] = key[first] & np.uint64(0xFFFFFFFF)
-    out = out.reshape(len(lines), _BINS)
+    code = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4")
+    return _runs(code, min(size, len(code))) + np.uint64(min(size, len(code)))
+
+
+def signatures(code: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """One-permutation MinHash of each line [start, end) of the codes: the least shingle hash in each
+    of the bins, empty bins filled from others in an order that depends on the bin alone."""
+    lines = len(start)
+    out = np.full(lines * _BINS, _EMPTY, np.uint32)
+    whole = _runs(code, size) + np.uint64(size) if len(code) >= size else np.zeros(0, np.uint64)
+    for a in range(0, lines, _AT_ONCE):
+        b = min(lines, a + _AT_ONCE)
+        count = np.maximum(end[a:b] - start[a:b] - size + 1, 0)
+        line = np.repeat(np.arange(b - a, dtype=np.uint32), count)
+        h = whole[B.spans_of(start[a:b], count)]
+        short = np.flatnonzero(count == 0)
+        if len(short):
+            each = [int((_runs(code[start[a + i] : end[a + i]], int(end[a + i] - start[a + i])) + np.uint64(end[a + i] - start[a + i]))[0]) for i in short.tolist()]
+            line, h = np.append(line, short.astype(np.uint32)), np.append(h, np.array(each, np.uint64))
+        bins = (((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)).astype(np.uint32)
+        key = np.sort(((line * np.uint32(_BINS) + bins) << np.uint32(_MINIMUM)) | (h & np.uint64((1 << _MINIMUM) - 1)).astype(np.uint32))
+        slot = (key >> np.uint32(_MINIMUM)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        out[a * _BINS + slot[first]] = key[first] & np.uint32((1 << _MINIMUM) - 1)
+    out = out.reshape(lines, _BINS)
     row, col = np.nonzero(out == _EMPTY)
     source, step = out.copy(), 0
     while len(row):
         step += 1
-        other = (W.mix64((col * 4096 + step).astype(np.uint64)) % np.uint64(_BINS)).astype(np.int64) if step < 4096 else (col + step) % _BINS
+        other = (W.mix64(np.arange(_BINS, dtype=np.uint64) * np.uint64(4096) + np.uint64(step)) % np.uint64(_BINS)).astype(np.int64)[col] if step < 4096 else (col + step) % _BINS
         value = source[row, other]
         out[row, col] = value
         row, col = row[value == _EMPTY], col[value == _EMPTY]
-    return out
+    return out.astype(np.uint64)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, number, second in line_blocks(batch.column("text")):
+        for block, number in line_blocks(batch.column("text")):
             row = pa.array(block.first + block.text_of_word())
-            yield pa.record_batch([batch.column("doc").take(row), pa.array(number), pa.array(W.signed(block.hashes)), pa.array(W.signed(second))], names=["doc", "at", "line", "line2"])
+            yield pa.record_batch([batch.column("doc").take(row), pa.array(number), pa.array(W.signed(block.hashes)), pa.array(W.signed(W.second_hashes(block)))], names=["doc", "at", "line", "line2"])
 
 
 def _bands(size: int, buckets: int):
@@ -113,15 +120,16 @@ def _bands(size: int, buckets: int):
         salt = W.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             parts = []
-            for block, _, _ in line_blocks(batch.column("text")):
+            for block, _ in line_blocks(batch.column("text")):
                 _, first = np.unique(block.hashes, return_index=True)
-                first = [i for i, h in zip(first.tolist(), block.hashes[first].tolist()) if h not in done]
-                if not first:
+                first = np.array([i for i, h in zip(first.tolist(), block.hashes[first].tolist()) if h not in done], np.int64)
+                if not len(first):
                     continue
                 names = block.hashes[first]
                 done.update(names.tolist())
-                raw = block.buf.tobytes()
-                sig = signatures([raw[a:b].decode("utf-8", "replace") for a, b in zip(block.start[first].tolist(), block.end[first].tolist())], size)
+                code = np.frombuffer(block.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+                place = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
+                sig = signatures(code, place[block.start[first]], place[block.end[first]], size)
                 e = np.zeros((len(names), BANDS), ENTRY)
                 for b in range(BANDS):
                     total = np.full(len(names), salt[b])
@@ -136,54 +144,19 @@ def _bands(size: int, buckets: int):
     return run
 
 
-def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.concatenate(a or [np.zeros(0, np.uint64)]).view(np.int64), np.concatenate(b or [np.zeros(0, np.uint64)]).view(np.int64)
-    keep = x != y
-    x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[fresh], y[fresh]
-
-
-def _every_pair(line: np.ndarray, start: np.ndarray, end: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs inside the ranges [start, end), or those whose labels differ."""
-    inside = B.spans_of(start, end - start)
-    count = np.repeat(end, end - start) - inside - 1
-    a, b = [], []
-    for i, j in B.chunks(count, STEP):
-        left, right = np.repeat(inside[i:j], count[i:j]), B.spans_of(inside[i:j] + 1, count[i:j])
-        if label is not None:
-            other = label[left] != label[right]
-            left, right = left[other], right[other]
-        a.append(line[left])
-        b.append(line[right])
-        if len(a) > 16:
-            x, y = _unique_pairs(a, b)
-            a, b = [x.view(np.uint64)], [y.view(np.uint64)]
-    return _unique_pairs(a, b)
-
-
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of small bands; of each large one, every line with its least, and the members."""
+    """Each line of a band with the band's least (band null if the band has only these two)."""
     e = np.unique(B.unpacked(table["part"], ENTRY))
     start, end = B.groups(e["band"])
     size = end - start
-    small, large = (size > 1) & (size <= SMALL), size > SMALL
-    x, y = _every_pair(e["line"], start[small], end[small])
-    members = B.spans_of(start[large], size[large])
-    lead = np.repeat(e["line"][start[large]], size[large])
-    x, y = _unique_pairs([x.view(np.uint64), e["line"][members]], [y.view(np.uint64), lead])
-    pairs = pa.table([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=["a", "b", "band"])
-    rest = pa.table([pa.array(e["line"][members].view(np.int64)), pa.nulls(len(members), pa.int64()), pa.array(e["band"][members].view(np.int64))], names=["a", "b", "band"])
-    return pa.concat_tables([pairs, rest])
-
-
-def _rest(table: pa.Table) -> pa.Table:
-    line, label = table["line"].to_numpy().view(np.uint64), table["label"].to_numpy()
-    x, y = _every_pair(line, np.array([0]), np.array([len(line)]), label)
-    return pa.table([pa.array(x), pa.array(y)], names=["a", "b"])
+    met = np.flatnonzero(size > 1)
+    rows = B.spans_of(start[met], size[met])
+    lead = np.repeat(e["line"][start[met]], size[met])
+    more = np.repeat(size[met] > 2, size[met])
+    keep = more | (e["line"][rows] != lead)
+    rows, lead, more = rows[keep], lead[keep], more[keep]
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    return pa.table([signed(e["line"][rows]), signed(lead), pa.array(np.ascontiguousarray(e["band"][rows]).view(np.int64), mask=~more)], names=["a", "b", "band"])
 
 
 def _wanted(bits: bytes):
@@ -191,40 +164,66 @@ def _wanted(bits: bytes):
         known, done = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool), set()
         for batch in batches:
             lines, texts = [], []
-            for block, _, _ in line_blocks(batch.column("text")):
+            for block, _ in line_blocks(batch.column("text")):
                 raw = block.buf.tobytes()
-                for i in np.flatnonzero(known[block.hashes & np.uint64(SIEVE_BITS - 1)]).tolist():
-                    name = int(W.signed(block.hashes[i : i + 1])[0])
+                found = np.flatnonzero(known[block.hashes & np.uint64(SIEVE_BITS - 1)])
+                for name, a, b in zip(W.signed(block.hashes[found]).tolist(), block.start[found].tolist(), block.end[found].tolist()):
                     if name not in done:
                         done.add(name)
                         lines.append(name)
-                        texts.append(raw[block.start[i] : block.end[i]].decode("utf-8", "replace"))
+                        texts.append(raw[a:b].decode("utf-8", "replace"))
             yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
 
     return run
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for row, (x, y) in enumerate(zip(batch.column("x_text").to_pylist(), batch.column("y_text").to_pylist())):
-                s, t = np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size))
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * shared >= percent * (len(s) + len(t) - shared):
+                if _linked(np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size)), percent):
                     keep.append(row)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    bits = np.zeros(SIEVE_BITS, bool)
-    for row in pairs.select(F.explode(F.array("a", "b")).alias("line")).select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
-        bits[row.bit] = True
-    texts = docs.select("text").mapInArrow(_wanted(np.packbits(bits).tobytes()), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text"))
-    met = pairs.join(texts.toDF("a", "x_text"), "a").join(texts.toDF("b", "y_text"), "b")
-    return cut(met.mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+def _settle(size: int, percent: int):
+    """Links inside a band that join its parts (labels): lines of different parts are compared until
+    a link joins them. Sizes and parities of shingles rule most pairs out; the sets decide the rest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, labels = table["line"].to_pylist(), table["label"].to_pylist()
+        sets = [np.unique(shingle_hashes(t, size)) for t in table["text"].to_pylist()]
+        n = np.array([len(s) for s in sets])
+        bits = np.array([np.packbits(np.bincount((s % np.uint64(_PARITY)).astype(np.int64), minlength=_PARITY) & 1).view("<u8") for s in sets])
+        parent = {x: x for x in labels}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        part = np.unique(np.array(labels), return_inverse=True)[1]
+        out = []
+        for i in range(1, len(names)):
+            need = -(-percent * (n[i] + n[:i]) // (100 + percent))
+            apart = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1)
+            for j in np.flatnonzero((part[:i] != part[i]) & (np.minimum(n[:i], n[i]) >= need) & (apart <= n[i] + n[:i] - 2 * need)).tolist():
+                if root(labels[i]) != root(labels[j]) and _linked(sets[i], sets[j], percent):
+                    parent[root(labels[i])] = root(labels[j])
+                    out.append((names[i], names[j]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -233,34 +232,30 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
     found = cut(docs.select("text").mapInArrow(_bands(size, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, band bigint"))
-    links = _similar(docs, cut(found.filter("band is null").select("a", "b").distinct()), size, percent)
+    pairs = cut(found.filter("a <> b").select("a", "b").distinct())
+    bits = np.zeros(SIEVE_BITS, bool)
+    for row in pairs.select(F.explode(F.array("a", "b")).alias("line")).select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
+        bits[row.bit] = True
+    texts = cut(docs.select("text").mapInArrow(_wanted(np.packbits(bits).tobytes()), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
+
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(texts.toDF("a", "x_text"), "a").join(texts.toDF("b", "y_text"), "b")
+        return cut(met.mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+
+    links = verified(pairs.groupBy("a").agg(F.min("b").alias("b")))
     known = cut(components(links))
-    members = found.filter("band is not null").select(F.col("a").alias("line"), "band").join(known, F.col("line") == F.col("node"), "left")
-    members = members.select("band", "line", F.coalesce("component", "line").alias("label"))
+    label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    part = lambda c: F.coalesce(f"{c}_in", c)
+    open_pairs = found.filter("band is null").select("a", "b").distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").filter(part("a") != part("b")).select("a", "b")
+    members = found.filter("band is not null").select("a", "band").join(label("a"), "a", "left").select("band", F.col("a").alias("line"), part("a").alias("label"))
     several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    more = cut(members.join(several, "band").groupBy("band").applyInArrow(_rest, "a bigint, b bigint").distinct())
+    settled = members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(_settle(size, percent), "a bigint, b bigint")
+    more = cut(verified(open_pairs).union(settled))
     if more.take(1):
-        known = cut(components(links.union(_similar(docs, more, size, percent))))
+        known = cut(components(links.union(more)))
     return known.union(known.select("component", "component").distinct())
 
 
-def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
-        kept, counts = [], []
-        for text, gone in zip(texts, dropped):
-            lines = [] if text is None else text.split("\n")
-            counts.append(len(lines))
-            if gone:
-                out = set(gone)
-                text = "\n".join(x for i, x in enumerate(lines) if i not in out)
-            kept.append(text)
-        i = batch.schema.get_field_index("text")
-        columns = [*batch.columns, pa.array(counts, pa.int64())]
-        columns[i] = pa.array(kept, batch.schema.field(i).type)
-        yield pa.record_batch(columns, names=[*batch.schema.names, "n_lines"])
-
-
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns: tuple[str, str] = ("doc_id", "text"), carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: doc_id, text (without the lines that repeat earlier ones), n_lines
     (before), dropped (places of the lines that went, from 0, or null), and the columns ``carry``
@@ -272,9 +267,10 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
 
     A line's runs of characters give minima in 48 bins of one hash function, and these 12 bands of
     4: a pair at similarity 0.8 shares a band with probability 0.998. Pairs that share one are
-    decided exactly. A band with very many lines first offers each line one pair; only lines that
-    are in different components after that are paired with one another. Equal lines are told by 128
-    bits and count once in all of this; a line that is in very many documents is one row of every
+    decided exactly, for each line first the pair with its least partner. Of a band whose lines are
+    then in different components, lines are compared until links join these or none is left to
+    compare, so that a large group of similar lines never makes all its pairs. Equal lines are told
+    by 128 bits and count once in all of this; a line that is in very many documents is one row of every
     join but the last, which Spark splits, as the other side has one row for it.
 
     Blank lines always stay, also of empty texts; null text stays null and has no lines. A row
@@ -284,7 +280,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     doc_id, text = columns
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), rest.alias("rest"))
-    occurrences = named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint")
+    occurrences = cut(named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(known, F.col("line") == F.col("node"), "left")
@@ -292,5 +288,8 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     alone = lines.groupBy("part", "part2").agg(F.min("first").alias("stays"), F.sum("n").alias("times")).filter("times > 1").select("part", "part2", "stays")
     repeated = lines.join(alone, ["part", "part2"]).select("line", "line2", "stays")
     gone = occurrences.join(repeated, ["line", "line2"]).filter(F.struct("doc", "at") != F.col("stays")).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    joined = named.join(gone, "doc", "left").select("doc_id", "text", "dropped", "rest")
-    return joined.mapInArrow(_drop, StructType([*joined.schema.fields, StructField("n_lines", LongType())]))
+    each = F.split("text", "\n", -1)
+    left = F.array_join(F.filter(each, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
+    return named.join(gone, "doc", "left").select(
+        "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(each)).cast("long").alias("n_lines"), "dropped", "rest"
+    )
