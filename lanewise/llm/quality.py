@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import cut, written
 
 #: Characters of the longest gram; bytes of text in a group of documents.
-ORDER, GROUP_BYTES = 4, 24 << 20
+ORDER, GROUP_BYTES = 4, 12 << 20
 #: Characters at the language's median that each text is smoothed with, so that short texts vary less.
 PRIOR = 200
 #: Held-back trusted documents below which a language takes the limit of all languages.
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
     held = F.pmod(F.xxhash64("doc", F.lit("held back")), F.lit(5)) == 0
     by_group = dealt.groupBy("g")
     learned = trusted.filter(~held).withColumn("g", deal(F.col("doc")))
-    counted = cut(by_group.cogroup(learned.groupBy("g")).applyInArrow(_count, "g bigint, gram string, n bigint"))
+    counted = written(by_group.cogroup(learned.groupBy("g")).applyInArrow(_count, "g bigint, gram string, n bigint"))
     counts = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     cost = probabilities(counts.filter("n > 0"), counts).select("gram", (-F.log("p")).alias("cost"))
     asked = counted.select("g", "gram").join(cost, "gram")
