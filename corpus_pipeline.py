@@ -17,12 +17,10 @@ from lanewise.llm.quality import classify
 #: SQL cannot express the first two stages.
 ORACLE_SQL = None
 
-_TEXT_KEY = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text key are rejected (r_id, r_key)."""
-    keyed = docs.withColumn("_text_key", _TEXT_KEY)
+    keyed = docs.withColumn("_text_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     same = keyed["doc_id"].eqNullSafe(F.col("r_id")) & (keyed["_text_key"] == F.col("r_key"))
     return keyed.join(small_or_shuffled(rejected), same, "left_anti").drop("_text_key")
 
