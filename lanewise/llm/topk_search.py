@@ -36,38 +36,52 @@ class Node:
 def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
     """(order, root): points in the tree's order, and the tree over it.
 
-    A node's children are centred on points of its own: first its centre, then each time the point
-    farthest from all centres, until the next level's radius covers every point or FANOUT is
-    reached. So centres lie as far apart as the points that are left lie from them; a point goes to
-    its nearest centre. Nodes of up to LEAF points, or of equal points, have no children.
+    A node's children grow around points of its own: the farthest from its centre first, then each
+    time the one farthest from those chosen, until what is left lies within the next level's radius
+    or FANOUT is reached. So seeds lie at least as far apart as the points that are left lie from
+    them; a point goes to its nearest seed. Where one child would keep most points, as outliers can
+    bring about, the node is halved along the line between its first two seeds instead, so the
+    depth stays logarithmic. A node's covering radius is measured from the mean of its points.
+    Nodes of up to LEAF points, or of equal points, have no children.
     """
     order = np.arange(len(points))
 
-    def build(start: int, end: int, center: np.ndarray) -> Node:
+    def node_of(start: int, end: int) -> Node:
         mine = points[order[start:end]]
+        center = mine.mean(axis=0) if len(mine) else np.zeros(points.shape[1])
         far = np.sqrt(((mine - center) ** 2).sum(axis=1))
-        node = Node(start, end, center, float(far.max()) if len(far) else 0.0, float(np.sqrt((center**2).sum())))
-        if end - start <= LEAF or node.radius == 0:
-            return node
-        nearest, owner, centers = far, np.zeros(len(mine), np.int64), [center]
-        while len(centers) < FANOUT and nearest.max() > node.radius / BASE:
-            pick = mine[int(nearest.argmax())]
-            away = np.sqrt(((mine - pick) ** 2).sum(axis=1))
+        return Node(start, end, center, float(far.max()) if len(far) else 0.0, float(np.sqrt((center**2).sum())))
+
+    def split(node: Node) -> np.ndarray:
+        """The child of each point of a node."""
+        mine = points[order[node.start : node.end]]
+        seeds = [mine[int(((mine - node.center) ** 2).sum(axis=1).argmax())]]
+        nearest, owner = np.sqrt(((mine - seeds[0]) ** 2).sum(axis=1)), np.zeros(len(mine), np.int64)
+        while len(seeds) < FANOUT and nearest.max() > node.radius / BASE:
+            seeds.append(mine[int(nearest.argmax())])
+            away = np.sqrt(((mine - seeds[-1]) ** 2).sum(axis=1))
             closer = away < nearest
-            owner[closer], nearest = len(centers), np.minimum(nearest, away)
-            centers.append(pick)
-        if (owner == 0).all():
-            return node
-        by_owner = np.argsort(owner, kind="stable")
-        order[start:end] = order[start:end][by_owner]
-        at = start
-        for c, n in enumerate(np.bincount(owner, minlength=len(centers)).tolist()):
+            owner[closer], nearest = len(seeds) - 1, np.minimum(nearest, away)
+        if len(seeds) < 2 or np.bincount(owner).max() > 0.8 * len(mine):
+            line = (seeds[1] if len(seeds) > 1 else node.center) - seeds[0]
+            owner = (np.argsort(np.argsort(mine @ line, kind="stable")) >= len(mine) // 2).astype(np.int64)
+        return owner
+
+    root = node_of(0, len(points))
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.end - node.start <= LEAF or node.radius == 0:
+            continue
+        owner = split(node)
+        order[node.start : node.end] = order[node.start : node.end][np.argsort(owner, kind="stable")]
+        at = node.start
+        for n in np.bincount(owner).tolist():
             if n:
-                node.children.append(build(at, at + n, centers[c]))
+                node.children.append(node_of(at, at + n))
                 at += n
-        return node
-
-    return order, build(0, len(points), points.mean(axis=0) if len(points) else np.zeros(points.shape[1]))
+        todo += node.children
+    return order, root
 
 
 class Search:
