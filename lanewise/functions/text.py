@@ -18,10 +18,10 @@ class Text:
         self.bytes = family == "S"
 
     def read(self, x: Column) -> Column:
-        return F.decode(x, F.lit("ISO-8859-1")) if self.bytes else x
+        return F.decode(x, "ISO-8859-1") if self.bytes else x
 
     def write(self, x: Column) -> Column:
-        return F.encode(x, F.lit("ISO-8859-1")) if self.bytes else x
+        return F.encode(x, "ISO-8859-1") if self.bytes else x
 
     def width(self, x: Column, width: int | None) -> Column:
         return x if width is None else F.substring(x, 1, width)
