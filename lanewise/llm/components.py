@@ -38,11 +38,23 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node), pa.array(least)], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _forest_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = list(batches)
+    both = [np.concatenate([p.column(i).to_numpy() for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1)]
+    node, least = forest(*both)
+    yield pa.record_batch([pa.array(node), pa.array(least)], names=["node", "component"])
+
+
+#: Links of forests up to which one task joins them; beyond, rounds of joins do.
+ONE_TASK = 400_000
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the least node reachable, for every node of links (a, b: bigint) but the
     least ones themselves.
 
-    Each Arrow batch of links first shrinks to a forest. Rounds then hang every node's larger
+    Each Arrow batch of links first shrinks to a forest. If no more than ``one_task`` links are left
+    in all, a single task joins them. Otherwise rounds hang every node's larger
     neighbours, and after that its smaller ones, on its least neighbour, until nothing changes:
     then each component is a star. The rounds are joins and grouped minima, written to the shared
     checkpoint folder; their number grows with the logarithm of the longest path.
@@ -51,6 +63,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.toDF("a", "b").filter("a is not null and b is not null and a <> b")
     edges = cut(ends.mapInArrow(_forests, "u bigint, v bigint").distinct())
+    if edges.count() <= one_task:
+        return edges.repartition(1).mapInArrow(_forest_of_all, "node bigint, component bigint")
     state = None
     while True:
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import cut, written
 from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
@@ -54,9 +54,12 @@ def line_blocks(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray]]:
         yield block, number[keep]
 
 
+_CODES = W.mix64(np.arange(1, 65537, dtype=np.uint64))
+
+
 def _runs(code: np.ndarray, size: int) -> np.ndarray:
     """A hash of each ``size`` consecutive codes, by doubling."""
-    h, length, radix = W.mix64(code.astype(np.uint64) + np.uint64(1)), 1, int(W._GRAM)
+    h, length, radix = _CODES[code] if not len(code) or code.max() < len(_CODES) else W.mix64(code.astype(np.uint64) + np.uint64(1)), 1, int(W._GRAM)
     out, done = None, 0
     while length <= size:
         if size & length:
@@ -146,7 +149,10 @@ def _bands(size: int, buckets: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Each line of a band with the band's least (band null if the band has only these two)."""
-    e = np.unique(B.unpacked(table["part"], ENTRY))
+    e = B.unpacked(table["part"], ENTRY)
+    e = e[np.lexsort((e["line"], e["band"]))]
+    if len(e):
+        e = e[np.concatenate([[True], (e["band"][1:] != e["band"][:-1]) | (e["line"][1:] != e["line"][:-1])])]
     start, end = B.groups(e["band"])
     size = end - start
     met = np.flatnonzero(size > 1)
@@ -177,8 +183,25 @@ def _wanted(bits: bytes):
     return run
 
 
+def shingle_sets(lines: list[str], size: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    codes = [line.encode("utf-32-le", "replace") for line in lines]
+    length = np.array([len(c) // 4 for c in codes], np.int64)
+    start = np.cumsum(length) - length
+    code = np.frombuffer(b"".join(codes), "<u4")
+    whole = _runs(code, size) + np.uint64(size) if len(code) >= size else np.zeros(0, np.uint64)
+    out = []
+    for a, n in zip(start.tolist(), length.tolist()):
+        s = np.sort(whole[a : a + n - size + 1]) if n >= size else _runs(code[a : a + n], n) + np.uint64(n)
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+    return out
+
+
 def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    shared = len(np.intersect1d(s, t, assume_unique=True))
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.sort(np.concatenate([s, t]))
+    shared = int((both[1:] == both[:-1]).sum())
     return 100 * shared >= percent * (len(s) + len(t) - shared)
 
 
@@ -186,9 +209,10 @@ def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for row, (x, y) in enumerate(zip(batch.column("x_text").to_pylist(), batch.column("y_text").to_pylist())):
-                if _linked(np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size)), percent):
-                    keep.append(row)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                x, y = (shingle_sets(part.column(part.schema.get_field_index(c)).to_pylist(), size) for c in ("x_text", "y_text"))
+                keep += [i + row for row, (s, t) in enumerate(zip(x, y)) if _linked(s, t, percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -200,7 +224,7 @@ def _settle(size: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         names, labels = table["line"].to_pylist(), table["label"].to_pylist()
-        sets = [np.unique(shingle_hashes(t, size)) for t in table["text"].to_pylist()]
+        sets = shingle_sets(table["text"].to_pylist(), size)
         n = np.array([len(s) for s in sets])
         bits = np.array([np.packbits(np.bincount((s % np.uint64(_PARITY)).astype(np.int64), minlength=_PARITY) & 1).view("<u8") for s in sets])
         parent = {x: x for x in labels}
@@ -231,28 +255,31 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     named by its least node."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
-    found = cut(docs.select("text").mapInArrow(_bands(size, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, band bigint"))
-    pairs = cut(found.filter("a <> b").select("a", "b").distinct())
+    found = written(docs.select("text").mapInArrow(_bands(size, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, band bigint"))
+    pairs = written(found.filter("a <> b").select("a", "b").distinct())
     bits = np.zeros(SIEVE_BITS, bool)
     for row in pairs.select(F.explode(F.array("a", "b")).alias("line")).select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
         bits[row.bit] = True
-    texts = cut(docs.select("text").mapInArrow(_wanted(np.packbits(bits).tobytes()), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
+    texts = written(docs.select("text").mapInArrow(_wanted(np.packbits(bits).tobytes()), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
 
     def verified(some: DataFrame) -> DataFrame:
         met = some.join(texts.toDF("a", "x_text"), "a").join(texts.toDF("b", "y_text"), "b")
-        return cut(met.mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+        return written(met.mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+
+    def parts_of(rows: DataFrame, known: DataFrame, c: str) -> DataFrame:
+        named = known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        return rows.join(named, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
 
     links = verified(pairs.groupBy("a").agg(F.min("b").alias("b")))
     known = cut(components(links))
-    label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    part = lambda c: F.coalesce(f"{c}_in", c)
-    open_pairs = found.filter("band is null").select("a", "b").distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").filter(part("a") != part("b")).select("a", "b")
-    members = found.filter("band is not null").select("a", "band").join(label("a"), "a", "left").select("band", F.col("a").alias("line"), part("a").alias("label"))
+    apart = parts_of(parts_of(pairs, known, "a"), known, "b").filter("a_in <> b_in").select("a", "b")
+    links = links.union(verified(apart))
+    known = cut(components(links))
+    members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
     several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    settled = members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(_settle(size, percent), "a bigint, b bigint")
-    more = cut(verified(open_pairs).union(settled))
-    if more.take(1):
-        known = cut(components(links.union(more)))
+    settled = written(members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(_settle(size, percent), "a bigint, b bigint"))
+    if settled.take(1):
+        known = cut(components(links.union(settled)))
     return known.union(known.select("component", "component").distinct())
 
 
@@ -280,7 +307,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     doc_id, text = columns
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), rest.alias("rest"))
-    occurrences = cut(named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint"))
+    occurrences = written(named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(known, F.col("line") == F.col("node"), "left")
