@@ -168,7 +168,8 @@ def _long_multiply(a: Column, b: Column) -> Column:
 def _unsigned_multiply(a: Column, b: Column) -> Column:
     a, b = a.cast(_DECIMAL), b.cast(_DECIMAL)
     half = two_to(32)
-    high, low = F.floor(b / half).cast("decimal(10,0)"), (b % half).cast("decimal(10,0)")
+    # the quotient of a multiple is exact; that of b itself would be rounded
+    high, low = ((b - b % half) / half).cast("decimal(10,0)"), (b % half).cast("decimal(10,0)")
     a20 = a.cast("decimal(20,0)")
     return F.pmod((a20 * high).cast(_DECIMAL) % half * half + (a20 * low).cast(_DECIMAL), two_to(64))
 
