@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,13 @@ MARKS = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"]
 ADDED = "model"
 
 #: Characters that candidates are made of, and how many make one.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Characters of context before a candidate, of the candidate, and after it that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 12
 WINDOW = BEFORE + INSIDE + AFTER
 
 _MADE = np.zeros(256, bool)
-_MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_=-"]] = True
+_MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
@@ -62,15 +63,12 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
-def _long_run(mask: np.ndarray, least: int) -> np.ndarray:
-    """Bytes at which a run of at least so many true ones starts."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return edge[::2][edge[1::2] - edge[::2] >= least]
-
-
 def _suspects(buf: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     """Texts that can hold a match or a candidate; the others hold none."""
-    at = [_long_run(_HEX[buf], 24), _long_run(_MADE[buf], 16)]
+    at = []
+    for made_of, least in ((_HEX, 24), (_MADE, 16)):
+        start, end = W.word_spans(buf, text_at, made_of)
+        at.append(start[end - start >= least])
     raw = buf.tobytes()
     low = raw.lower()
     for data, mark in [(raw, b"AKIA"), *((low, m) for m in MARKS)]:
@@ -139,7 +137,8 @@ class CharNet:
     def probability(self, windows: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(windows) + self.shift, -60, 60)))
 
-    def fit(self, windows: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 4e-3, batch: int = 128) -> None:
+    def fit(self, windows: list[str], labels: np.ndarray, steps: int = 400, rate: float = 4e-3, batch: int = 128) -> None:
+        epochs = max(6, -(-steps * batch // max(len(windows), 1)) if len(windows) > batch else steps)
         x, r = self.codes(windows), np.random.default_rng(11)
         m, v, step = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
@@ -167,15 +166,31 @@ class CharNet:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, windows: list[str], labels: np.ndarray, recall: float, steps: int = 200) -> None:
-        """Platt's scale and shift on held-back findings, and the highest threshold with that recall on them."""
+        """Platt's scale and shift on held-back findings. The threshold is the highest with that recall
+        on them, moved down half the way to the likeliest finding below that is no secret."""
         z = self.logits(windows)
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -60, 60)))
             self.scale = max(0.05, self.scale - 0.1 * float(np.mean((p - labels) * z)))
             self.shift -= 0.1 * float(np.mean(p - labels))
-        found = np.sort(self.probability([w for w, y in zip(windows, labels) if y == 1]))
+        p = self.probability(windows)
+        found = np.sort(p[labels == 1])
         if len(found):
-            self.threshold = float(found[int((1 - recall) * len(found))])
+            highest = found[int((1 - recall) * len(found))]
+            others = p[(labels == 0) & (p < highest)]
+            self.threshold = float(highest + others.max()) / 2 if len(others) else float(highest)
+
+
+def fold(window: str) -> int:
+    return zlib.crc32(window.encode("utf-8", "replace")) & 1
+
+
+def train_both(findings: pd.DataFrame, recall: float) -> list[CharNet] | None:
+    """A network for the windows of each fold, trained on the other fold, so that none is scored by a
+    network that learned its label."""
+    place = findings.window.map(fold)
+    nets = [train(findings[place != f].reset_index(drop=True), recall) for f in (0, 1)] if len(findings) else [None]
+    return None if None in nets else nets
 
 
 def train(findings: pd.DataFrame, recall: float) -> CharNet | None:
@@ -184,25 +199,33 @@ def train(findings: pd.DataFrame, recall: float) -> CharNet | None:
         return None
     held = np.arange(len(findings)) % 4 == 3
     net, y = CharNet(), findings.label.to_numpy().astype(float)
-    net.fit(findings.window[~held].tolist(), y[~held])
+    windows, labels = findings.window[~held].tolist(), y[~held]
+    # secrets once more after what stands before others, as a secret need not follow a known word
+    ahead = [w[:BEFORE] for w, v in zip(windows, labels) if v == 0]
+    moved = [ahead[i % len(ahead)] + w[BEFORE:] for i, w in enumerate(w for w, v in zip(windows, labels) if v == 1)] if ahead else []
+    net.fit(windows + moved, np.concatenate([labels, np.ones(len(moved))]))
     if 0 < y[held].sum() < held.sum():
         net.calibrate(findings.window[held].tolist(), y[held], recall)
     return net
 
 
-def _score(net: CharNet | None):
+def _score(nets: list[CharNet] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_base, all_more, all_scores = batch.column("base").to_pylist(), batch.column("candidates").to_pylist(), []
-            flat = [c for row in all_more for c in row]
-            scores = iter(net.probability([c["window"] for c in flat]).tolist() if net and flat else [0.0] * len(flat))
-            added = []
+            all_base, all_more, all_scores, added = batch.column("base").to_pylist(), batch.column("candidates").to_pylist(), [], []
+            windows = [c["window"] for row in all_more for c in row]
+            folds = np.array([fold(w) for w in windows], int)
+            found = np.zeros(len(windows))
+            for f, net in enumerate(nets or []):
+                mine = np.flatnonzero(folds == f)
+                found[mine] = net.probability([windows[i] for i in mine])
+            scored = iter(zip(found.tolist(), folds.tolist()))
             for base, more in zip(all_base, all_more):
                 best, own = 0.0, []
                 for c in more:
-                    p = next(scores)
+                    p, f = next(scored)
                     best = max(best, p)
-                    if net and not c["label"] and p >= net.threshold:
+                    if nets and not c["label"] and p >= nets[f].threshold:
                         own.append({"kind": ADDED, "start": c["start"], "end": c["end"]})
                 added.append(own)
                 all_scores.append(1.0 if base else best)
@@ -216,9 +239,9 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     exclusive, by start), score (1 with a base span, else the highest probability of a candidate).
 
     Fixed patterns give the base spans. Every run of 16 or more token characters with a digit and
-    a letter is a candidate; the patterns label it. A network trained on windows around candidates
-    then adds those that it finds as likely as labelled secrets: its threshold keeps ``recall`` of
-    held-back secrets. Training sees at most ``findings`` distinct windows of either label, those
+    a letter is a candidate; the patterns label it. A network trained on windows around candidates,
+    half of them at a time, then adds those of the other half that it finds as likely as labelled
+    secrets: its threshold keeps ``recall`` of held-back secrets. Training sees at most ``findings`` distinct windows of either label, those
     of the smallest hash; scoring sees every candidate of every text.
 
     Null text counts as empty. Rows alike are judged alike. Without findings of both labels nothing
@@ -232,7 +255,7 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     labelled = scanned.filter(F.size("candidates") > 0).select(F.inline("candidates")).select("window", "label").distinct().withColumn("h", F.xxhash64("window"))
     sample = [labelled.filter(F.col("label") == y).orderBy("h", "window").limit(findings).toPandas() for y in (0, 1)]
     known = pd.concat(sample).sort_values(["h", "window"], ignore_index=True)
-    return scanned.mapInArrow(_score(train(known, recall)), f"doc_id {kind}, base {span}, added {span}, score double")
+    return scanned.mapInArrow(_score(train_both(known, recall)), f"doc_id {kind}, base {span}, added {span}, score double")
 
 
 def listed(spans) -> F.Column:
