@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut, written
 
@@ -66,6 +68,9 @@ def _texts(column: pa.ChunkedArray, chosen: np.ndarray) -> Iterator[tuple[np.nda
 
 def _count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """Counts of the grams of a group's trusted documents, and of all its distinct grams (as 0)."""
+    docs = B.dealt_rows(docs["part"])
+    if docs is None:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["g", "gram", "n"])
     good = np.isin(docs["doc"].to_numpy(), trusted["doc"].to_numpy())
     counts: dict[str, int] = {}
     for mine, weight in ((good, 1), (~good, 0)):
@@ -73,21 +78,25 @@ def _count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
             grams, _, times = Grams(texts).distinct()
             for g, c in zip(grams, (times * weight).tolist()):
                 counts[g] = counts.get(g, 0) + c
-    group = docs["g"][0].as_py() if len(docs) else 0
-    return pa.table([pa.array(np.full(len(counts), group)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["g", "gram", "n"])
+    return pa.table([pa.array(np.full(len(counts), docs["g"][0].as_py())), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["g", "gram", "n"])
 
 
-def _score(kind: pa.DataType):
+def _score(kind: pa.DataType, lang: pa.DataType):
+    names = ["doc_id", "doc", "lang", "key", "n_chars", "cost"]
+
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        docs = B.dealt_rows(docs["part"])
+        if docs is None:
+            return pa.table([pa.array([], t) for t in (kind, pa.int64(), lang, pa.string(), pa.int64(), pa.float64())], names=names)
         cost = dict(zip(known["gram"].to_pylist(), known["cost"].to_pylist()))
         total, chars = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
         for rows, texts in _texts(docs["text"], np.ones(len(docs), bool)):
             grams = Grams(texts)
-            names, inverse, _ = grams.distinct()
-            each = np.array([cost[g] for g in names])[inverse] if names else np.zeros(0)
+            found, inverse, _ = grams.distinct()
+            each = np.array([cost[g] for g in found])[inverse] if found else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(each)])
             total[rows], chars[rows] = sums[grams.edges[1:]] - sums[grams.edges[:-1]], np.diff(grams.edges)
-        return pa.table([docs["id"], docs["doc"], docs["lang"], docs["key"], pa.array(chars), pa.array(total)], names=["doc_id", "doc", "lang", "key", "n_chars", "cost"])
+        return pa.table([docs["id"], docs["doc"], docs["lang"], docs["key"], pa.array(chars), pa.array(total)], names=names)
 
     return run
 
@@ -145,7 +154,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
 
     Trusted documents are those that labels (doc_id, quality) calls good. A model of character
     grams is learned from four fifths of them, by hash of the id; the others give each language the
-    median and the ``quantile`` of scores, by mergeable sketches. A text is kept up to that limit.
+    median and the ``quantile`` of scores, by mergeable sketches. A text is kept up to that limit,
+    which lies above the quantile by its distance from the median times 2 / sqrt(documents).
     A language with fewer than FEW of these, and a null language, takes the values of all.
 
     Documents are dealt to groups by id, so texts move once. A group sends its distinct grams, with
@@ -167,14 +177,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
     )
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc")).distinct()
     held = F.pmod(F.xxhash64("doc", F.lit("held back")), F.lit(5)) == 0
-    by_group = dealt.groupBy("g")
+    by_group = dealt.mapInArrow(B.deal_rows, "g bigint, part binary").groupBy("g")
     learned = trusted.filter(~held).withColumn("g", deal(F.col("doc")))
     counted = written(by_group.cogroup(learned.groupBy("g")).applyInArrow(_count, "g bigint, gram string, n bigint"))
     counts = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     cost = probabilities(counts.filter("n > 0"), counts).select("gram", (-F.log("p")).alias("cost"))
     asked = counted.select("g", "gram").join(cost, "gram")
     kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("id", "lang")}
-    scored = by_group.cogroup(asked.groupBy("g")).applyInArrow(_score(None), f"doc_id {kinds['id']}, doc bigint, lang {kinds['lang']}, key string, n_chars bigint, cost double")
+    arrow = [to_arrow_type(dealt.schema[c].dataType) for c in ("id", "lang")]
+    scored = by_group.cogroup(asked.groupBy("g")).applyInArrow(_score(*arrow), f"doc_id {kinds['id']}, doc bigint, lang {kinds['lang']}, key string, n_chars bigint, cost double")
     scored = cut(scored)
 
     known = scored.filter("n_chars > 0").join(trusted.filter(held), "doc")
@@ -188,8 +199,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
         return rows.withColumn("score", (F.col("cost") + PRIOR * F.col("middle")) / (F.col("n_chars") + PRIOR))
 
     levels = smoothed(known)
-    limits = levels.groupBy("lang").agg(F.percentile_approx("score", quantile, 10000).alias("limit"), F.count("*").alias("held")).filter((F.col("held") >= FEW) & F.col("lang").isNotNull())
-    any_limit = levels.agg(F.percentile_approx("score", quantile, 10000)).first()[0]
+
+    def limited(rows: DataFrame) -> DataFrame:
+        # a quantile of few documents is known the less well, so it gets the more room
+        level = F.percentile_approx("score", quantile, 10000)
+        return rows.agg((level + (level - F.percentile_approx("score", 0.5, 10000)) * 2 / F.sqrt(F.count("*"))).alias("limit"), F.count("*").alias("held"))
+
+    limits = limited(levels.groupBy("lang")).filter((F.col("held") >= FEW) & F.col("lang").isNotNull())
+    any_limit = limited(levels.groupBy()).first()["limit"]
     out = smoothed(scored).join(limits.select("lang", "limit"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(any_limit).cast("double")))
     keep = (F.col("n_chars") > 0) & F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))
     perplexity = F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars")))
