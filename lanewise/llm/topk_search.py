@@ -146,8 +146,8 @@ def _exact(queries: list[list[int]], query_ids: np.ndarray, points: list[list[in
     """For components so large that doubles are not exact: whole numbers, one query at a time."""
     out = []
     for name, q in zip(query_ids.tolist(), queries):
-        scored = sorted((-sum(a * b for a, b in zip(q, p)), i) for i, p in zip(ids.tolist(), points) if i != name)
-        out += [(name, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in scored[:k]]
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, p)))), i) for i, p in zip(ids.tolist(), points) if i != name)
+        out += [(name, i, -s) for s, i in scored[:k]]
     return out
 
 
