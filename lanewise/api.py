@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from lanewise import __version__
 from lanewise import dtypes as D
 from lanewise.dtypes import DType
-from lanewise.errors import BindingError, ReductionRefused, TypeRefused, VariableRefused
+from lanewise.errors import BindingError, ReductionRefused, TypeRefused, VariableRefused, VariablesMixed, VariableUntyped
 from lanewise.functions import ieee
 from lanewise.operators import reductions
 from lanewise.operators.lowering import Lowering
@@ -29,9 +29,9 @@ def variables(of: StructType | dict[str, DType | str], out: DType) -> dict[str,
         raise VariableRefused(f"more than {MAX_VARIABLES} variables")
     open_ = [k for k, t in names.items() if t.kind == "a"]
     if out.kind == "a" and open_:
-        raise VariableRefused(f"{open_[0]} has no type, and neither has the output")
+        raise VariableUntyped(f"{open_[0]} has no type, and neither has the output")
     if open_ and len(open_) < len(names):
-        raise VariableRefused("some variables have a type and others none")
+        raise VariablesMixed("some variables have a type and others none")
     return {k: out for k in names} if open_ else names
 
 
@@ -70,6 +70,15 @@ class Compiled:
     def __str__(self) -> str:
         return f"{self.text} = {self.tree}"
 
+    def explain(self) -> str:
+        """The typed tree, a node a line."""
+
+        def lines(n: Typed, depth: int) -> list[str]:
+            head = repr(n.value) if n.op == "const" else f"{n.op} {n.value}" if n.value is not None and n.op != "udf" else n.op
+            return ["  " * depth + f"{head}: {n.dtype}", *[x for a in n.args for x in lines(a, depth + 1)]]
+
+        return "\n".join(lines(self.tree, 0))
+
     def stored(self, name: str) -> Column:
         """A variable's column in the storage of its type."""
         t = self.names[name]

@@ -297,24 +297,24 @@ class Kernel:
             raise BindingError(f"no column {sorted(missing)[0]!r}")
         symbols = self.symbol_columns(df, index, nd)
         if self.driven or self.unrolled(self.steps) <= UNROLLED:
-            out = Lanes(self, df, symbols).run(name)
+            out = Lanes(self, df, symbols, index, nd).run(name)
         else:
-            out = self.interpreted(df, name, symbols)
+            out = self.interpreted(df, name, symbols, index, nd)
         return out.withMetadata(name, D.metadata(self.dtype))
 
     def stored(self, name: str) -> Column:
         t = self.names[name]
         return F.col(f"`{name}`") if t.is_text or t.kind == "c" else F.col(f"`{name}`").cast(D.spark_type(t))
 
-    def interpreted(self, df: DataFrame, name: str, symbols: dict[str, Column]) -> DataFrame:
+    def interpreted(self, df: DataFrame, name: str, symbols: dict[str, Column], index: Column | str | None = None, nd=None) -> DataFrame:
         """Loops as masks over batches; reductions of inputs become constants beforehand."""
         found: dict[str, Typed] = {}
         for s in self.every():
             for t in s.all_trees():
                 for n in t.walk():
                     if n.op == "reduce":
-                        if any(m.op == "var" and m.value in self.locals for m in n.walk()):
-                            return Lanes(self, df, symbols).run(name)
+                        if nd or any(m.op == "var" and m.value in self.locals for m in n.walk()):
+                            return Lanes(self, df, symbols, index, nd).run(name)
                         found[str(n)] = n
         values: dict[str, object] = {}
         if found:
@@ -475,11 +475,19 @@ class Masks:
 
 
 class Lanes:
-    """Runs a kernel as Columns of a DataFrame. Masks are Columns too; None stands for all lanes."""
+    """Runs a kernel as Columns of a DataFrame. Masks are Columns too; None stands for all lanes.
 
-    def __init__(self, kernel: Kernel, df: DataFrame, symbols: dict[str, Column]):
+    Over an array (nd), a reduction covers the lanes of a block, else all lanes.
+    """
+
+    def __init__(self, kernel: Kernel, df: DataFrame, symbols: dict[str, Column], index: Column | str | None = None, nd=None):
         self.kernel, self.before = kernel, df.columns
         self.serial = 0
+        self.blocks: list[str] = []
+        if nd and any(n.op == "reduce" for s in kernel.every() for t in s.all_trees() for n in t.walk()):
+            flat = F.col(index) if isinstance(index, str) else index
+            self.blocks = [self.label(), self.label()]
+            df = df.withColumns(dict(zip(self.blocks, (nd.chunk_of(flat), nd.block_of(flat)))))
         self.env: dict[str, str] = {}
         inputs = {n: kernel.stored(n) for n in kernel.names} | symbols
         fresh = {self.label(): (n, c) for n, c in inputs.items()}
@@ -516,6 +524,11 @@ class Lanes:
 
     def reduce(self, n: Typed) -> Column:
         inner = Lowering(self.column).lower(n.args[0])
+        if self.blocks:
+            label = self.label()
+            totals = self.df.groupBy(*self.blocks).agg(reductions.aggregate(n.value, inner, n.args[0].dtype).alias(label))
+            self.df = self.df.join(totals, self.blocks)
+            return F.col(label)
         total = self.df.agg(reductions.aggregate(n.value, inner, n.args[0].dtype).alias("r"))
         if not self.kernel.driven:
             return total.scalar()

@@ -45,6 +45,13 @@ def test_block_reductions(spark):
     assert [r.result for r in mixed.orderBy("idx").collect()] == [0, 2, 0]
 
 
+def test_kernel_reductions_cover_a_block(spark):
+    spec = NdSpec((6,), (6,), (2,))
+    df = from_arrays(spark, {"x": np.array([1.0, 5.0, 2.0, 9.0, 4.0, 4.0])})
+    kernel = compile_nd("def k(x):\n    top = max(x)\n    if any(x > 8):\n        y = x / top\n    else:\n        y = x - top\n    return y\n", df.schema, spec)
+    assert [r.result for r in kernel.apply(df, "idx").orderBy("idx").collect()] == [-4.0, 0.0, 2 / 9, 1.0, 0.0, 0.0]
+
+
 def test_blocks_without_elements(spark):
     spec = NdSpec((3,), (4,), (2,))
     assert spec.valid_items(0, 1) == 1

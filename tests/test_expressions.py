@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lanewise import dtypes as D
 from lanewise.api import Udf, agg, compile, evaluate, where
-from lanewise.errors import ComplexRefused, ReductionRefused, SyntaxRefused, TypeRefused, VariableRefused
+from lanewise.errors import ComplexRefused, ExpressionError, ReductionRefused, SyntaxRefused, TypeRefused, VariableRefused
 from lanewise.functions import special
 from lanewise.operators.vector import Vector
 from lanewise.sources.arrays import from_arrays
@@ -193,6 +193,23 @@ def test_udfs(spark):
     assert values(df, "sin(x)", udfs=[shadow]) == [7] * 5
 
 
+def test_errors_have_codes():
+    for text, names, code in (("1 +", {}, -2), ("a", {"a": "auto"}, -7), ("a + b", {"a": "auto", "b": "int8"}, -7), ("sum(sum(a))", {"a": "int8"}, -5), ("z < z", {"z": "complex64"}, -4), ("sin(s)", {"s": "str"}, -8)):
+        with pytest.raises(ExpressionError) as e:
+            compile(text, names)
+        assert e.value.code == code
+    with pytest.raises(ExpressionError) as e:
+        compile("a + b", {"a": "auto", "b": "int8"}, "float64")
+    assert e.value.code == -6
+    with pytest.raises(SyntaxRefused) as e:
+        compile("1 + $", {})
+    assert e.value.position == 4
+
+
+def test_explain():
+    assert compile("a + 1", {"a": "int8"}).explain().splitlines() == ["add: int8", "  var a: int8", "  1: int8"]
+
+
 def test_filter_and_composition(spark):
     df = frame(spark, x=np.arange(10.0))
     assert where(df, "x > mean(x)").count() == 5
