@@ -62,17 +62,17 @@ def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         group = batch.column(batch.schema.get_field_index("g")).to_numpy()
         order = np.argsort(group, kind="stable")
-        rows, group = batch.take(pa.array(order)), group[order]
+        group = group[order]
         start, end = groups(group)
         parts = []
         for a, b in zip(start.tolist(), end.tolist()):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
-                # a slice would carry the whole batch's buffers
-                out.write_batch(rows.take(pa.array(np.arange(a, b))))
+                out.write_batch(batch.take(pa.array(order[a:b])))
             raw = sink.getvalue()
             parts.append(raw.size.to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True))
         yield pa.record_batch([pa.array(group[start].astype(np.int64)), pa.array(parts, pa.binary())], names=["g", "part"])
+        pa.default_memory_pool().release_unused()
 
 
 def dealt_rows(parts: pa.ChunkedArray) -> pa.Table | None:

@@ -15,7 +15,7 @@ from lanewise.llm import _words as W
 from lanewise.llm._tables import cut, written
 
 #: Characters of the longest gram; bytes of text in a group of documents.
-ORDER, GROUP_BYTES = 4, 12 << 20
+ORDER, GROUP_BYTES = 4, 8 << 20
 #: Characters at the language's median that each text is smoothed with, so that short texts vary less.
 PRIOR = 200
 #: Held-back trusted documents below which a language takes the limit of all languages.
@@ -32,13 +32,15 @@ class Grams:
         code = np.frombuffer(self.all.encode("utf-32-le", "surrogatepass"), "<u4")
         length = np.array([len(t) for t in texts], np.int64)
         start = np.cumsum(length + ORDER - 1) - length - (ORDER - 1)
-        letters, index = np.unique(code, return_inverse=True)
-        size = len(letters)
+        letters = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+        letters[code] = True
+        index = (np.cumsum(letters, dtype=np.uint32) - np.uint32(1))[code]
+        size = int(letters.sum())
         n = max(0, len(code) - ORDER + 1)
         ids = np.zeros(n, np.uint32 if size <= 256 else np.uint64)
         for j in range(ORDER):
             ids = ids * ids.dtype.type(size) + index[j : j + n].astype(ids.dtype) if size <= 65536 else W.mix64(ids.astype(np.uint64)) + index[j : j + n].astype(np.uint64)
-        inside = np.zeros(n + 1, np.int64)
+        inside = np.zeros(n + 1, np.int32)
         np.add.at(inside, start, 1)
         np.add.at(inside, np.minimum(start + length, n), -1)
         self.at = np.flatnonzero(np.cumsum(inside[:n]) > 0)
@@ -52,14 +54,14 @@ class Grams:
 
 
 def _texts(column: pa.ChunkedArray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Rows and texts, up to a few million bytes at once."""
+    """Rows and texts, up to half a million characters at once."""
     rows, texts, size = [], [], 0
     for row in np.flatnonzero(chosen).tolist():
         text = column[row].as_py()
         rows.append(row)
         texts.append(text)
         size += len(text)
-        if size > 2 << 20:
+        if size > 1 << 19:
             yield np.array(rows), texts
             rows, texts, size = [], [], 0
     if rows:
@@ -78,6 +80,7 @@ def _count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
             grams, _, times = Grams(texts).distinct()
             for g, c in zip(grams, (times * weight).tolist()):
                 counts[g] = counts.get(g, 0) + c
+    pa.default_memory_pool().release_unused()
     return pa.table([pa.array(np.full(len(counts), docs["g"][0].as_py())), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["g", "gram", "n"])
 
 
@@ -96,6 +99,7 @@ def _score(kind: pa.DataType, lang: pa.DataType):
             each = np.array([cost[g] for g in found])[inverse] if found else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(each)])
             total[rows], chars[rows] = sums[grams.edges[1:]] - sums[grams.edges[:-1]], np.diff(grams.edges)
+        pa.default_memory_pool().release_unused()
         return pa.table([docs["id"], docs["doc"], docs["lang"], docs["key"], pa.array(chars), pa.array(total)], names=names)
 
     return run
