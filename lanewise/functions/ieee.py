@@ -1,7 +1,7 @@
 """Column helpers with the arithmetic of C and IEEE 754, whatever spark.sql.ansi.enabled is.
 
 Each returns null for null operands. Operands used more than once are repeated in the expression;
-Spark's generated code evaluates equal subexpressions once.
+Spark's generated code evaluates equal subexpressions once, and the lowering binds large operands.
 """
 
 from __future__ import annotations
@@ -149,10 +149,19 @@ def fit(x: Column, t: DType) -> Column:
     return F.shiftright(F.shiftleft(x, 64 - t.bits), 64 - t.bits).cast(spark(t))
 
 
-def _long_add(a: Column, b: Column) -> Column:
-    low = a.bitwiseAND(_LOW) + b.bitwiseAND(_LOW)
-    high = F.shiftright(a, 32) + F.shiftright(b, 32) + F.shiftright(low, 32)
-    return F.coalesce(F.try_add(a, b), F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_LOW)))
+def long_sum(terms: list[tuple[int, Column]]) -> Column:
+    """The wrapping sum of bigints with signs: added one to the next, and where that overflows as decimals."""
+    plain = None
+    for sign, x in terms:
+        if plain is None:
+            plain = x if sign > 0 else F.try_subtract(F.lit(0).cast("long"), x)
+        else:
+            plain = F.try_add(plain, x) if sign > 0 else F.try_subtract(plain, x)
+    wide = None
+    for sign, x in terms:
+        x = x.cast(_DECIMAL)
+        wide = (x if sign > 0 else -x) if wide is None else (wide + x if sign > 0 else wide - x).cast(_DECIMAL)
+    return F.coalesce(plain, (F.pmod(wide + two_to(63), two_to(64)) - two_to(63)).cast("long"))
 
 
 def _long_multiply(a: Column, b: Column) -> Column:
@@ -161,7 +170,7 @@ def _long_multiply(a: Column, b: Column) -> Column:
     top, bottom = F.shiftright(low_b, 16), low_b.bitwiseAND(0xFFFF)
     middle = (high_a * low_b).bitwiseAND(_LOW) + (low_a * high_b).bitwiseAND(_LOW)
     first = F.shiftleft(low_a * top, 16)
-    slow = _long_add(_long_add(first, low_a * bottom), F.shiftleft(middle, 32))
+    slow = long_sum([(1, first), (1, low_a * bottom), (1, F.shiftleft(middle, 32))])
     return F.coalesce(F.try_multiply(a, b), slow)
 
 
@@ -183,22 +192,16 @@ def whole(op: str, a: Column, b: Column, t: DType) -> Column:
         return fit(a + b if op == "add" else a - b, t)
     a, b = a.cast("long"), b.cast("long")
     if t.bits == 64:
-        if op == "mul":
-            return _long_multiply(a, b)
-        return _long_add(a, b) if op == "add" else F.coalesce(F.try_subtract(a, b), _long_add(a, _long_negate(b)))
+        return _long_multiply(a, b) if op == "mul" else long_sum([(1, a), (1 if op == "add" else -1, b)])
     if op == "mul":
         return fit(_long_multiply(a, b) if t.bits == 32 and t.kind == "u" else a * b, t)
     return fit(a + b if op == "add" else a - b, t)
 
 
-def _long_negate(a: Column) -> Column:
-    return F.when(a == F.lit(-(1 << 63)), a).otherwise(-F.greatest(a, F.lit(-((1 << 63) - 1))))
-
-
 def negate(a: Column, t: DType) -> Column:
     if t == D.UINT64:
         return fit(-a.cast(_DECIMAL), t)
-    return _long_negate(a) if t.bits == 64 else fit(-a.cast("long"), t)
+    return long_sum([(-1, a)]) if t.bits == 64 else fit(-a.cast("long"), t)
 
 
 def whole_divide(a: Column, b: Column, t: DType) -> Column:

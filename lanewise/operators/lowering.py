@@ -54,11 +54,41 @@ _DOUBLE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+#: Operators whose Columns hold their operands once; those of the others repeat them.
+_ONCE = {"and", "or", "not", "where", "lt", "le", "gt", "ge", "eq", "ne", "cast", "neg", "const", "var", "reduce", "udf"}
+_ONCE |= {"exp", "sin", "cos", "tan", "sqrt", "asin", "acos", "atan", "sinh", "cosh", "tanh", "cbrt", "expm1", "exp2", "exp10", "atan2", "hypot", "pow"}
+#: Nodes of an operand from which on it is bound to a name instead of being repeated.
+_LARGE = 120
+
+
 class Lowering:
     """Builds Columns. ``columns`` gives each variable's Column, ``reduction`` that of a reduction node."""
 
     def __init__(self, columns: Callable[[str], Column], reduction: Callable[[Typed], Column] | None = None):
         self.columns, self.reduction = columns, reduction
+        self.weights: dict[int, int] = {}
+
+    def repeats(self, n: Typed) -> int:
+        """About how often the Column of a node holds its operands."""
+        t = n.dtype
+        if n.op in ("add", "sub", "mul"):
+            return 1 if t.kind in "fb" or t.kind in "iu" and t.bits < 64 else 2 if n.op != "mul" else 4
+        return 1 if n.op in _ONCE or any(a.dtype.is_text for a in n.args) else 4
+
+    def weight(self, n: Typed) -> int:
+        """About how many nodes the Column of n has."""
+        if id(n) not in self.weights:
+            inner = sum(self.weight(a) for a in n.args)
+            self.weights[id(n)] = 1 + (inner if inner > _LARGE else inner * self.repeats(n))
+        return self.weights[id(n)]
+
+    def terms(self, n: Typed, sign: int) -> list[tuple[int, Column]]:
+        """A sum of 64-bit integers as its terms, which may wrap in any order."""
+        if n.dtype == D.INT64 and n.op in ("add", "sub"):
+            return self.terms(n.args[0], sign) + self.terms(n.args[1], sign if n.op == "add" else -sign)
+        if n.dtype == D.INT64 and n.op == "neg":
+            return self.terms(n.args[0], -sign)
+        return [(sign, self.lower(n))]
 
     def lower(self, n: Typed) -> Column:
         t = n.dtype
@@ -70,8 +100,21 @@ class Lowering:
             if self.reduction is None:
                 raise EvaluationError("a reduction has no value for a single row; apply the expression to a DataFrame")
             return self.reduction(n)
-        args = [self.lower(a) for a in n.args]
         types = [a.dtype for a in n.args]
+        if t == D.INT64 and n.op in ("add", "sub", "neg"):
+            return ieee.long_sum(self.terms(n, 1))
+        args = [self.lower(a) for a in n.args]
+        if sum(self.weight(a) for a in n.args) > _LARGE and self.repeats(n) > 1 and not self.in_python(n):
+            # a lambda binds the operands once; it costs generated code for this node only
+            one = F.array(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)]))
+            return F.element_at(F.transform(one, lambda s: self.operation(n, [s[f"a{i}"] for i in range(len(args))], types)), 1)
+        return self.operation(n, args, types)
+
+    def in_python(self, n: Typed) -> bool:
+        return n.op in special.SCALAR or n.op in ("npr", "udf")
+
+    def operation(self, n: Typed, args: list[Column], types: list[DType]) -> Column:
+        t = n.dtype
         if n.op == "cast":
             return ieee.cast(args[0], types[0], t)
         if n.op == "udf":

@@ -193,6 +193,20 @@ def test_udfs(spark):
     assert values(df, "sin(x)", udfs=[shadow]) == [7] * 5
 
 
+def test_long_and_deep_expressions(spark):
+    """Plans grow with the text, not with the power of its depth."""
+    x = np.array([2**63 - 1, -(2**63), 5, 0])
+    df = frame(spark, x=x, y=np.array([3.5, -0.0, 1e300, NAN]))
+    with np.errstate(all="ignore"):
+        for text in [" + ".join(["x"] * 40), "-(x - x * 3) - -x * x", "x * x * x * x * x * x", " - ".join(["x * 7"] * 12)]:
+            compiled = compile(text, df.schema)
+            assert values(df, text) == Vector(4, {"x": x}).run(compiled.tree).tolist(), text
+        y = np.array([3.5, -0.0, 1e300, NAN])
+        for text in ["y" + " / (1 + y" * 9 + ")" * 9, "y / y" + " / y % 3" * 8, "log(1 + " * 10 + "abs(y)" + ")" * 10, "floor(y / 3) + fmax(fmax(fmax(fmax(y, 1), y / 2), 3), -y)"]:
+            compiled = compile(text, df.schema)
+            assert same(values(df, text), Vector(4, {"y": y}).run(compiled.tree).tolist()), text
+
+
 def test_errors_have_codes():
     for text, names, code in (("1 +", {}, -2), ("a", {"a": "auto"}, -7), ("a + b", {"a": "auto", "b": "int8"}, -7), ("sum(sum(a))", {"a": "int8"}, -5), ("z < z", {"z": "complex64"}, -4), ("sin(s)", {"s": "str"}, -8)):
         with pytest.raises(ExpressionError) as e:
