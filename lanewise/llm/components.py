@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm._tables import cut
 
 
@@ -62,9 +63,9 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     Null ends, loops and repeated links are ignored; no links give no rows.
     """
     ends = links.toDF("a", "b").filter("a is not null and b is not null and a <> b")
-    edges = cut(ends.mapInArrow(_forests, "u bigint, v bigint").distinct())
+    edges = cut(ends.mapInArrow(M.batches(_forests), "u bigint, v bigint").distinct())
     if edges.count() <= one_task:
-        return edges.repartition(1).mapInArrow(_forest_of_all, "node bigint, component bigint")
+        return edges.repartition(1).mapInArrow(M.batches(_forest_of_all), "node bigint, component bigint")
     state = None
     while True:
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut
 
@@ -116,7 +117,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
     doc_id, text, item_id, item_text = columns
     schema = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
     kind = schema.schema["item_id"].dataType.simpleString()
-    prints = schema.mapInArrow(_item_prints(span, gram), f"item_id {kind}, family int, print bigint, around binary").distinct()
+    prints = schema.mapInArrow(M.batches(_item_prints(span, gram)), f"item_id {kind}, family int, print bigint, around binary").distinct()
     prints = cut(prints)
     sieve = np.zeros(SIEVE_BITS, bool)
     for row in prints.select(F.expr(f"print & {SIEVE_BITS - 1}").alias("bit")).distinct().toLocalIterator():
@@ -126,14 +127,14 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("key"))
     texts = texts.mapInArrow(
-        _text_prints(span, gram, short, np.packbits(sieve).tobytes(), SIEVE_BITS),
+        M.batches(_text_prints(span, gram, short, np.packbits(sieve).tobytes(), SIEVE_BITS)),
         f"doc_id {kind}, key string, n_words bigint, hits array<struct<family:int,print:bigint,at:bigint,around:binary>>",
     )
     texts = cut(texts)
     hits = texts.filter(F.size("hits") > 0).select("key", F.inline("hits"))
     met = hits.join(prints.withColumnRenamed("around", "i_around"), ["family", "print"])
     kind = prints.schema["item_id"].dataType.simpleString()
-    windows = met.select("key", "item_id", "at", "family", "around", "i_around").mapInArrow(_extend(span, gram), f"key string, item_id {kind}, start bigint, stop bigint")
+    windows = met.select("key", "item_id", "at", "family", "around", "i_around").mapInArrow(M.batches(_extend(span, gram)), f"key string, item_id {kind}, start bigint, stop bigint")
     return texts.drop("hits"), windows.distinct()
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut
@@ -292,7 +293,7 @@ def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     """(x, y), x > y: representatives of pairs of sets whose whole signatures allow a link."""
     first, second = (sets.select(F.col("set").alias(a), F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for a, x in (("a", "x"), ("b", "y")))
     met = pairs.distinct().join(first, "a").join(second, "b").filter("x <> y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits")
-    close = met.mapInArrow(_close(shape), "x bigint, y bigint")
+    close = met.mapInArrow(M.batches(_close(shape)), "x bigint, y bigint")
     return cut(close.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
 
 
@@ -302,9 +303,9 @@ def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     bits = np.zeros(SIEVE_BITS, bool)
     for row in pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).select(slot.alias("slot")).distinct().toLocalIterator():
         bits[row.slot] = True
-    texts = docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(_sieve(np.packbits(bits).tobytes()), "doc_id bigint, text string")
+    texts = docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), "doc_id bigint, text string")
     met = pairs.join(texts.toDF("x", "x_text"), "x").join(texts.toDF("y", "y_text"), "y")
-    return cut(met.select("x", "y", "x_text", "y_text").mapInArrow(_verify(shape), "x bigint, y bigint").distinct())
+    return cut(met.select("x", "y", "x_text", "y_text").mapInArrow(M.batches(_verify(shape)), "x bigint, y bigint").distinct())
 
 
 def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
@@ -330,7 +331,7 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     doc_id, text = columns
     shape = Shape(gram, percent)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = cut(docs.mapInArrow(_describe(gram), "doc_id bigint, n bigint, set bigint, set2 bigint, bits binary, slot bigint, times bigint"))
+    described = cut(docs.mapInArrow(M.batches(_describe(gram)), "doc_id bigint, n bigint, set bigint, set2 bigint, bits binary, slot bigint, times bigint"))
     rows = described.filter("slot is null").select("doc_id", "n", "set", "set2", "bits")
     sets = cut(rows.filter("n > 0").groupBy("n", "set", "set2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
 
@@ -340,7 +341,7 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
         ranks[row.slot] = COMMON - place
     entries = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(16, int(entries * ENTRY.itemsize / BUCKET_BYTES))
-    found = docs.select("text").mapInArrow(_entries(shape, ranks, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_tiles(shape), "a bigint, b bigint, tile bigint, entry binary")
+    found = docs.select("text").mapInArrow(M.batches(_entries(shape, ranks, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_tiles(shape)), "a bigint, b bigint, tile bigint, entry binary")
     found = cut(found)
     close = _candidates(sets, found.filter("tile is null").select("a", "b"), shape)
     links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
@@ -355,7 +356,7 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     named = sets.join(known, sets["doc_id"] == known["node"], "left").groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
     split = large.join(named, "set")
     several = split.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("id")
-    more = split.join(several, "id").groupBy("id").applyInArrow(_rest(shape), "a bigint, b bigint")
+    more = split.join(several, "id").groupBy("id").applyInArrow(M.group(_rest(shape)), "a bigint, b bigint")
     more = cut(apart(close).union(apart(_candidates(sets, more, shape))).distinct())
     if more.take(1):
         known = components(links.union(_links(docs, more, shape)))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
 
 #: File of the public piece vocabulary.
@@ -291,8 +292,8 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
         place = F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 30)) / float(1 << 30)
         share = F.create_map(*[F.lit(x) for k in languages for x in (k, each / shares[k])])[F.col("lang")]
         chosen = labelled.filter(place < share).select("lang", "text")
-        counts = chosen.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+        counts = chosen.mapInArrow(M.batches(_word_counts), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
         p = learn(counts, languages, Pieces(pieces))
         prior = np.log(np.array([shares[k] for k in languages]) / sum(shares.values()))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(pieces, p, prior, languages), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(M.batches(_predict(pieces, p, prior, languages)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

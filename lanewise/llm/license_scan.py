@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut
 
@@ -120,7 +121,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("key"))
     scanned = source.mapInArrow(
-        _scan(phrases, known, gram),
+        M.batches(_scan(phrases, known, gram)),
         f"doc_id {kind}, key string, n_words bigint, n_base bigint, first_word bigint, last_word bigint, named array<string>, hits array<struct<gram:bigint,at:bigint>>",
     )
     scanned = cut(scanned)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut, written
@@ -255,16 +256,16 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     named by its least node."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
-    found = written(docs.select("text").mapInArrow(_bands(size, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, band bigint"))
+    found = written(docs.select("text").mapInArrow(M.batches(_bands(size, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_meet), "a bigint, b bigint, band bigint"))
     pairs = written(found.filter("a <> b").select("a", "b").distinct())
     bits = np.zeros(SIEVE_BITS, bool)
     for row in pairs.select(F.explode(F.array("a", "b")).alias("line")).select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
         bits[row.bit] = True
-    texts = written(docs.select("text").mapInArrow(_wanted(np.packbits(bits).tobytes()), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
+    texts = written(docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
 
     def verified(some: DataFrame) -> DataFrame:
         met = some.join(texts.toDF("a", "x_text"), "a").join(texts.toDF("b", "y_text"), "b")
-        return written(met.mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+        return written(met.mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
 
     def parts_of(rows: DataFrame, known: DataFrame, c: str) -> DataFrame:
         named = known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
@@ -277,7 +278,7 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     known = cut(components(links))
     members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
     several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    settled = written(members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(_settle(size, percent), "a bigint, b bigint"))
+    settled = written(members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(M.group(_settle(size, percent)), "a bigint, b bigint"))
     if settled.take(1):
         known = cut(components(links.union(settled)))
     return known.union(known.select("component", "component").distinct())
@@ -307,7 +308,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     doc_id, text = columns
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), rest.alias("rest"))
-    occurrences = written(named.select("doc", "text").mapInArrow(_occurrences, "doc bigint, at bigint, line bigint, line2 bigint"))
+    occurrences = written(named.select("doc", "text").mapInArrow(M.batches(_occurrences), "doc bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(known, F.col("line") == F.col("node"), "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut, written
@@ -181,15 +182,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
     )
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc")).distinct()
     held = F.pmod(F.xxhash64("doc", F.lit("held back")), F.lit(5)) == 0
-    by_group = dealt.mapInArrow(B.deal_rows, "g bigint, part binary").groupBy("g")
+    by_group = dealt.mapInArrow(M.batches(B.deal_rows), "g bigint, part binary").groupBy("g")
     learned = trusted.filter(~held).withColumn("g", deal(F.col("doc")))
-    counted = written(by_group.cogroup(learned.groupBy("g")).applyInArrow(_count, "g bigint, gram string, n bigint"))
+    counted = written(by_group.cogroup(learned.groupBy("g")).applyInArrow(M.cogroup(_count), "g bigint, gram string, n bigint"))
     counts = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     cost = probabilities(counts.filter("n > 0"), counts).select("gram", (-F.log("p")).alias("cost"))
     asked = counted.select("g", "gram").join(cost, "gram")
     kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("id", "lang")}
     arrow = [to_arrow_type(dealt.schema[c].dataType) for c in ("id", "lang")]
-    scored = by_group.cogroup(asked.groupBy("g")).applyInArrow(_score(*arrow), f"doc_id {kinds['id']}, doc bigint, lang {kinds['lang']}, key string, n_chars bigint, cost double")
+    scored = by_group.cogroup(asked.groupBy("g")).applyInArrow(M.cogroup(_score(*arrow)), f"doc_id {kinds['id']}, doc bigint, lang {kinds['lang']}, key string, n_chars bigint, cost double")
     scored = cut(scored)
 
     known = scored.filter("n_chars > 0").join(trusted.filter(held), "doc")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
 from lanewise.llm._tables import cut
 
@@ -251,11 +252,11 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     kind = docs.schema[doc_id].dataType.simpleString()
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     scanned = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    scanned = cut(scanned.mapInArrow(_scan, f"doc_id {kind}, base {span}, candidates array<struct<start:bigint,end:bigint,window:string,label:int>>"))
+    scanned = cut(scanned.mapInArrow(M.batches(_scan), f"doc_id {kind}, base {span}, candidates array<struct<start:bigint,end:bigint,window:string,label:int>>"))
     labelled = scanned.filter(F.size("candidates") > 0).select(F.inline("candidates")).select("window", "label").distinct().withColumn("h", F.xxhash64("window"))
     sample = [labelled.filter(F.col("label") == y).orderBy("h", "window").limit(findings).toPandas() for y in (0, 1)]
     known = pd.concat(sample).sort_values(["h", "window"], ignore_index=True)
-    return scanned.mapInArrow(_score(train_both(known, recall)), f"doc_id {kind}, base {span}, added {span}, score double")
+    return scanned.mapInArrow(M.batches(_score(train_both(known, recall))), f"doc_id {kind}, base {span}, added {span}, score double")
 
 
 def listed(spans) -> F.Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
 
@@ -262,9 +263,9 @@ def cut_repeats(docs: DataFrame, k: int = 13, anchor: int = 6, columns: tuple[st
         F.pmod(F.xxhash64(F.coalesce(number, F.xxhash64(text))), F.lit(groups)).alias("g"),
     )
     by_group = dealt.groupBy("g")
-    parts = by_group.applyInArrow(_emit_paths(shape, buckets), B.SCHEMA)
-    answers = parts.groupBy("bucket").applyInArrow(_resolve_paths, B.SCHEMA).withColumnRenamed("bucket", "g")
-    edges = by_group.cogroup(answers.groupBy("g")).applyInArrow(_emit_edges(shape, buckets), B.SCHEMA)
-    more = edges.groupBy("bucket").applyInArrow(_resolve_edges, B.SCHEMA).withColumnRenamed("bucket", "g")
+    parts = by_group.applyInArrow(M.group(_emit_paths(shape, buckets)), B.SCHEMA)
+    answers = parts.groupBy("bucket").applyInArrow(M.group(_resolve_paths), B.SCHEMA).withColumnRenamed("bucket", "g")
+    edges = by_group.cogroup(answers.groupBy("g")).applyInArrow(M.cogroup(_emit_edges(shape, buckets)), B.SCHEMA)
+    more = edges.groupBy("bucket").applyInArrow(M.group(_resolve_edges), B.SCHEMA).withColumnRenamed("bucket", "g")
     out = by_group.cogroup(answers.union(more).groupBy("g"))
-    return out.applyInArrow(_cut_out(shape, None), f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")
+    return out.applyInArrow(M.cogroup(_cut_out(shape, None)), f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanewise.llm import _memory as M
 from lanewise.llm._tables import cut
 
 #: Candidates and queries in a block, on average; a task holds one block of each.
@@ -206,6 +207,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, columns: tuple[str,
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     candidates = kept.select("vec_id", "v", deal(parts).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = rows.filter("asks").select("vec_id", "v").distinct().select("vec_id", "v", deal(groups).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    found = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInArrow(M.cogroup(_search(k)), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
