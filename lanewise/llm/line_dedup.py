@@ -277,7 +277,9 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     links = links.union(verified(apart))
     known = cut(components(links))
     members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
-    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
+    # similar lines often share several bands: of bands with the same lines one is enough
+    several = several.filter("lo <> hi").groupBy("lines", "n").agg(F.min("band").alias("band")).select("band")
     settled = written(members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(M.group(_settle(size, percent)), "a bigint, b bigint"))
     if settled.take(1):
         known = cut(components(links.union(settled)))
