@@ -29,7 +29,10 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    """Halves away from zero, in doubles as SQL engines do it; Spark's own goes through decimals."""
+    x, scale = F.col(c) if isinstance(c, str) else c, 10.0**digits
+    whole = F.floor(F.abs(x) * scale + 0.5).cast("double")
+    return F.when(F.abs(x) < 4e18 / scale, F.signum(x) * whole / scale + 0.0).otherwise(x.cast("double"))
 
 
 def kind(c: str) -> Column:
@@ -437,7 +440,7 @@ register(
 def _vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector of embeddings as a block of one array."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "x"))
-    return df.groupBy("vec_id").agg(rounded(agg("sum(x * x)", df.schema, "float64"), 3).alias("norm2"), rounded(agg("max(abs(x))", df.schema), 3).cast("double").alias("top"))
+    return df.groupBy("vec_id").agg(rounded(agg("sum(x * x)", df.schema, "float64"), 3).alias("norm2"), F.round(agg("max(abs(x))", df.schema), 3).cast("double").alias("top"))
 
 
 register("vector_norms", _vector_norms, "SELECT vec_id, round(sum((x * x)::FLOAT::DOUBLE), 3) AS norm2, round(max(abs(x)), 3)::DOUBLE AS top FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
