@@ -52,8 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold windows of two or more benchmark items."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of a benchmark item."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1)
     return _without(docs, judged.filter("contaminated").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key")).distinct())
 
 

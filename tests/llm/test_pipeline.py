@@ -54,6 +54,18 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert again == {d: r.taken for d, r in last.items()}
 
 
+def test_one_benchmark_item_is_enough(spark, tmp_path):
+    import corpus_pipeline as P
+
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    item, half = say(30), say(20)
+    docs = [(1, say(40)), (2, f"{say(9)} {item} {say(9)}"), (3, f"{say(9)} {' '.join(half.split()[4:14])} {say(9)}"), (4, None), (5, " ".join(item.split()[:7]))]
+    spark.createDataFrame([(1, item), (2, half)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.clean_of_benchmark(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4, 5]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_queries_against_sql(spark):
     """The queries that have SQL, on the smallest tables."""
