@@ -44,8 +44,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    groups = jaccard_components(docs)
+    """The document of smallest id of each group of near duplicates: texts that share 80 hundredths of their 5-word shingles."""
+    groups = jaccard_components(docs, gram=5, percent=80)
     copies = groups.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     copies = small_or_shuffled(copies.select(F.col("doc_id").alias("r_id")).distinct())
     return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("r_id")), "left_anti")

@@ -66,6 +66,18 @@ def test_one_benchmark_item_is_enough(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == [1, 4, 5]
 
 
+def test_near_duplicates_by_five_words(spark):
+    """A copy with 15 hundredths appended links by 5-word shingles at 0.8, not by 3 words at 0.9."""
+    import corpus_pipeline as P
+
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    text = say(100)
+    docs = [(1, text), (2, f"{text} {say(15)}"), (3, f"{text} {say(40)}"), (4, say(100))]
+    out = P.near_duplicates(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_queries_against_sql(spark):
     """The queries that have SQL, on the smallest tables."""
