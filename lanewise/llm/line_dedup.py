@@ -115,7 +115,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, number in line_blocks(batch.column("text")):
             row = pa.array(block.first + block.text_of_word())
-            yield pa.record_batch([batch.column("doc").take(row), pa.array(number), pa.array(W.signed(block.hashes)), pa.array(W.signed(W.second_hashes(block)))], names=["doc", "at", "line", "line2"])
+            yield pa.record_batch([batch.column("doc").take(row), batch.column("key").take(row), pa.array(number), pa.array(W.signed(block.hashes)), pa.array(W.signed(W.second_hashes(block)))], names=["doc", "key", "at", "line", "line2"])
 
 
 def _bands(size: int, buckets: int):
@@ -303,23 +303,24 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     by 128 bits and count once in all of this; a line that is in very many documents is one row of every
     join but the last, which Spark splits, as the other side has one row for it.
 
-    Blank lines always stay, also of empty texts; null text stays null and has no lines. A row
-    without id comes after all others. Rows that share an id are one document: the line kept in
-    one is kept in each of them. An empty table gives an empty result. Other columns are ignored.
+    Blank lines always stay, also of empty texts; null text stays null and has no lines. Rows
+    without id come after all others. Rows that share an id and the text are one document: the line
+    kept in one is kept in each of them. Of different texts with one id, or with none, each is a
+    document of its own, ordered by a hash of the text. An empty table gives an empty result. Other columns are ignored.
     """
     doc_id, text = columns
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), rest.alias("rest"))
-    occurrences = written(named.select("doc", "text").mapInArrow(M.batches(_occurrences), "doc bigint, at bigint, line bigint, line2 bigint"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("key"), rest.alias("rest"))
+    occurrences = written(named.select("doc", "key", "text").mapInArrow(M.batches(_occurrences), "doc bigint, key bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
-    lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+    lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(known, F.col("line") == F.col("node"), "left")
     lines = lines.select("line", "line2", "first", "n", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2"))
     alone = lines.groupBy("part", "part2").agg(F.min("first").alias("stays"), F.sum("n").alias("times")).filter("times > 1").select("part", "part2", "stays")
     repeated = lines.join(alone, ["part", "part2"]).select("line", "line2", "stays")
-    gone = occurrences.join(repeated, ["line", "line2"]).filter(F.struct("doc", "at") != F.col("stays")).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
+    gone = occurrences.join(repeated, ["line", "line2"]).filter(F.struct("doc", "key", "at") != F.col("stays")).groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     each = F.split("text", "\n", -1)
     left = F.array_join(F.filter(each, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
-    return named.join(gone, "doc", "left").select(
+    return named.join(gone, ["doc", "key"], "left").select(
         "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(each)).cast("long").alias("n_lines"), "dropped", "rest"
     )

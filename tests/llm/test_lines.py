@@ -69,6 +69,14 @@ def test_repeated_rows_and_carried_columns(spark, docs_of):
     assert sorted((r.doc_id, r.text, r.rest.source, r.rest.doc) for r in rows) == [(1, "p\nq", "s", "x"), (1, "p\nq", "s", "x"), (2, "r", "s", "x")]
 
 
+def test_rows_without_id_are_apart(spark, docs_of):
+    """A line repeated in one row takes none from the same place of other rows without id, or of the same id."""
+    docs = [(1, "alpha"), (None, "first\nalpha\nthird"), (None, "fourth\nfifth\nsixth"), (7, "seventh\nalpha"), (7, "eighth\nninth"), (None, "same\nsame\nx1"), (None, "same\nsame\ny2")]
+    texts = [r.text for r in dedup_lines(docs_of(docs)).collect()]
+    assert {"first\nthird", "fourth\nfifth\nsixth", "seventh", "eighth\nninth"} <= set(texts)
+    assert sum(t.split("\n").count("same") for t in texts) == 1
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_banding_recall(similarity):
     import numpy as np
