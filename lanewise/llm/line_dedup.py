@@ -16,7 +16,7 @@ from lanewise.llm._tables import cut, written
 from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
-SHINGLE, BANDS, ROWS = 8, 12, 4
+SHINGLE, BANDS, ROWS = 5, 12, 4
 #: Bytes of band entries that a bucket holds on average.
 BUCKET_BYTES = 12 << 20
 SIEVE_BITS = 1 << 23

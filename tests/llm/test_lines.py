@@ -77,6 +77,21 @@ def test_rows_without_id_are_apart(spark, docs_of):
     assert sum(t.split("\n").count("same") for t in texts) == 1
 
 
+def test_short_lines_with_a_word_changed(spark, docs_of):
+    """Lines of 90 to 120 characters with one word of five letters changed, and of 50 characters with one letter changed."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    docs, want = [], set()
+    for i in range(20):
+        w = [word() for _ in range(15 + i % 6)]
+        docs += [(i, " ".join(w)), (100 + i, " ".join([*w[:7], "zzzzz", *w[8:]]))]
+        w = " ".join(word() for _ in range(8)) + "ab"
+        docs += [(200 + i, w), (300 + i, w[:-1] + "z")]
+        want |= {i, 200 + i}
+    rows = dedup_lines(docs_of(docs)).collect()
+    assert {r.doc_id for r in rows if not r.dropped} == want
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_banding_recall(similarity):
     import numpy as np
