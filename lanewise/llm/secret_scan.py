@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,14 +26,20 @@ MARKS = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"]
 #: The kind of spans that the network adds; it sorts after the others.
 ADDED = "model"
 
-#: Characters that candidates are made of, and how many make one.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters of the shortest candidate: the least value of the first pattern, of whose characters candidates are made.
+LEAST = PATTERNS[0][3]
 #: Characters of context before a candidate, of the candidate, and after it that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 12
 WINDOW = BEFORE + INSIDE + AFTER
+#: Characters between the starts of the windows of a candidate that one window can't hold.
+STEP = INSIDE // 2
+#: Logits are counted in slots of 1 / SLOTS, from -EDGE to EDGE.
+SLOTS, EDGE = 64, 40
+#: Bytes of text that are scored at once.
+GROUP_BYTES = 1 << 18
 
 _MADE = np.zeros(256, bool)
-_MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-"]] = True
+_MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
@@ -46,30 +52,80 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
+@dataclass
+class Found:
+    """Candidates of some consecutive texts, and the windows over them."""
+
+    x: np.ndarray  # characters of the texts, up to 127, with BEFORE zeros around each text
+    text: np.ndarray  # of each candidate: its text, start and end in x, and label
+    start: np.ndarray
+    end: np.ndarray
+    label: np.ndarray  # 1: ends a base span or goes beyond it; 2: in a base span before its value
+    zero: np.ndarray  # where each text starts in x
+    base: dict[int, list[tuple[str, int, int]]]
+    of: np.ndarray  # of each window: its candidate, and start and end in x
+    first: np.ndarray
+    last: np.ndarray
+    hash: np.ndarray
+
+    def window(self, i: int) -> str:
+        a, b = int(self.first[i]), int(self.last[i])
+        return (self.x[a - BEFORE : a].tobytes() + self.x[a:b].tobytes().ljust(INSIDE, b"\0") + self.x[b : b + AFTER].tobytes()).decode("ascii")
+
+
+def _found(buf: np.ndarray, text_at: np.ndarray) -> Found:
+    texts = len(text_at) - 1
+    whole = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    gap = BEFORE * np.arange(1, texts + 1)
+    zero = whole[text_at[:-1]] + gap
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    x = np.zeros(int(whole[-1]) + BEFORE * (texts + 1), np.uint8)
+    x[np.arange(len(lead)) + np.repeat(gap, np.diff(whole[text_at]))] = np.minimum(buf[lead], 127)
+    start, end = W.word_spans(buf, text_at, _MADE)
+    signs = np.append(np.flatnonzero(buf == 0x3D), len(buf))
+    sign = signs[np.searchsorted(signs, start)]
+    parted = end - sign > LEAST
+    start, end = np.sort(np.concatenate([start, sign[parted] + 1])), np.sort(np.concatenate([end, sign[parted]]))
+    long = end - start >= LEAST
+    start, end = start[long], end[long]
+    text = np.searchsorted(text_at, start, side="right") - 1
+    start, end = whole[start] + gap[text], whole[end] + gap[text]
+    label, base = np.zeros(len(start), np.int64), {}
+    for t in _suspects(buf, text_at).tolist():
+        base[t] = base_spans(buf[text_at[t] : text_at[t + 1]].tobytes().decode("utf-8", "replace"))
+        for _, a, b in base[t]:
+            met = np.arange(np.searchsorted(end, zero[t] + a, side="right"), np.searchsorted(start, zero[t] + b))
+            label[met] = np.where((end[met] >= zero[t] + b) | (label[met] == 1), 1, 2)
+    count = np.maximum(1, -(-(end - start - INSIDE) // STEP) + 1)
+    of = np.repeat(np.arange(len(start)), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    first = np.where(count[of] == 1, start[of], np.minimum(start[of] + STEP * nth, end[of] - INSIDE))
+    last = np.minimum(first + INSIDE, end[of])
+    up, down = W._tables(len(x))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W._VALUES[x] * up[: len(x)])])
+    a, b = first - BEFORE, last + AFTER
+    hashes = W.mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return Found(x, text, start, end, label, zero, base, of, first, last, hashes)
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int]]:
-    """start, end, window and label of every run of CANDIDATE that holds a digit and a letter.
+    """start, end, window and label of every run of LEAST or more characters of _MADE. A run whose
+    first equals sign has LEAST or more characters after it is parted there, into name and value.
 
-    The label is 1 if a fixed pattern found it. A window has the same layout for every candidate;
-    of a longer candidate it holds the first and the last characters.
+    The label is 1 if a fixed pattern found it, 2 if it only names the secret of a base span. A
+    window has the same layout for every candidate: what stands before, the candidate, what stands
+    after. A candidate longer than INSIDE has several windows, each at least STEP characters over
+    its neighbour, so that each of its characters is seen.
     """
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-            continue
-        start, end = m.span()
-        shown = run if len(run) <= INSIDE else run[: INSIDE // 2] + run[-(INSIDE // 2) :]
-        window = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + shown.ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
-        out.append((start, end, window, int(any(s < end and start < e for _, s, e in base))))
-    return out
+    buf = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    f = _found(buf, np.array([0, len(buf)]))
+    return [(int(f.start[c] - f.zero[0]), int(f.end[c] - f.zero[0]), f.window(i), int(f.label[c])) for i, c in enumerate(f.of.tolist())]
 
 
 def _suspects(buf: np.ndarray, text_at: np.ndarray) -> np.ndarray:
-    """Texts that can hold a match or a candidate; the others hold none."""
-    at = []
-    for made_of, least in ((_HEX, 24), (_MADE, 16)):
-        start, end = W.word_spans(buf, text_at, made_of)
-        at.append(start[end - start >= least])
+    """Texts that can hold a match of a pattern; the others hold none."""
+    start, end = W.word_spans(buf, text_at, _HEX)
+    at = [start[end - start >= 24]]
     raw = buf.tobytes()
     low = raw.lower()
     for data, mark in [(raw, b"AKIA"), *((low, m) for m in MARKS)]:
@@ -82,25 +138,38 @@ def _suspects(buf: np.ndarray, text_at: np.ndarray) -> np.ndarray:
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("window", pa.string()), ("label", pa.int32())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        base: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        more: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        for first, buf, text_at in W.text_groups(batch.column("text")):
-            for t in _suspects(buf, text_at).tolist():
-                text = buf[text_at[t] : text_at[t + 1]].tobytes().decode("utf-8", "replace")
-                found = base_spans(text)
-                base[first + t] = [{"kind": k, "start": s, "end": e} for k, s, e in found]
-                more[first + t] = [{"start": s, "end": e, "window": w, "label": y} for s, e, w, y in candidates(text, found)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(more, pa.list_(_CANDIDATE))], names=["doc_id", "base", "candidates"])
+def _sample(findings: int):
+    """Of each task the distinct windows of smallest hash, up to ``findings`` of either label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[dict[int, str]] = [{}, {}]
+        for batch in batches:
+            for _, buf, text_at in W.text_groups(batch.column("text")):
+                f = _found(buf, text_at)
+                for y in (0, 1):
+                    rows = np.flatnonzero((f.label[f.of] == 1) == y)
+                    h, at = np.unique(f.hash[rows], return_index=True)
+                    if len(best[y]) >= findings:
+                        near = h <= np.uint64(max(best[y]))
+                        h, at = h[near], at[near]
+                    for k, i in zip(h[:findings].tolist(), rows[at[:findings]].tolist()):
+                        if k not in best[y]:
+                            best[y][k] = f.window(i)
+                    best[y] = {k: best[y][k] for k in sorted(best[y])[:findings]}
+        rows = [(y, k, w) for y in (0, 1) for k, w in best[y].items()]
+        y, k, w = zip(*rows) if rows else ((), (), ())
+        yield pa.record_batch([pa.array(y, pa.int32()), pa.array(W.signed(np.array(k, np.uint64)), pa.int64()), pa.array(w, pa.string())], names=["label", "h", "window"])
+
+    return run
 
 
 class CharNet:
     """Characters to vectors, one convolution, ReLU, the largest and the mean value of each filter
-    over the places, and a logistic output; trained by Adam on windows and labels."""
+    over the places of the candidate and over those around it, and a logistic output; trained by
+    Adam on windows and labels. Places that hold padding, or that are partly in the candidate, don't
+    count, so that the values of a place are the same in all windows."""
 
     SYMBOLS, WIDTH, DIM, FILTERS = 128, 5, 12, 24
 
@@ -110,10 +179,10 @@ class CharNet:
             "embed": r.normal(0, 0.3, (self.SYMBOLS, self.DIM)),
             "conv": r.normal(0, 0.2, (self.WIDTH * self.DIM, self.FILTERS)),
             "bias": np.zeros(self.FILTERS),
-            "out": r.normal(0, 0.2, 2 * self.FILTERS),
+            "out": r.normal(0, 0.2, 4 * self.FILTERS),
             "out_bias": np.zeros(1),
         }
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.least = 1.0, 0.0, 0.0
 
     @staticmethod
     def codes(windows: list[str]) -> np.ndarray:
@@ -126,10 +195,46 @@ class CharNet:
         places = x.shape[1] - self.WIDTH + 1
         wide = np.concatenate([e[:, j : j + places] for j in range(self.WIDTH)], axis=2)
         z = wide @ self.p["conv"] + self.p["bias"]
-        a = np.maximum(z, 0)
-        top = a.argmax(axis=1)
-        pooled = np.concatenate([np.take_along_axis(a, top[:, None, :], 1)[:, 0], a.mean(axis=1)], axis=1)
-        return wide, z, top, pooled, pooled @ self.p["out"] + self.p["out_bias"]
+        held = np.stack([x[:, j : j + places] > 0 for j in range(self.WIDTH)]).all(axis=0)
+        a, tops, parts, counts = np.maximum(z, 0), [], [], []
+        for region in REGIONS:
+            mine = (held & region)[:, :, None]
+            b, n = a * mine, np.maximum(mine.sum(axis=1), 1)
+            top = b.argmax(axis=1)
+            parts += [np.take_along_axis(b, top[:, None, :], 1)[:, 0], b.sum(axis=1) / n]
+            tops.append(top)
+            counts.append(mine / n[:, None])
+        pooled = np.concatenate(parts, axis=1)
+        return wide, z, (tops, counts), pooled, pooled @ self.p["out"] + self.p["out_bias"]
+
+    def scores(self, f: Found, rows: np.ndarray) -> np.ndarray:
+        """Of some windows what candidate and surroundings add to the logit; each place of the texts is convolved once."""
+        w, n, k = self.p["embed"].astype(np.float32), len(f.x) - self.WIDTH + 1, self.FILTERS
+        a, held = np.repeat(self.p["bias"].astype(np.float32)[None], n, axis=0), np.ones(n, bool)
+        for j in range(self.WIDTH):
+            a += (w @ self.p["conv"][j * self.DIM : (j + 1) * self.DIM].astype(np.float32))[f.x[j : j + n]]
+            held &= f.x[j : j + n] > 0
+        a = np.maximum(a, 0, out=a)
+        a[~held] = 0
+        out, size = np.zeros((2, len(rows))), (f.last - f.first)[rows]
+        around = [*range(-BEFORE, 1 - self.WIDTH)]
+        for m in np.unique(size).tolist():
+            mine = np.flatnonzero(size == m)
+            inner, outer = np.arange(m - self.WIDTH + 1), np.array([*around, *range(m, m + AFTER - self.WIDTH + 1)])
+            for i in range(0, len(mine), 1024):
+                part = mine[i : i + 1024]
+                for side, places in enumerate((inner, outer)):
+                    at = f.first[rows[part]][:, None] + places
+                    b = a[at]
+                    pooled = np.concatenate([b.max(axis=1), b.sum(axis=1) / np.maximum(held[at].sum(axis=1), 1)[:, None]], axis=1)
+                    out[side, part] = pooled @ self.p["out"][2 * k * side : 2 * k * (side + 1)]
+        out[0] += self.p["out_bias"]
+        return out
+
+    def around(self, windows: list[str]) -> np.ndarray:
+        """What the surroundings of windows add to the logit."""
+        x, half = self.codes(windows), 2 * self.FILTERS
+        return np.concatenate([self._forward(x[i : i + 512])[-2][:, half:] @ self.p["out"][half:] for i in range(0, len(x), 512)])
 
     def logits(self, windows: list[str]) -> np.ndarray:
         x = self.codes(windows)
@@ -147,12 +252,16 @@ class CharNet:
             order = r.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
-                wide, z, top, pooled, logit = self._forward(x[rows])
+                wide, z, (tops, counts), pooled, logit = self._forward(x[rows])
                 d = balance[rows] * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels[rows]) / len(rows)
                 g = {"out": pooled.T @ d, "out_bias": np.array([d.sum()])}
                 back = d[:, None] * self.p["out"]
-                da = np.repeat(back[:, None, self.FILTERS :] / z.shape[1], z.shape[1], axis=1)
-                np.put_along_axis(da, top[:, None, :], np.take_along_axis(da, top[:, None, :], 1) + back[:, None, : self.FILTERS], 1)
+                da = np.zeros_like(z)
+                for k, (top, share) in enumerate(zip(tops, counts)):
+                    ahead = back[:, 2 * k * self.FILTERS :]
+                    da += share * ahead[:, None, self.FILTERS : 2 * self.FILTERS]
+                    hit = np.take_along_axis(np.broadcast_to(share > 0, z.shape), top[:, None, :], 1)
+                    np.put_along_axis(da, top[:, None, :], np.take_along_axis(da, top[:, None, :], 1) + hit * ahead[:, None, : self.FILTERS], 1)
                 dz = da * (z > 0)
                 g["conv"] = wide.reshape(-1, wide.shape[2]).T @ dz.reshape(-1, self.FILTERS)
                 g["bias"] = dz.sum((0, 1))
@@ -166,71 +275,110 @@ class CharNet:
                     v[k] = 0.999 * v[k] + 0.001 * a * a
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, windows: list[str], labels: np.ndarray, recall: float, steps: int = 200) -> None:
-        """Platt's scale and shift on held-back findings. The threshold is the highest with that recall
-        on them, moved down half the way to the likeliest finding below that is no secret."""
-        z = self.logits(windows)
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -60, 60)))
-            self.scale = max(0.05, self.scale - 0.1 * float(np.mean((p - labels) * z)))
-            self.shift -= 0.1 * float(np.mean(p - labels))
-        p = self.probability(windows)
-        found = np.sort(p[labels == 1])
-        if len(found):
-            highest = found[int((1 - recall) * len(found))]
-            others = p[(labels == 0) & (p < highest)]
-            self.threshold = float(highest + others.max()) / 2 if len(others) else float(highest)
-
-
-def fold(window: str) -> int:
-    return zlib.crc32(window.encode("utf-8", "replace")) & 1
-
-
-def train_both(findings: pd.DataFrame, recall: float) -> list[CharNet] | None:
-    """A network for the windows of each fold, trained on the other fold, so that none is scored by a
-    network that learned its label."""
-    place = findings.window.map(fold)
-    nets = [train(findings[place != f].reset_index(drop=True), recall) for f in (0, 1)] if len(findings) else [None]
+    def calibrate(self, at: np.ndarray, secrets: np.ndarray, others: np.ndarray, recall: float, moved: np.ndarray) -> None:
+        """Platt's scale and shift, from counts of labelled secrets and of other findings by logit. The
+        least logit of an added span is the highest with that recall of the secrets and of ``moved``, the
+        same secrets in other surroundings (as added ones don't follow the patterns' words), moved down half the way to the
+        likeliest finding below that is no secret."""
+        total, w = secrets + others, np.zeros(2)
+        w[0] = 1.0
+        z = np.stack([at, np.ones(len(at))], axis=1)
+        loss = lambda w: float((total * np.logaddexp(0, z @ w) - secrets * (z @ w)).sum() + 0.01 * (w @ w))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
+            step = np.linalg.solve((z * (total * p * (1 - p))[:, None]).T @ z + 0.02 * np.eye(2), z.T @ (total * p - secrets) + 0.02 * w)
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+        self.scale, self.shift = max(0.05, float(w[0])), float(w[1])
+        every = secrets + moved
+        below = np.flatnonzero(every.sum() - np.cumsum(every) + every >= recall * every.sum())
+        highest = below[-1] if every.any() else len(at) - 1
+        lower = np.flatnonzero(others[:highest])
+        half = 0.5 / SLOTS
+        self.least = float(at[highest] + at[lower[-1]]) / 2 if len(lower) else float(at[highest] - half)
+
+
+_PLACES = np.arange(WINDOW - CharNet.WIDTH + 1)
+#: Places of the candidate, and of what stands around it.
+REGIONS = ((_PLACES >= BEFORE) & (_PLACES <= BEFORE + INSIDE - CharNet.WIDTH), (_PLACES <= BEFORE - CharNet.WIDTH) | (_PLACES >= BEFORE + INSIDE))
+
+
+def train_both(findings: pd.DataFrame) -> list[CharNet] | None:
+    """A network for the windows of each fold (the last bit of the hash), trained on the other fold,
+    so that none scores, or is calibrated on, a window that it learned."""
+    fold = findings.h.to_numpy().astype(np.int64) & 1
+    nets = [train(findings[fold != f].reset_index(drop=True)) for f in (0, 1)]
     return None if None in nets else nets
 
 
-def train(findings: pd.DataFrame, recall: float) -> CharNet | None:
-    """A network from window and label; None unless both labels occur often enough to hold some back."""
-    if findings.empty or findings.label.value_counts().reindex([0, 1], fill_value=0).min() < 4:
+def train(findings: pd.DataFrame) -> CharNet | None:
+    """A network from window and label; None unless both labels occur."""
+    if findings.empty or findings.label.value_counts().reindex([0, 1], fill_value=0).min() < 1:
         return None
-    held = np.arange(len(findings)) % 4 == 3
-    net, y = CharNet(), findings.label.to_numpy().astype(float)
-    windows, labels = findings.window[~held].tolist(), y[~held]
+    net, labels, windows = CharNet(), findings.label.to_numpy().astype(float), findings.window.tolist()
     # secrets once more after what stands before others, as a secret need not follow a known word
     ahead = [w[:BEFORE] for w, v in zip(windows, labels) if v == 0]
-    moved = [ahead[i % len(ahead)] + w[BEFORE:] for i, w in enumerate(w for w, v in zip(windows, labels) if v == 1)] if ahead else []
+    moved = [ahead[i % len(ahead)] + w[BEFORE:] for i, w in enumerate(w for w, v in zip(windows, labels) if v == 1)]
     net.fit(windows + moved, np.concatenate([labels, np.ones(len(moved))]))
-    if 0 < y[held].sum() < held.sum():
-        net.calibrate(findings.window[held].tolist(), y[held], recall)
+    net.elsewhere = net.around([w for w, v in zip(windows, labels) if v == 0])
     return net
 
 
+def _logits(nets: list[CharNet], f: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window the fold, the logit, and the logit with the surroundings of a fitted finding that is no secret."""
+    fold = (f.hash & np.uint64(1)).astype(np.int64)
+    out, moved = np.zeros(len(fold)), np.zeros(len(fold))
+    for k, net in enumerate(nets):
+        mine = np.flatnonzero(fold == k)
+        if len(mine):
+            inner, outer = net.scores(f, mine)
+            out[mine] = inner + outer
+            moved[mine] = inner + net.elsewhere[((f.hash[mine] >> np.uint64(1)) % np.uint64(len(net.elsewhere))).astype(np.int64)]
+    return fold, out, moved
+
+
+def _counts(nets: list[CharNet]):
+    """Windows by fold, label (2: secrets in other surroundings) and slot of their logit, over all texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = 2 * EDGE * SLOTS + 1
+        total = np.zeros(6 * slots, np.int64)
+        for batch in batches:
+            for _, buf, text_at in W.text_groups(batch.column("text"), GROUP_BYTES):
+                f = _found(buf, text_at)
+                fold, z, moved = _logits(nets, f)
+                label = (f.label[f.of] == 1).astype(np.int64)
+                for kind, some, logit in ((label, label >= 0, z), (2, label == 1, moved)):
+                    slot = np.rint((np.clip(logit, -EDGE, EDGE) + EDGE) * SLOTS).astype(np.int64)
+                    total += np.bincount(((3 * fold + kind) * slots + slot)[some], minlength=6 * slots)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
 def _score(nets: list[CharNet] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_base, all_more, all_scores, added = batch.column("base").to_pylist(), batch.column("candidates").to_pylist(), [], []
-            windows = [c["window"] for row in all_more for c in row]
-            folds = np.array([fold(w) for w in windows], int)
-            found = np.zeros(len(windows))
-            for f, net in enumerate(nets or []):
-                mine = np.flatnonzero(folds == f)
-                found[mine] = net.probability([windows[i] for i in mine])
-            scored = iter(zip(found.tolist(), folds.tolist()))
-            for base, more in zip(all_base, all_more):
-                best, own = 0.0, []
-                for c in more:
-                    p, f = next(scored)
-                    best = max(best, p)
-                    if nets and not c["label"] and p >= nets[f].threshold:
-                        own.append({"kind": ADDED, "start": c["start"], "end": c["end"]})
-                added.append(own)
-                all_scores.append(1.0 if base else best)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("base"), pa.array(added, pa.list_(_SPAN)), pa.array(all_scores, pa.float64())], names=["doc_id", "base", "added", "score"])
+            base: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            added: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            score = np.zeros(batch.num_rows)
+            for row, buf, text_at in W.text_groups(batch.column("text"), GROUP_BYTES):
+                f = _found(buf, text_at)
+                if nets:
+                    fold, z, _ = _logits(nets, f)
+                    scale, shift, least = (np.array([getattr(n, c) for n in nets])[fold] for c in ("scale", "shift", "least"))
+                    np.maximum.at(score, row + f.text[f.of], 1 / (1 + np.exp(-np.clip(scale * z + shift, -60, 60))))
+                    for c in np.unique(f.of[(f.label[f.of] == 0) & (z >= least)]).tolist():
+                        t = int(f.text[c])
+                        added[row + t].append({"kind": ADDED, "start": int(f.start[c] - f.zero[t]), "end": int(f.end[c] - f.zero[t])})
+                for t, spans in f.base.items():
+                    base[row + t] = [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+                    if spans:
+                        score[row + t] = 1.0
+            yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(added, pa.list_(_SPAN)), pa.array(score)], names=["doc_id", "base", "added", "score"])
 
     return run
 
@@ -239,24 +387,34 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     """For each row of docs: doc_id, base and added (arrays of kind, start, end; code points, end
     exclusive, by start), score (1 with a base span, else the highest probability of a candidate).
 
-    Fixed patterns give the base spans. Every run of 16 or more token characters with a digit and
-    a letter is a candidate; the patterns label it. A network trained on windows around candidates,
-    half of them at a time, then adds those of the other half that it finds as likely as labelled
-    secrets: its threshold keeps ``recall`` of held-back secrets. Training sees at most ``findings`` distinct windows of either label, those
-    of the smallest hash; scoring sees every candidate of every text.
+    Fixed patterns give the base spans. Every run of 6 or more characters that a secret's value can
+    have is a candidate; the patterns label it (names of secrets are none), and long ones are seen by overlapping windows. A
+    network's weights are fitted to at most ``findings`` distinct windows of either label, those of
+    the smallest hash, of one half of the windows; it scores those of the other half. Scale, shift
+    and threshold, which keeps ``recall`` of labelled secrets, are of counts over every candidate of
+    every text that the network scores. Candidates outside base spans that reach it are added.
 
-    Null text counts as empty. Rows alike are judged alike. Without findings of both labels nothing
-    is added. An empty table gives an empty result. Other columns are ignored.
+    Null text counts as empty. Rows alike are judged alike. Without findings of both labels in both
+    halves nothing is added. An empty table gives an empty result. Other columns are ignored.
     """
     doc_id, text = columns
     kind = docs.schema[doc_id].dataType.simpleString()
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    scanned = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    scanned = cut(scanned.mapInArrow(M.batches(_scan), f"doc_id {kind}, base {span}, candidates array<struct<start:bigint,end:bigint,window:string,label:int>>"))
-    labelled = scanned.filter(F.size("candidates") > 0).select(F.inline("candidates")).select("window", "label").distinct().withColumn("h", F.xxhash64("window"))
-    sample = [labelled.filter(F.col("label") == y).orderBy("h", "window").limit(findings).toPandas() for y in (0, 1)]
-    known = pd.concat(sample).sort_values(["h", "window"], ignore_index=True)
-    return scanned.mapInArrow(M.batches(_score(train_both(known, recall))), f"doc_id {kind}, base {span}, added {span}, score double")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sample = cut(texts.select("text").mapInArrow(M.batches(_sample(findings)), "label int, h bigint, window string").distinct())
+    # as unsigned: those without the sign bit come first
+    order = [F.col("h") < 0, F.col("h"), F.col("window")]
+    known = pd.concat([sample.filter(F.col("label") == y).orderBy(*order).limit(findings).toPandas() for y in (0, 1)], ignore_index=True)
+    nets = train_both(known)
+    if nets:
+        slots = 2 * EDGE * SLOTS + 1
+        counted = np.zeros(6 * slots)
+        for r in texts.select("text").mapInArrow(M.batches(_counts(nets)), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+            counted[r.slot] = r.n
+        counted = counted.reshape(2, 3, slots)
+        for net, (others, secrets, moved) in zip(nets, counted):
+            net.calibrate(np.arange(slots) / SLOTS - EDGE, secrets, others, recall, moved)
+    return texts.mapInArrow(M.batches(_score(nets)), f"doc_id {kind}, base {span}, added {span}, score double")
 
 
 def listed(spans) -> F.Column:

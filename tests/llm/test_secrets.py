@@ -65,3 +65,35 @@ def test_gradient_step_lowers_the_loss():
     y = np.array([0.0, 1.0] * 20)
     net.fit(windows, y, steps=60)
     assert net.probability(["9" * 84])[0] > 0.8 > 0.2 > net.probability(["a" * 84])[0]
+
+
+def test_every_run_of_six_is_a_candidate():
+    text = "pwd=x9 passcode: abcxyz é parted.by.dots " + "Q" * 130 + " password: hunter22"
+    found = candidates(text, base_spans(text))
+    runs = {text[s:e]: y for s, e, _, y in found}
+    assert runs == {"pwd=x9": 0, "passcode": 0, "abcxyz": 0, "parted.by.dots": 0, "Q" * 130: 0, "password": 2, "hunter22": 1}
+    assert sum(text[s:e][0] == "Q" for s, e, *_ in found) == 5 and all(len(w) == 84 for _, _, w, _ in found)
+
+
+def test_scores_are_those_of_windows():
+    import numpy as np
+
+    from lanewise.llm.secret_scan import _found
+
+    buf = np.frombuffer(("é some words " + "aB3" * 40 + " and further ones").encode(), np.uint8)
+    f, net = _found(buf, np.array([0, 20, len(buf)])), CharNet()
+    rows = np.arange(len(f.of))
+    assert np.allclose(net.scores(f, rows).sum(axis=0), net.logits([f.window(i) for i in rows]), atol=1e-4)
+
+
+def test_threshold_of_all_findings(spark, docs_of, monkeypatch):
+    """Calibration counts every candidate, however few are fitted to."""
+    import random
+
+    seen, r = [], random.Random(2)
+    keep = CharNet.calibrate
+    monkeypatch.setattr(CharNet, "calibrate", lambda self, at, secrets, others, *more: (seen.append((secrets.sum(), others.sum())), keep(self, at, secrets, others, *more))[1])
+    token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(20))
+    docs = [(i, f"plainly {i} password={token()} further") for i in range(60)]
+    scan_secrets(docs_of(docs), findings=20).collect()
+    assert sum(s for s, _ in seen) == 60 and sum(o for _, o in seen) == 180
