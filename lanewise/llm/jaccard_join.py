@@ -20,12 +20,16 @@ from lanewise.llm.components import components
 SLOTS, COMMON = 1 << 20, 60_000
 #: Bytes of tile entries that a bucket holds on average, and entries of a tile that are all paired at once.
 BUCKET_BYTES, SMALL_TILE = 16 << 20, 16
+#: Entries that a part of a common shingle's tile holds on average, and sets of a tile that one task compares with so many others.
+PART, BLOCK = 1 << 18, 4096
+#: Places of a wide signature for each shingle, at least.
+WIDE = 4
 #: Pairs that a task looks at in one step.
 STEP = 1 << 18
 #: Bits of the map that documents are sieved with before their texts move; a fixed size.
 SIEVE_BITS = 1 << 23
 
-ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("at", "<u4"), ("home", "<u4"), ("band", "<u4"), ("bits", "<u8", 2)])
+ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("at", "<u4"), ("home", "<u2"), ("parts", "<u2"), ("band", "<u4"), ("bits", "<u8", 2)])
 
 
 @dataclass(frozen=True)
@@ -66,10 +70,10 @@ def set_hash(s: np.ndarray, salt: int) -> int:
         return int(W.mix64(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s)))
 
 
-def signature(s: np.ndarray) -> bytes:
-    """A bit for each place that an odd number of shingles falls on; as many places as shingles at
-    least. Sets differ in at least as many shingles as their signatures do in bits."""
-    places = 64 << max(0, (len(s) - 1).bit_length() - 6)
+def signature(s: np.ndarray, wide: int = 1) -> bytes:
+    """A bit for each place that an odd number of shingles falls on; ``wide`` times as many places as
+    shingles at least. Sets differ in at least as many shingles as their signatures do in bits."""
+    places = 64 << max(0, (len(s) * wide - 1).bit_length() - 6)
     odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -119,8 +123,9 @@ def _describe(gram: int):
     return run
 
 
-def _entries(shape: Shape, ranks: np.ndarray, buckets: int):
-    """Tile entries of the prefix of each set: its rarest shingles, as many as cannot all be missed."""
+def _entries(shape: Shape, ranks: np.ndarray, parts: np.ndarray, buckets: int):
+    """Tile entries of the prefix of each set: its rarest shingles, as many as cannot all be missed.
+    The tile of a shingle of rank r is dealt over parts[r] parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -143,7 +148,7 @@ def _entries(shape: Shape, ranks: np.ndarray, buckets: int):
                     odd = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
                     e = np.zeros(keep, ENTRY)
                     e["token"], e["set"], e["n"], e["at"] = prefix, name, n, np.arange(keep)
-                    e["bits"] = np.packbits(odd.astype(np.uint8)).view("<u8")
+                    e["bits"], e["parts"] = np.packbits(odd.astype(np.uint8)).view("<u8"), parts[rank]
                     # a common shingle's tile is dealt out by bands; each set also visits the band below
                     e["home"] = 1
                     usual = rank > 0
@@ -156,7 +161,8 @@ def _entries(shape: Shape, ranks: np.ndarray, buckets: int):
                     out.append(e)
             if out:
                 e = np.concatenate(out)
-                yield B.packed((_tile(e) % np.uint64(buckets)).astype(np.int64), e)
+                part = W.mix64(e["set"]) % e["parts"].astype(np.uint64)
+                yield B.packed((W.mix64(_tile(e) + part) % np.uint64(buckets)).astype(np.int64), e)
 
     return run
 
@@ -179,27 +185,26 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table([pa.array(both["a"].astype(np.uint64).view(np.int64)), pa.array(both["b"].astype(np.uint64).view(np.int64))], names=["a", "b"])
 
 
-def _all_pairs(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in the tiles [start, end) of entries sorted by tile and size, that may link (and whose
-    labels differ)."""
+def _reaches(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in the tiles [start, end) of entries sorted by tile and size, of sizes that may link, some at a time."""
     reach = np.zeros(len(e), np.int64)
     for s, t in zip(start.tolist(), end.tolist()):
         n = e["n"][s:t].astype(np.int64)
         reach[s:t] = s + np.searchsorted(n, n * 100 // shape.percent, side="right")
     inside = B.spans_of(start, end - start)
     count = np.maximum(reach[inside] - inside - 1, 0)
-    a, b = [], []
     for i, j in B.chunks(count, STEP):
-        left = np.repeat(inside[i:j], count[i:j])
-        right = B.spans_of(inside[i:j] + 1, count[i:j])
-        if label is not None:
-            other = label[left] != label[right]
-            left, right = left[other], right[other]
-        for k in range(0, len(left), 4 * STEP):
-            x, y = e[left[k : k + 4 * STEP]], e[right[k : k + 4 * STEP]]
-            ok = _may_link(shape, x, y)
-            a.append(x["set"][ok])
-            b.append(y["set"][ok])
+        yield np.repeat(inside[i:j], count[i:j]), B.spans_of(inside[i:j] + 1, count[i:j])
+
+
+def _all_pairs(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in the tiles [start, end) of entries sorted by tile and size, that may link."""
+    a, b = [], []
+    for left, right in _reaches(shape, e, start, end):
+        x, y = e[left], e[right]
+        ok = _may_link(shape, x, y)
+        a.append(x["set"][ok])
+        b.append(y["set"][ok])
         if sum(map(len, a)) > 8 * STEP:
             both = _pairs(np.concatenate(a), np.concatenate(b))
             a, b = [both["a"].to_numpy().view(np.uint64)], [both["b"].to_numpy().view(np.uint64)]
@@ -207,8 +212,8 @@ def _all_pairs(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray,
 
 
 def _tiles(shape: Shape):
-    """Pairs of small tiles; of each large tile, a pair for each set with the first that it may link
-    to, and the tile itself, for the sets that stay apart after that."""
+    """Pairs of small tiles; of each large tile, or part of one, a pair for each set with the first
+    that it may link to, and the tile itself, for the sets that stay apart after that."""
 
     def run(table: pa.Table) -> pa.Table:
         e = B.unpacked(table["part"], ENTRY)
@@ -220,7 +225,8 @@ def _tiles(shape: Shape):
         start = np.flatnonzero(fresh)
         end = np.append(start[1:], len(e))
         size = end - start
-        small, large = (size > 1) & (size <= SMALL_TILE), size > SMALL_TILE
+        large = (size > SMALL_TILE) | (e["parts"][start] > 1)
+        small = (size > 1) & ~large
         a, b = _all_pairs(shape, e, start[small], end[small])
         firsts, seconds = [a], [b]
         for s, t in zip(start[large].tolist(), end[large].tolist()):
@@ -242,13 +248,105 @@ def _tiles(shape: Shape):
     return run
 
 
-def _rest(shape: Shape):
-    def run(table: pa.Table) -> pa.Table:
-        e = B.unpacked(table["entry"], ENTRY)
-        label = table["label"].to_numpy()
+class Wide:
+    """Wide signatures of some sets, by length; each also folded to the next shorter length."""
+
+    def __init__(self, marks: list[bytes]):
+        self.size = np.array([len(m) // 8 for m in marks], np.int64)
+        self.row, self.at = np.zeros(len(marks), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            mine = np.flatnonzero(self.size == size)
+            self.row[mine] = np.arange(len(mine))
+            self.at[size] = np.frombuffer(b"".join(marks[i] for i in mine.tolist()), "<u8").reshape(len(mine), size)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits by which the signatures of pairs differ, the longer folded to the length of the shorter."""
+        out = np.zeros(len(i), np.int64)
+        short, long = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        for size, other in np.unique(np.stack([short, long], axis=1), axis=0).tolist():
+            mine = np.flatnonzero((short == size) & (long == other))
+            for k in range(0, len(mine), max(1, STEP // other)):
+                part = mine[k : k + max(1, STEP // other)]
+                swap = self.size[i[part]] > size
+                x, y = np.where(swap, j[part], i[part]), np.where(swap, i[part], j[part])
+                folded = np.bitwise_xor.reduce(self.at[other][self.row[y]].reshape(len(part), -1, size), axis=1)
+                out[part] = np.bitwise_count(self.at[size][self.row[x]] ^ folded).sum(axis=1)
+        return out
+
+
+class Forests:
+    """Forests over labels: an edge goes into the first whose trees it joins."""
+
+    def __init__(self, labels: np.ndarray, forests: int):
+        _, self.node = np.unique(labels, return_inverse=True)
+        self.parent = [np.arange(self.node.max(initial=-1) + 1) for _ in range(forests)]
+
+    def root(self, parent: np.ndarray, x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    def adds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of these edges go into a forest."""
+        last = self.parent[-1]
+        while (last[last] != last).any():
+            last[:] = last[last]
+        x, y = self.node[i], self.node[j]
+        out = np.zeros(len(x), bool)
+        for k in np.flatnonzero(last[x] != last[y]).tolist():
+            for parent in self.parent:
+                a, b = self.root(parent, int(x[k])), self.root(parent, int(y[k]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out[k] = True
+                    break
+        return out
+
+
+def _places(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each of the named pairs, from their places among the names."""
+    if not len(names) or not len(a):
+        return np.zeros(0, np.int64)
+    order = np.argsort(names)
+    at = [order[np.minimum(np.searchsorted(names, v, sorter=order), len(names) - 1)] for v in (a, b)]
+    here = (names[at[0]] == a) & (names[at[1]] == b)
+    return (np.minimum(*at) * len(names) + np.maximum(*at))[here]
+
+
+def _rest(shape: Shape, forests: int):
+    """Of the sets of a tile (or of two blocks of it) pairs whose labels differ and whose signatures
+    allow a link: as many as make ``forests`` forests over the labels; ``more`` tells if some are left.
+    Pairs known not to link are passed over."""
+
+    def run(members: pa.Table, refuted: pa.Table) -> pa.Table:
+        e = B.unpacked(members["entry"], ENTRY)
         order = np.argsort(e["n"], kind="stable")
-        a, b = _all_pairs(shape, e[order], np.array([0]), np.array([len(e)]), label[order])
-        return _pairs(a, b)
+        e = e[order]
+        label, side = members["label"].to_numpy()[order], members["side"].to_numpy()[order]
+        marks = members["wide"].to_pylist()
+        wide, trees = Wide([marks[i] for i in order.tolist()]), Forests(label, forests)
+        lo, hi = (members[c][0].as_py() if len(e) else 0 for c in ("lo", "hi"))
+        names = e["set"].astype(np.uint64).view(np.int64)
+        no = _places(names, refuted["a"].to_numpy(), refuted["b"].to_numpy())
+        a, b, more = [], [], False
+        for left, right in _reaches(shape, e, np.array([0]), np.array([len(e)])):
+            other = (label[left] != label[right]) & ((side[left] != side[right]) if lo != hi else True)
+            left, right = left[other], right[other]
+            x, y = e[left], e[right]
+            ok = _may_link(shape, x, y)
+            left, right = left[ok], right[ok]
+            n, m = e["n"][left].astype(np.int64), e["n"][right].astype(np.int64)
+            ok = wide.apart(left, right) <= n + m - 2 * shape.overlap(n, m)
+            ok &= ~np.isin(left * len(e) + right, no)
+            left, right = left[ok], right[ok]
+            new = trees.adds(left, right)
+            more |= not new.all()
+            a.append(names[left[new]])
+            b.append(names[right[new]])
+        a, b = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (a, b))
+        tile = members["id"][0].as_py() if len(e) else 0
+        return pa.table([pa.array(a), pa.array(b), *(pa.array(np.full(len(a), v, np.int64)) for v in (tile, lo, hi)), pa.array(np.full(len(a), more))], names=["a", "b", "id", "lo", "hi", "more"])
 
     return run
 
@@ -297,17 +395,83 @@ def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     return cut(close.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
 
 
-def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs whose texts link, by exact intersection of sorted sets."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of documents of these ids, and of few others."""
     slot = F.xxhash64("doc_id").bitwiseAND(SIEVE_BITS - 1)
     bits = np.zeros(SIEVE_BITS, bool)
-    for row in pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).select(slot.alias("slot")).distinct().toLocalIterator():
+    for row in ids.select(slot.alias("slot")).distinct().toLocalIterator():
         bits[row.slot] = True
-    texts = docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), "doc_id bigint, text string")
+    return docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), "doc_id bigint, text string")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs whose texts link, by exact intersection of sorted sets."""
+    texts = _texts_of(docs, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")))
     met = pairs.join(texts.toDF("x", "x_text"), "x").join(texts.toDF("y", "y_text"), "y")
     return cut(met.select("x", "y", "x_text", "y_text").mapInArrow(M.batches(_verify(shape)), "x bigint, y bigint").distinct())
 
 
+def _marks(shape: Shape, wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(s, wide) for block in W.blocks(batch.column("text"), W.SPACED_LOWER) for s in shingle_sets(block, shape.gram)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "wide"])
+
+    return run
+
+
+def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFrame, links: DataFrame, shape: Shape) -> DataFrame:
+    """Components by links, by the pairs of ``close`` that link, and by all that link in large tiles
+    (id, set, entry).
+
+    Of a tile with sets of several components each round takes pairs that may link, as many as make
+    forests over the components, so that rows grow with the tile and not with its pairs. What links
+    joins components; tiles are looked at again only where a pair did not link and pairs were left,
+    then with four times as many forests.
+    """
+    known = cut(components(links))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    both = close.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    ready = both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        named = sets.filter("doc_id is not null").join(known, F.col("doc_id") == F.col("node"), "left")
+        return rows.join(named.groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label")), "set")
+
+    split = labelled(tiles)
+    several = split.groupBy("id").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).filter("l <> h")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = split.drop("label").join(several.select("id", blocks.alias("blocks")), "id").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("id", "set", "entry", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
+    wanted = cut(sets.filter("doc_id is not null").join(members.select("set").distinct(), "set").select("set", "doc_id"))
+    wide = _texts_of(docs, wanted.select("doc_id")).mapInArrow(M.batches(_marks(shape, WIDE)), "doc_id bigint, wide binary")
+    wide = cut(wide.join(wanted, "doc_id").groupBy("set").agg(F.first("wide").alias("wide")))
+    members = cut(members.join(wide, "set"))
+    refuted, forests = close.sparkSession.createDataFrame([], "id bigint, lo bigint, hi bigint, a bigint, b bigint"), 1
+    key = ["id", "lo", "hi"]
+    while True:
+        rest = labelled(members).groupBy(*key).cogroup(refuted.groupBy(*key)).applyInArrow(M.cogroup(_rest(shape, forests)), "a bigint, b bigint, id bigint, lo bigint, hi bigint, more boolean")
+        rest = cut(rest)
+        name = lambda s, x: wanted.select(F.col("set").alias(s), F.col("doc_id").alias(x))
+        rest = rest.join(name("a", "p"), "a").join(name("b", "q"), "b")
+        rest = cut(rest.select("*", F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")))
+        pairs = cut((rest.select("x", "y") if forests > 1 else ready.union(rest.select("x", "y"))).distinct())
+        if not pairs.take(1):
+            return known
+        found = _links(docs, pairs, shape)
+        links = links.union(found)
+        known = cut(components(links))
+        failed = cut(rest.join(found, ["x", "y"], "left_anti"))
+        again = cut(failed.filter("more").select(*key).distinct()).toDF(*key)
+        if not again.take(1):
+            return known
+        members = members.join(again, key)
+        lost = failed.select("a", "b").distinct().union(refuted.select("a", "b")).distinct()
+        refuted = cut(members.select(*key, F.col("set").alias("a")).join(lost, "a").select(*key, "a", "b")).toDF(*key, "a", "b")
+        forests *= 4
+
+
 def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -319,10 +483,13 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     token (of a common token: those of a size band and its neighbour). In a tile, sizes, the
     token's places and the bits by which two signatures differ bound the overlap from above: 128
     bits in the tile, then as many as a set has shingles. Pairs that remain are decided by
-    intersecting their sorted sets, for each set first the pair with its least partner. Large tiles
-    first offer each set one pair; only sets that are then in different components are paired with
-    all others, so that a large group of near copies never makes all its pairs, and no link between
-    components is lost.
+    intersecting their sorted sets, for each set first the pair with its least partner.
+
+    Large tiles first offer each set one pair; the tile of a very common token does so in parts. Sets
+    that are then in different components are compared by signatures of four places a shingle, a
+    tile of very many sets in pairs of blocks, and forests of what remains are decided round by
+    round (see _settled), so that a large group of near copies never sends out all its pairs, and
+    no link between components is lost.
 
     A null, empty or blank text has no shingles and links with nothing. Rows that share a doc_id
     are one document in links. A row without doc_id takes the component of its equal texts, null if
@@ -335,31 +502,18 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     rows = described.filter("slot is null").select("doc_id", "n", "set", "set2", "bits")
     sets = cut(rows.filter("n > 0").groupBy("n", "set", "set2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
 
-    ranks = np.zeros(SLOTS, np.uint16)
+    ranks, parts = np.zeros(SLOTS, np.uint16), np.ones(COMMON + 1, np.uint16)
     common = described.filter("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "slot").limit(COMMON).collect()
     for place, row in enumerate(common):
         ranks[row.slot] = COMMON - place
+        parts[COMMON - place] = min(row.times // PART + 1, 1 << 15)
     entries = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(16, int(entries * ENTRY.itemsize / BUCKET_BYTES))
-    found = docs.select("text").mapInArrow(M.batches(_entries(shape, ranks, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_tiles(shape)), "a bigint, b bigint, tile bigint, entry binary")
+    found = docs.select("text").mapInArrow(M.batches(_entries(shape, ranks, parts, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_tiles(shape)), "a bigint, b bigint, tile bigint, entry binary")
     found = cut(found)
     close = _candidates(sets, found.filter("tile is null").select("a", "b"), shape)
     links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
-    known = cut(components(links))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        both = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
-        return both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
-
-    large = found.filter("tile is not null").select(F.col("tile").alias("id"), F.col("a").alias("set"), "entry")
-    named = sets.join(known, sets["doc_id"] == known["node"], "left").groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
-    split = large.join(named, "set")
-    several = split.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("id")
-    more = split.join(several, "id").groupBy("id").applyInArrow(M.group(_rest(shape)), "a bigint, b bigint")
-    more = cut(apart(close).union(apart(_candidates(sets, more, shape))).distinct())
-    if more.take(1):
-        known = components(links.union(_links(docs, more, shape)))
+    known = _settled(docs, sets, found.filter("tile is not null").select(F.col("tile").alias("id"), F.col("a").alias("set"), "entry"), close, links, shape)
 
     out = rows.drop("bits").join(sets.select("n", "set", "set2", F.col("doc_id").alias("first")), ["n", "set", "set2"], "left").join(known, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))

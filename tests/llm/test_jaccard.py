@@ -99,3 +99,23 @@ def test_components(spark, monkeypatch, one_task):
     assert found == {x: root(x) for x in parent if root(x) != x}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), one_task).collect() == []
     assert components_module.ONE_TASK > 0
+
+
+@pytest.mark.parametrize("wide", [1, 4])
+def test_group_at_the_threshold(spark, docs_of, monkeypatch, wide):
+    """Very many pairs just below the threshold, over parts and blocks of tiles; with narrow
+    signatures some of them are tried in vain, and more rounds follow."""
+    monkeypatch.setattr(jaccard_join, "SMALL_TILE", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    monkeypatch.setattr(jaccard_join, "PART", 25)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
+    r = random.Random(8)
+    body, docs = [f"w{i}" for i in range(130)], []
+    for i in range(80):
+        copy = list(body)
+        for at in r.sample(range(5, 125), r.choice([1, 2, 2, 3])):
+            copy[at] = f"v{r.randrange(3)}"
+        docs.append((i, " ".join(copy)))
+    want = brute(docs)
+    assert 5 < len({c for *_, c in want}) < 75
+    assert got(docs_of(docs)) == want
