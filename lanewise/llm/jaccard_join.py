@@ -21,9 +21,9 @@ SLOTS, COMMON = 1 << 20, 60_000
 #: Bytes of tile entries that a bucket holds on average, and entries of a tile that are all paired at once.
 BUCKET_BYTES, SMALL_TILE = 16 << 20, 16
 #: Entries that a part of a common shingle's tile holds on average, and sets of a tile that one task compares with so many others.
-PART, BLOCK = 1 << 18, 4096
-#: Places of a wide signature for each shingle, at least.
-WIDE = 4
+PART, BLOCK, BLOCK_SHINGLES = 1 << 18, 4096, 1 << 22
+#: Places for each shingle, at least, of the signatures that such a task compares.
+WIDE = 16
 #: Pairs that a task looks at in one step.
 STEP = 1 << 18
 #: Bits of the map that documents are sieved with before their texts move; a fixed size.
@@ -211,9 +211,10 @@ def _all_pairs(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def _tiles(shape: Shape):
-    """Pairs of small tiles; of each large tile, or part of one, a pair for each set with the first
-    that it may link to, and the tile itself, for the sets that stay apart after that."""
+def _tiles(shape: Shape, most: int):
+    """Pairs of tiles of up to ``most`` sets; of each large tile, or part of one, a pair for each set with the first
+    that it may link to, and the tile itself (sets, sizes and entries), for the sets that stay apart
+    after that."""
 
     def run(table: pa.Table) -> pa.Table:
         e = B.unpacked(table["part"], ENTRY)
@@ -225,13 +226,13 @@ def _tiles(shape: Shape):
         start = np.flatnonzero(fresh)
         end = np.append(start[1:], len(e))
         size = end - start
-        large = (size > SMALL_TILE) | (e["parts"][start] > 1)
+        large = (size > most) | (e["parts"][start] > 1)
         small = (size > 1) & ~large
         a, b = _all_pairs(shape, e, start[small], end[small])
         firsts, seconds = [a], [b]
         for s, t in zip(start[large].tolist(), end[large].tolist()):
             tile = e[s:t]
-            leads = tile[np.argsort(tile["set"])[:SMALL_TILE]]
+            leads = tile[np.argsort(tile["set"])[:most]]
             open_ = np.arange(len(tile))
             for lead in leads:
                 ok = _may_link(shape, tile[open_], np.broadcast_to(lead, open_.shape))
@@ -243,13 +244,85 @@ def _tiles(shape: Shape):
         members = e[B.spans_of(start[large], size[large])]
         tile = _tile(members).view(np.int64)
         entries = pa.array([x.tobytes() for x in members], pa.binary())
-        return pa.concat_tables([found, pa.table([pa.array(members["set"].view(np.int64)), pa.nulls(len(members), pa.int64()), pa.array(tile), entries], names=found.column_names)])
+        return pa.concat_tables([found, pa.table([pa.array(members["set"].view(np.int64)), pa.array(members["n"].astype(np.int64)), pa.array(tile), entries], names=found.column_names)])
+
+    return run
+
+
+def _open_pairs(shape: Shape, e: np.ndarray, label: np.ndarray, side: np.ndarray, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a tile's entries (by size) that have different labels and may link; if ``apart``, only of different sides."""
+    for left, right in _reaches(shape, e, np.array([0]), np.array([len(e)])):
+        other = label[left] != label[right]
+        if apart:
+            other &= side[left] != side[right]
+        left, right = left[other], right[other]
+        for k in range(0, len(left), STEP):
+            i, j = left[k : k + STEP], right[k : k + STEP]
+            ok = _may_link(shape, e[i], e[j])
+            yield i[ok], j[ok]
+
+
+def _by_size(members: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Entries, labels and sides of a tile, by size; the order; and if the sides are two blocks."""
+    e = B.unpacked(members["entry"], ENTRY)
+    order = np.argsort(e["n"], kind="stable")
+    apart = len(e) > 0 and members["lo"][0].as_py() != members["hi"][0].as_py()
+    return e[order], members["label"].to_numpy()[order], members["side"].to_numpy()[order], order, apart
+
+
+def _alive(shape: Shape):
+    """The sets of a tile (or of two blocks of it) that may link to one of another component."""
+
+    def run(members: pa.Table) -> pa.Table:
+        e, label, side, order, apart = _by_size(members)
+        alive = np.zeros(len(e), bool)
+        for left, right in _open_pairs(shape, e, label, side, apart):
+            alive[left] = alive[right] = True
+        return members.take(pa.array(order[alive]))
+
+    return run
+
+
+def _rest(shape: Shape):
+    """Links between the sets of a tile (or of two blocks of it) that join their components, decided
+    by the sets themselves where signatures of WIDE places a shingle allow a link."""
+
+    def run(members: pa.Table) -> pa.Table:
+        e, label, side, order, apart = _by_size(members)
+        packed = members["shingles"].to_pylist()
+        sets = [np.frombuffer(packed[i], "<u8") for i in order.tolist()]
+        wide = Wide([signature(s, WIDE) for s in sets])
+        _, part = np.unique(label, return_inverse=True)
+        parent = np.arange(part.max(initial=-1) + 1)
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = int(parent[x])
+            return x
+
+        a, b = [], []
+        for left, right in _open_pairs(shape, e, label, side, apart):
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+            ok = parent[part[left]] != parent[part[right]]
+            left, right = left[ok], right[ok]
+            need = shape.overlap(e["n"][left].astype(np.int64), e["n"][right].astype(np.int64))
+            ok = wide.apart(left, right) <= e["n"][left].astype(np.int64) + e["n"][right] - 2 * need
+            for i, j, least in zip(left[ok].tolist(), right[ok].tolist(), need[ok].tolist()):
+                x, y = root(int(part[i])), root(int(part[j]))
+                if x != y and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(i)
+                    b.append(j)
+        names = members["doc_id"].to_numpy()[order]
+        return pa.table([pa.array(np.maximum(names[a], names[b])), pa.array(np.minimum(names[a], names[b]))], names=["x", "y"]) if a else pa.table([pa.array([], pa.int64())] * 2, names=["x", "y"])
 
     return run
 
 
 class Wide:
-    """Wide signatures of some sets, by length; each also folded to the next shorter length."""
+    """Signatures of some sets, by length, which are compared folded to the shorter length."""
 
     def __init__(self, marks: list[bytes]):
         self.size = np.array([len(m) // 8 for m in marks], np.int64)
@@ -260,13 +333,14 @@ class Wide:
             self.at[size] = np.frombuffer(b"".join(marks[i] for i in mine.tolist()), "<u8").reshape(len(mine), size)
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Bits by which the signatures of pairs differ, the longer folded to the length of the shorter."""
+        """Bits by which the signatures of pairs differ."""
         out = np.zeros(len(i), np.int64)
         short, long = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
         for size, other in np.unique(np.stack([short, long], axis=1), axis=0).tolist():
             mine = np.flatnonzero((short == size) & (long == other))
-            for k in range(0, len(mine), max(1, STEP // other)):
-                part = mine[k : k + max(1, STEP // other)]
+            step = max(1, STEP // other)
+            for k in range(0, len(mine), step):
+                part = mine[k : k + step]
                 swap = self.size[i[part]] > size
                 x, y = np.where(swap, j[part], i[part]), np.where(swap, i[part], j[part])
                 folded = np.bitwise_xor.reduce(self.at[other][self.row[y]].reshape(len(part), -1, size), axis=1)
@@ -274,83 +348,6 @@ class Wide:
         return out
 
 
-class Forests:
-    """Forests over labels: an edge goes into the first whose trees it joins."""
-
-    def __init__(self, labels: np.ndarray, forests: int):
-        _, self.node = np.unique(labels, return_inverse=True)
-        self.parent = [np.arange(self.node.max(initial=-1) + 1) for _ in range(forests)]
-
-    def root(self, parent: np.ndarray, x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = int(parent[x])
-        return x
-
-    def adds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of these edges go into a forest."""
-        last = self.parent[-1]
-        while (last[last] != last).any():
-            last[:] = last[last]
-        x, y = self.node[i], self.node[j]
-        out = np.zeros(len(x), bool)
-        for k in np.flatnonzero(last[x] != last[y]).tolist():
-            for parent in self.parent:
-                a, b = self.root(parent, int(x[k])), self.root(parent, int(y[k]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out[k] = True
-                    break
-        return out
-
-
-def _places(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each of the named pairs, from their places among the names."""
-    if not len(names) or not len(a):
-        return np.zeros(0, np.int64)
-    order = np.argsort(names)
-    at = [order[np.minimum(np.searchsorted(names, v, sorter=order), len(names) - 1)] for v in (a, b)]
-    here = (names[at[0]] == a) & (names[at[1]] == b)
-    return (np.minimum(*at) * len(names) + np.maximum(*at))[here]
-
-
-def _rest(shape: Shape, forests: int):
-    """Of the sets of a tile (or of two blocks of it) pairs whose labels differ and whose signatures
-    allow a link: as many as make ``forests`` forests over the labels; ``more`` tells if some are left.
-    Pairs known not to link are passed over."""
-
-    def run(members: pa.Table, refuted: pa.Table) -> pa.Table:
-        e = B.unpacked(members["entry"], ENTRY)
-        order = np.argsort(e["n"], kind="stable")
-        e = e[order]
-        label, side = members["label"].to_numpy()[order], members["side"].to_numpy()[order]
-        marks = members["wide"].to_pylist()
-        wide, trees = Wide([marks[i] for i in order.tolist()]), Forests(label, forests)
-        lo, hi = (members[c][0].as_py() if len(e) else 0 for c in ("lo", "hi"))
-        names = e["set"].astype(np.uint64).view(np.int64)
-        no = _places(names, refuted["a"].to_numpy(), refuted["b"].to_numpy())
-        a, b, more = [], [], False
-        for left, right in _reaches(shape, e, np.array([0]), np.array([len(e)])):
-            other = (label[left] != label[right]) & ((side[left] != side[right]) if lo != hi else True)
-            left, right = left[other], right[other]
-            x, y = e[left], e[right]
-            ok = _may_link(shape, x, y)
-            left, right = left[ok], right[ok]
-            n, m = e["n"][left].astype(np.int64), e["n"][right].astype(np.int64)
-            ok = wide.apart(left, right) <= n + m - 2 * shape.overlap(n, m)
-            ok &= ~np.isin(left * len(e) + right, no)
-            left, right = left[ok], right[ok]
-            new = trees.adds(left, right)
-            more |= not new.all()
-            a.append(names[left[new]])
-            b.append(names[right[new]])
-        a, b = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (a, b))
-        tile = members["id"][0].as_py() if len(e) else 0
-        return pa.table([pa.array(a), pa.array(b), *(pa.array(np.full(len(a), v, np.int64)) for v in (tile, lo, hi)), pa.array(np.full(len(a), more))], names=["a", "b", "id", "lo", "hi", "more"])
-
-    return run
-
-
 def _sieve(bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
@@ -411,65 +408,51 @@ def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     return cut(met.select("x", "y", "x_text", "y_text").mapInArrow(M.batches(_verify(shape)), "x bigint, y bigint").distinct())
 
 
-def _marks(shape: Shape, wide: int):
+def _shingles(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(s, wide) for block in W.blocks(batch.column("text"), W.SPACED_LOWER) for s in shingle_sets(block, shape.gram)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "wide"])
+            found = [s for block in W.blocks(batch.column("text"), W.SPACED_LOWER) for s in shingle_sets(block, shape.gram)]
+            names = W.signed(np.array([set_hash(s, _SALTS[0]) for s in found], np.uint64))
+            yield pa.record_batch([pa.array(names), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "shingles"])
 
     return run
 
 
-def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFrame, links: DataFrame, shape: Shape) -> DataFrame:
-    """Components by links, by the pairs of ``close`` that link, and by all that link in large tiles
-    (id, set, entry).
+def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFrame, shape: Shape) -> DataFrame:
+    """Components by all pairs of ``close`` that link, and by all that link in large tiles (id, set, n,
+    entry).
 
-    Of a tile with sets of several components each round takes pairs that may link, as many as make
-    forests over the components, so that rows grow with the tile and not with its pairs. What links
-    joins components; tiles are looked at again only where a pair did not link and pairs were left,
-    then with four times as many forests.
+    Of ``close`` each set's pair with its least partner is decided first, and of the others those
+    whose sets are then in different components. Of a large tile with several components the sets
+    that may link to one of another component go on with their shingles to one task, which sends
+    out links that join components only; a very large tile does so in pairs of blocks. So rows grow
+    with a tile and not with its pairs.
     """
+    links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
     known = cut(components(links))
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     both = close.join(of("x"), "x", "left").join(of("y"), "y", "left")
-    ready = both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        named = sets.filter("doc_id is not null").join(known, F.col("doc_id") == F.col("node"), "left")
-        return rows.join(named.groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label")), "set")
+    more = cut(both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y"))
+    if more.take(1):
+        links = links.union(_links(docs, more, shape))
+        known = cut(components(links))
 
-    split = labelled(tiles)
-    several = split.groupBy("id").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).filter("l <> h")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = split.drop("label").join(several.select("id", blocks.alias("blocks")), "id").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    named = sets.filter("doc_id is not null").join(known, F.col("doc_id") == F.col("node"), "left")
+    named = named.groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
+    split = tiles.join(named, "set")
+    several = split.groupBy("id").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = split.join(several.filter("l <> h").select("id", "blocks"), "id").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("id", "set", "entry", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
-    wanted = cut(sets.filter("doc_id is not null").join(members.select("set").distinct(), "set").select("set", "doc_id"))
-    wide = _texts_of(docs, wanted.select("doc_id")).mapInArrow(M.batches(_marks(shape, WIDE)), "doc_id bigint, wide binary")
-    wide = cut(wide.join(wanted, "doc_id").groupBy("set").agg(F.first("wide").alias("wide")))
-    members = cut(members.join(wide, "set"))
-    refuted, forests = close.sparkSession.createDataFrame([], "id bigint, lo bigint, hi bigint, a bigint, b bigint"), 1
-    key = ["id", "lo", "hi"]
-    while True:
-        rest = labelled(members).groupBy(*key).cogroup(refuted.groupBy(*key)).applyInArrow(M.cogroup(_rest(shape, forests)), "a bigint, b bigint, id bigint, lo bigint, hi bigint, more boolean")
-        rest = cut(rest)
-        name = lambda s, x: wanted.select(F.col("set").alias(s), F.col("doc_id").alias(x))
-        rest = rest.join(name("a", "p"), "a").join(name("b", "q"), "b")
-        rest = cut(rest.select("*", F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")))
-        pairs = cut((rest.select("x", "y") if forests > 1 else ready.union(rest.select("x", "y"))).distinct())
-        if not pairs.take(1):
-            return known
-        found = _links(docs, pairs, shape)
-        links = links.union(found)
-        known = cut(components(links))
-        failed = cut(rest.join(found, ["x", "y"], "left_anti"))
-        again = cut(failed.filter("more").select(*key).distinct()).toDF(*key)
-        if not again.take(1):
-            return known
-        members = members.join(again, key)
-        lost = failed.select("a", "b").distinct().union(refuted.select("a", "b")).distinct()
-        refuted = cut(members.select(*key, F.col("set").alias("a")).join(lost, "a").select(*key, "a", "b")).toDF(*key, "a", "b")
-        forests *= 4
+    members = members.select("id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "set", "label", "entry")
+    schema = "id bigint, lo int, hi int, side boolean, set bigint, label bigint, entry binary"
+    alive = cut(members.groupBy("id", "lo", "hi").applyInArrow(M.group(_alive(shape)), schema))
+    if not alive.take(1):
+        return known
+    wanted = cut(sets.filter("doc_id is not null").join(alive.select("set").distinct(), "set").select("set", "doc_id"))
+    whole = _texts_of(docs, wanted.select("doc_id")).mapInArrow(M.batches(_shingles(shape)), "set bigint, shingles binary")
+    whole = whole.join(wanted, "set").dropDuplicates(["set", "doc_id"])
+    decided = alive.join(whole, "set").groupBy("id", "lo", "hi").applyInArrow(M.group(_rest(shape)), "x bigint, y bigint")
+    return cut(components(links.union(decided)))
 
 
 def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
@@ -485,11 +468,10 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     bits in the tile, then as many as a set has shingles. Pairs that remain are decided by
     intersecting their sorted sets, for each set first the pair with its least partner.
 
-    Large tiles first offer each set one pair; the tile of a very common token does so in parts. Sets
-    that are then in different components are compared by signatures of four places a shingle, a
-    tile of very many sets in pairs of blocks, and forests of what remains are decided round by
-    round (see _settled), so that a large group of near copies never sends out all its pairs, and
-    no link between components is lost.
+    Large tiles first offer each set one pair; the tile of a very common token does so in parts. Only
+    where sets are then in different components, and their signatures allow a link, are they
+    compared with all others of the tile (see _settled), so that a large group of near copies never
+    sends out all its pairs, and no link between components is lost.
 
     A null, empty or blank text has no shingles and links with nothing. Rows that share a doc_id
     are one document in links. A row without doc_id takes the component of its equal texts, null if
@@ -509,11 +491,10 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
         parts[COMMON - place] = min(row.times // PART + 1, 1 << 15)
     entries = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(16, int(entries * ENTRY.itemsize / BUCKET_BYTES))
-    found = docs.select("text").mapInArrow(M.batches(_entries(shape, ranks, parts, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_tiles(shape)), "a bigint, b bigint, tile bigint, entry binary")
+    found = docs.select("text").mapInArrow(M.batches(_entries(shape, ranks, parts, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_tiles(shape, SMALL_TILE)), "a bigint, b bigint, tile bigint, entry binary")
     found = cut(found)
     close = _candidates(sets, found.filter("tile is null").select("a", "b"), shape)
-    links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
-    known = _settled(docs, sets, found.filter("tile is not null").select(F.col("tile").alias("id"), F.col("a").alias("set"), "entry"), close, links, shape)
+    known = _settled(docs, sets, found.filter("tile is not null").select(F.col("tile").alias("id"), F.col("a").alias("set"), F.col("b").alias("n"), "entry"), close, shape)
 
     out = rows.drop("bits").join(sets.select("n", "set", "set2", F.col("doc_id").alias("first")), ["n", "set", "set2"], "left").join(known, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))

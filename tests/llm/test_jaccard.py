@@ -101,14 +101,11 @@ def test_components(spark, monkeypatch, one_task):
     assert components_module.ONE_TASK > 0
 
 
-@pytest.mark.parametrize("wide", [1, 4])
-def test_group_at_the_threshold(spark, docs_of, monkeypatch, wide):
-    """Very many pairs just below the threshold, over parts and blocks of tiles; with narrow
-    signatures some of them are tried in vain, and more rounds follow."""
+def test_group_at_the_threshold(spark, docs_of, monkeypatch):
+    """Very many pairs just below the threshold, over parts and blocks of tiles."""
     monkeypatch.setattr(jaccard_join, "SMALL_TILE", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 20)
     monkeypatch.setattr(jaccard_join, "PART", 25)
-    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     r = random.Random(8)
     body, docs = [f"w{i}" for i in range(130)], []
     for i in range(80):
