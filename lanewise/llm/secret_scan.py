@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
@@ -36,7 +37,7 @@ STEP = INSIDE // 2
 #: Logits are counted in slots of 1 / SLOTS, from -EDGE to EDGE.
 SLOTS, EDGE = 64, 40
 #: Bytes of text that are scored at once.
-GROUP_BYTES = 1 << 18
+GROUP_BYTES = 1 << 15
 
 _MADE = np.zeros(256, bool)
 _MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
@@ -208,27 +209,39 @@ class CharNet:
         return wide, z, (tops, counts), pooled, pooled @ self.p["out"] + self.p["out_bias"]
 
     def scores(self, f: Found, rows: np.ndarray) -> np.ndarray:
-        """Of some windows what candidate and surroundings add to the logit; each place of the texts is convolved once."""
-        w, n, k = self.p["embed"].astype(np.float32), len(f.x) - self.WIDTH + 1, self.FILTERS
-        a, held = np.repeat(self.p["bias"].astype(np.float32)[None], n, axis=0), np.ones(n, bool)
-        for j in range(self.WIDTH):
-            a += (w @ self.p["conv"][j * self.DIM : (j + 1) * self.DIM].astype(np.float32))[f.x[j : j + n]]
-            held &= f.x[j : j + n] > 0
-        a = np.maximum(a, 0, out=a)
+        """Of some windows what candidate and surroundings add to the logit. Each place of the texts is
+        convolved once; largest values of 2, 4, 8 ... places in a row give those of any number."""
+        k, n, w = self.FILTERS, len(f.x) - self.WIDTH + 1, self.WIDTH
+        p = {name: a.astype(np.float32) for name, a in self.p.items()}
+        each = p["embed"][f.x].reshape(-1)
+        a = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(each, w * self.DIM)[:: self.DIM]) @ p["conv"]
+        a += p["bias"]
+        np.maximum(a, 0, out=a)
+        shown = np.concatenate([[0], np.cumsum(f.x > 0)])
+        held = shown[w:] - shown[:-w] == w
         a[~held] = 0
-        out, size = np.zeros((2, len(rows))), (f.last - f.first)[rows]
-        around = [*range(-BEFORE, 1 - self.WIDTH)]
-        for m in np.unique(size).tolist():
-            mine = np.flatnonzero(size == m)
-            inner, outer = np.arange(m - self.WIDTH + 1), np.array([*around, *range(m, m + AFTER - self.WIDTH + 1)])
-            for i in range(0, len(mine), 1024):
-                part = mine[i : i + 1024]
-                for side, places in enumerate((inner, outer)):
-                    at = f.first[rows[part]][:, None] + places
-                    b = a[at]
-                    pooled = np.concatenate([b.max(axis=1), b.sum(axis=1) / np.maximum(held[at].sum(axis=1), 1)[:, None]], axis=1)
-                    out[side, part] = pooled @ self.p["out"][2 * k * side : 2 * k * (side + 1)]
-        out[0] += self.p["out_bias"]
+        sums = np.zeros((n + 1, 2))
+        np.cumsum(a @ np.stack([p["out"][k : 2 * k], p["out"][3 * k :]], axis=1), axis=0, dtype=float, out=sums[1:])
+        count = np.concatenate([[0], np.cumsum(held)])
+        first, last = f.first[rows], f.last[rows]
+        length = last - first - w + 1
+        power = np.frexp(np.maximum(length, 1))[1] - 1
+        tops = [a]
+        for _ in range(max(4, power.max(initial=0))):
+            step = 1 << (len(tops) - 1)
+            tops.append(np.maximum(tops[-1][:-step], tops[-1][step:]))
+        out = np.zeros((2, len(rows)))
+        for e in np.unique(power).tolist():
+            mine = np.flatnonzero(power == e)
+            at = first[mine]
+            out[0, mine] = np.maximum(tops[e][at], tops[e][at + length[mine] - (1 << e)]) @ p["out"][:k]
+        ahead, after = BEFORE - w + 1, AFTER - w + 1
+        before = np.maximum(tops[4][first - BEFORE], tops[4][first - BEFORE + ahead - 16])
+        out[1] = np.maximum(before, tops[3][last + after - 8]) @ p["out"][2 * k : 3 * k]
+        spread = lambda v, x, y: v[y] - v[x]
+        out[0] += spread(sums[:, 0], first, first + length) / np.maximum(spread(count, first, first + length), 1) + self.p["out_bias"]
+        total, of = (spread(v, first - BEFORE, first - BEFORE + ahead) + spread(v, last, last + after) for v in (sums[:, 1], count))
+        out[1] += total / np.maximum(of, 1)
         return out
 
     def around(self, windows: list[str]) -> np.ndarray:
@@ -277,9 +290,8 @@ class CharNet:
 
     def calibrate(self, at: np.ndarray, secrets: np.ndarray, others: np.ndarray, recall: float, moved: np.ndarray) -> None:
         """Platt's scale and shift, from counts of labelled secrets and of other findings by logit. The
-        least logit of an added span is the highest with that recall of the secrets and of ``moved``, the
-        same secrets in other surroundings (as added ones don't follow the patterns' words), moved down half the way to the
-        likeliest finding below that is no secret."""
+        least logit of an added span is the highest with that recall of the secrets and of ``moved``,
+        the same secrets in other surroundings (as added ones don't follow the patterns' words)."""
         total, w = secrets + others, np.zeros(2)
         w[0] = 1.0
         z = np.stack([at, np.ones(len(at))], axis=1)
@@ -295,9 +307,7 @@ class CharNet:
         every = secrets + moved
         below = np.flatnonzero(every.sum() - np.cumsum(every) + every >= recall * every.sum())
         highest = below[-1] if every.any() else len(at) - 1
-        lower = np.flatnonzero(others[:highest])
-        half = 0.5 / SLOTS
-        self.least = float(at[highest] + at[lower[-1]]) / 2 if len(lower) else float(at[highest] - half)
+        self.least = float(at[highest]) - 0.5 / SLOTS
 
 
 _PLACES = np.arange(WINDOW - CharNet.WIDTH + 1)
@@ -306,11 +316,15 @@ REGIONS = ((_PLACES >= BEFORE) & (_PLACES <= BEFORE + INSIDE - CharNet.WIDTH), (
 
 
 def train_both(findings: pd.DataFrame) -> list[CharNet] | None:
-    """A network for the windows of each fold (the last bit of the hash), trained on the other fold,
-    so that none scores, or is calibrated on, a window that it learned."""
+    """Two networks, each trained on a fold of the windows (the last bit of the hash). The first
+    scores all windows but those that it learned, which the second scores; so none scores, or is
+    calibrated on, a window that it learned."""
     fold = findings.h.to_numpy().astype(np.int64) & 1
-    nets = [train(findings[fold != f].reset_index(drop=True)) for f in (0, 1)]
-    return None if None in nets else nets
+    nets = [train(findings[fold == f].reset_index(drop=True)) for f in (0, 1)]
+    if None in nets:
+        return None
+    nets[0].learned = np.sort(findings.h.to_numpy().astype(np.int64).view(np.uint64)[fold == 0])
+    return nets
 
 
 def train(findings: pd.DataFrame) -> CharNet | None:
@@ -327,58 +341,64 @@ def train(findings: pd.DataFrame) -> CharNet | None:
 
 
 def _logits(nets: list[CharNet], f: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window the fold, the logit, and the logit with the surroundings of a fitted finding that is no secret."""
-    fold = (f.hash & np.uint64(1)).astype(np.int64)
-    out, moved = np.zeros(len(fold)), np.zeros(len(fold))
-    for k, net in enumerate(nets):
-        mine = np.flatnonzero(fold == k)
-        if len(mine):
-            inner, outer = net.scores(f, mine)
-            out[mine] = inner + outer
-            moved[mine] = inner + net.elsewhere[((f.hash[mine] >> np.uint64(1)) % np.uint64(len(net.elsewhere))).astype(np.int64)]
-    return fold, out, moved
-
-
-def _counts(nets: list[CharNet]):
-    """Windows by fold, label (2: secrets in other surroundings) and slot of their logit, over all texts of a task."""
+    """Of each window the network that scores it, the logit, and the logit with the surroundings of a
+    fitted finding that is no secret."""
+    which, out, moved = np.zeros(len(f.hash), np.int64), np.zeros(len(f.hash)), np.zeros(len(f.hash))
+    if not len(which):
+        return which, out, moved
+    known = nets[0].learned
+    which[known[np.minimum(np.searchsorted(known, f.hash), len(known) - 1)] == f.hash] = 1
+    inner, outer = nets[0].scores(f, np.arange(len(which)))
+    place = f.hash >> np.uint64(1)
+    out, moved = inner + outer, inner + nets[0].elsewhere[(place % np.uint64(len(nets[0].elsewhere))).astype(np.int64)]
+    other = np.flatnonzero(which)
+    if len(other):
+        windows, net = [f.window(i) for i in other.tolist()], nets[1]
+        out[other] = net.logits(windows)
+        moved[other] = out[other] - net.around(windows) + net.elsewhere[(place[other] % np.uint64(len(net.elsewhere))).astype(np.int64)]
+    return which, out, moved
+
+
+_LOGIT_SLOTS = 2 * EDGE * SLOTS + 1
+
+
+def _slot(z: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(z, -EDGE, EDGE) + EDGE) * SLOTS).astype(np.int64)
+
+
+def _score(nets: list[CharNet] | None, floors: list[float], id_type: pa.DataType):
+    """A row for each text: base spans, candidates outside them whose logits reach the floors, and
+    the highest logit by either network. After a task's last, rows of counts of its windows by
+    network, label (2: secrets in other surroundings) and slot of the logit."""
+    names = ["doc_id", "base", "near", "top", "other", "slot", "n"]
+    near_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("z", pa.float64()), ("net", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = 2 * EDGE * SLOTS + 1
-        total = np.zeros(6 * slots, np.int64)
+        total = np.zeros(6 * _LOGIT_SLOTS, np.int64)
         for batch in batches:
-            for _, buf, text_at in W.text_groups(batch.column("text"), GROUP_BYTES):
-                f = _found(buf, text_at)
-                fold, z, moved = _logits(nets, f)
-                label = (f.label[f.of] == 1).astype(np.int64)
-                for kind, some, logit in ((label, label >= 0, z), (2, label == 1, moved)):
-                    slot = np.rint((np.clip(logit, -EDGE, EDGE) + EDGE) * SLOTS).astype(np.int64)
-                    total += np.bincount(((3 * fold + kind) * slots + slot)[some], minlength=6 * slots)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    return run
-
-
-def _score(nets: list[CharNet] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            added: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            score = np.zeros(batch.num_rows)
+            rows = batch.num_rows
+            base: list[list[dict]] = [[] for _ in range(rows)]
+            near: list[list[dict]] = [[] for _ in range(rows)]
+            top = np.full((2, rows), -np.inf)
             for row, buf, text_at in W.text_groups(batch.column("text"), GROUP_BYTES):
                 f = _found(buf, text_at)
                 if nets:
-                    fold, z, _ = _logits(nets, f)
-                    scale, shift, least = (np.array([getattr(n, c) for n in nets])[fold] for c in ("scale", "shift", "least"))
-                    np.maximum.at(score, row + f.text[f.of], 1 / (1 + np.exp(-np.clip(scale * z + shift, -60, 60))))
-                    for c in np.unique(f.of[(f.label[f.of] == 0) & (z >= least)]).tolist():
+                    net, z, moved = _logits(nets, f)
+                    label = (f.label[f.of] == 1).astype(np.int64)
+                    for kind, some, logit in ((label, label >= 0, z), (2, label == 1, moved)):
+                        total += np.bincount(((3 * net + kind) * _LOGIT_SLOTS + _slot(logit))[some], minlength=len(total)) if some.any() else 0
+                    np.maximum.at(top, (net, row + f.text[f.of]), z)
+                    for i in np.flatnonzero((f.label[f.of] == 0) & (z >= np.array(floors)[net])).tolist():
+                        c = int(f.of[i])
                         t = int(f.text[c])
-                        added[row + t].append({"kind": ADDED, "start": int(f.start[c] - f.zero[t]), "end": int(f.end[c] - f.zero[t])})
+                        near[row + t].append({"start": int(f.start[c] - f.zero[t]), "end": int(f.end[c] - f.zero[t]), "z": float(z[i]), "net": int(net[i])})
                 for t, spans in f.base.items():
                     base[row + t] = [{"kind": k, "start": a, "end": b} for k, a, b in spans]
-                    if spans:
-                        score[row + t] = 1.0
-            yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(added, pa.list_(_SPAN)), pa.array(score)], names=["doc_id", "base", "added", "score"])
+            nothing = pa.nulls(rows, pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(near, near_type), pa.array(top[0]), pa.array(top[1]), nothing, nothing], names=names)
+        at = np.flatnonzero(total)
+        no = lambda kind: pa.nulls(len(at), kind)
+        yield pa.record_batch([no(id_type), no(pa.list_(_SPAN)), no(near_type), no(pa.float64()), no(pa.float64()), pa.array(at), pa.array(total[at])], names=names)
 
     return run
 
@@ -388,17 +408,22 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     exclusive, by start), score (1 with a base span, else the highest probability of a candidate).
 
     Fixed patterns give the base spans. Every run of 6 or more characters that a secret's value can
-    have is a candidate; the patterns label it (names of secrets are none), and long ones are seen by overlapping windows. A
-    network's weights are fitted to at most ``findings`` distinct windows of either label, those of
-    the smallest hash, of one half of the windows; it scores those of the other half. Scale, shift
-    and threshold, which keeps ``recall`` of labelled secrets, are of counts over every candidate of
-    every text that the network scores. Candidates outside base spans that reach it are added.
+    have is a candidate; the patterns label it (names of secrets are none), and long ones are seen
+    by overlapping windows. A network's weights are fitted to one half of at most ``findings``
+    distinct windows of either label, those of the smallest hash; a second network, fitted to the
+    other half, scores the windows that the first has learned. Scale, shift and threshold, the
+    highest one that keeps ``recall`` of labelled secrets, are of counts over every candidate of
+    every text. Candidates outside base spans that reach it are added.
+
+    Texts are scored once: counts come with the candidates above a floor, which the fitted sample
+    puts well below the threshold to expect. Should the threshold be lower still, a second pass
+    with it as the floor follows, so the floor never changes a result.
 
     Null text counts as empty. Rows alike are judged alike. Without findings of both labels in both
     halves nothing is added. An empty table gives an empty result. Other columns are ignored.
     """
     doc_id, text = columns
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = docs.schema[doc_id].dataType
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sample = cut(texts.select("text").mapInArrow(M.batches(_sample(findings)), "label int, h bigint, window string").distinct())
@@ -406,15 +431,33 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
     order = [F.col("h") < 0, F.col("h"), F.col("window")]
     known = pd.concat([sample.filter(F.col("label") == y).orderBy(*order).limit(findings).toPandas() for y in (0, 1)], ignore_index=True)
     nets = train_both(known)
-    if nets:
-        slots = 2 * EDGE * SLOTS + 1
-        counted = np.zeros(6 * slots)
-        for r in texts.select("text").mapInArrow(M.batches(_counts(nets)), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-            counted[r.slot] = r.n
-        counted = counted.reshape(2, 3, slots)
-        for net, (others, secrets, moved) in zip(nets, counted):
-            net.calibrate(np.arange(slots) / SLOTS - EDGE, secrets, others, recall, moved)
-    return texts.mapInArrow(M.batches(_score(nets)), f"doc_id {kind}, base {span}, added {span}, score double")
+    floors = [guess(net, known[(known.h.to_numpy().astype(np.int64) & 1) == 1 - f], recall) for f, net in enumerate(nets)] if nets else [0.0, 0.0]
+    schema = f"doc_id {kind.simpleString()}, base {span}, near array<struct<start:bigint,end:bigint,z:double,net:int>>, top double, other double, slot bigint, n bigint"
+    scored = cut(texts.mapInArrow(M.batches(_score(nets, floors, to_arrow_type(kind))), schema))
+    rows = scored.filter("slot is null")
+    if not nets:
+        return rows.select("doc_id", "base", F.array().cast(span).alias("added"), F.when(F.size("base") > 0, 1.0).otherwise(0.0).alias("score"))
+    counted = np.zeros(6 * _LOGIT_SLOTS)
+    for r in scored.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counted[r.slot] = r.n
+    for net, (others, secrets, moved) in zip(nets, counted.reshape(2, 3, _LOGIT_SLOTS)):
+        net.calibrate(np.arange(_LOGIT_SLOTS) / SLOTS - EDGE, secrets, others, recall, moved)
+    least = [net.least for net in nets]
+    if any(x < y for x, y in zip(least, floors)):
+        rows = cut(texts.mapInArrow(M.batches(_score(nets, least, to_arrow_type(kind))), schema)).filter("slot is null")
+    reached = F.filter("near", lambda x: x["z"] >= F.when(x["net"] == 0, least[0]).otherwise(least[1]))
+    added = F.array_sort(F.array_distinct(F.transform(reached, lambda x: F.struct(F.lit(ADDED).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))))
+    odds = [1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), net.scale * F.col(c) + net.shift)))) for net, c in zip(nets, ("top", "other"))]
+    score = F.when(F.size("base") > 0, 1.0).otherwise(F.greatest(*[F.when(F.col(c) > float("-inf"), p).otherwise(0.0) for p, c in zip(odds, ("top", "other"))]))
+    return rows.select("doc_id", "base", added.alias("added"), score.alias("score"))
+
+
+def guess(net: CharNet, findings: pd.DataFrame, recall: float) -> float:
+    """A logit below the threshold to expect, from findings that the network has not learned."""
+    z = net.logits(findings[findings.label == 1].window.tolist())
+    inner = z - net.around(findings[findings.label == 1].window.tolist())
+    z = np.concatenate([z, inner + np.median(net.elsewhere)])
+    return float(np.quantile(z, 1 - recall)) - 2.0
 
 
 def listed(spans) -> F.Column:
