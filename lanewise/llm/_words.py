@@ -153,9 +153,16 @@ def blocks(column: pa.Array, words: WordClass, limit: int = BLOCK_BYTES) -> Iter
         yield Block(first, buf, text_at, start, end, np.searchsorted(start, text_at), hashes)
 
 
-def second_hashes(block: Block) -> np.ndarray:
-    """Another hash of each word, from byte values of its own."""
+def second_hashes(block: Block, chosen: np.ndarray | None = None) -> np.ndarray:
+    """Another hash of each word (or of the chosen ones), from byte values of its own."""
     up, down = _tables(len(block.buf))
+    if chosen is not None:
+        start, length = block.start[chosen], block.end[chosen] - block.start[chosen]
+        ends = np.cumsum(length)
+        inside = np.arange(int(length.sum())) - np.repeat(ends - length, length)
+        terms = _OTHER_VALUES[block.buf[inside + np.repeat(start, length)]] * up[inside]
+        total = np.add.reduceat(terms, ends - length) if len(terms) else np.zeros(0, np.uint64)
+        return mix64(total - length.astype(np.uint64))
     sums = np.empty(len(block.buf) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_OTHER_VALUES[block.buf] * up[: len(block.buf)], out=sums[1:])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
@@ -17,11 +18,16 @@ from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
 SHINGLE, BANDS, ROWS = 5, 12, 4
-#: Bytes of band entries that a bucket holds on average.
-BUCKET_BYTES = 12 << 20
+#: Bytes of band entries that a bucket holds on average, and lines of a band that are all paired at once.
+BUCKET_BYTES, SMALL_BAND = 12 << 20, 16
+#: Lines, and characters of lines, of a band that one task compares with so many others.
+BLOCK, BLOCK_CHARS = 2048, 1 << 21
 SIEVE_BITS = 1 << 23
+#: Of the 32 lowest bits of minima that an entry has, those in which lines must agree to be compared:
+#: at similarity 0.8 some 29 do, and fewer than this in one pair of 3000.
+SKETCH, AGREE = 32, 22
 
-ENTRY = np.dtype([("band", "<u8"), ("line", "<u8")])
+ENTRY = np.dtype([("line", "<u8"), ("band", "<u4"), ("sketch", "<u4")])
 _LAST = (1 << 63) - 1
 _BINS = BANDS * ROWS
 #: Bits of a minimum, and lines of which minima are told apart in 32 bits together with them.
@@ -135,51 +141,83 @@ def _bands(size: int, buckets: int):
                 place = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
                 sig = signatures(code, place[block.start[first]], place[block.end[first]], size)
                 e = np.zeros((len(names), BANDS), ENTRY)
+                bit, bucket = (sig & np.uint64(1)).astype(np.uint32), np.zeros((len(names), BANDS), np.int64)
                 for b in range(BANDS):
                     total = np.full(len(names), salt[b])
                     for r in range(ROWS):
                         total = W.mix64(total + sig[:, b * ROWS + r])
-                    e[:, b]["band"], e[:, b]["line"] = total, names
-                parts.append(e.reshape(-1))
+                    sketch = np.zeros(len(names), np.uint32)
+                    for j in range(SKETCH):
+                        sketch |= bit[:, ((b + 1) * ROWS + j) % _BINS] << np.uint32(j)
+                    e[:, b]["line"], e[:, b]["band"], e[:, b]["sketch"] = names, total >> np.uint64(32), sketch
+                    bucket[:, b] = total % np.uint64(buckets)
+                parts.append((bucket.reshape(-1), e.reshape(-1)))
             if parts:
-                e = np.concatenate(parts)
-                yield B.packed((e["band"] % np.uint64(buckets)).astype(np.int64), e)
+                yield B.packed(*(np.concatenate(x) for x in zip(*parts)))
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Each line of a band with the band's least (band null if the band has only these two)."""
-    e = B.unpacked(table["part"], ENTRY)
-    e = e[np.lexsort((e["line"], e["band"]))]
-    if len(e):
-        e = e[np.concatenate([[True], (e["band"][1:] != e["band"][:-1]) | (e["line"][1:] != e["line"][:-1])])]
-    start, end = B.groups(e["band"])
-    size = end - start
-    met = np.flatnonzero(size > 1)
-    rows = B.spans_of(start[met], size[met])
-    lead = np.repeat(e["line"][start[met]], size[met])
-    more = np.repeat(size[met] > 2, size[met])
-    keep = more | (e["line"][rows] != lead)
-    rows, lead, more = rows[keep], lead[keep], more[keep]
-    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    return pa.table([signed(e["line"][rows]), signed(lead), pa.array(np.ascontiguousarray(e["band"][rows]).view(np.int64), mask=~more)], names=["a", "b", "band"])
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x["sketch"] ^ y["sketch"]) <= SKETCH - AGREE
+
+
+def _meet(most: int):
+    """Pairs of lines of a band whose sketches agree: all in a band of ``most`` lines. In a larger one each
+    line has the first of ``most`` leads that it agrees with, and its lines follow without a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        e = B.unpacked(table["part"], ENTRY)
+        e = e[np.lexsort((e["line"], e["band"]))]
+        if len(e):
+            e = e[np.concatenate([[True], (e["band"][1:] != e["band"][:-1]) | (e["line"][1:] != e["line"][:-1])])]
+        start, end = B.groups(e["band"])
+        size = end - start
+        small, large = (size > 1) & (size <= most), size > most
+        inside = B.spans_of(start[small], size[small])
+        later = np.repeat(end[small], size[small]) - inside - 1
+        first, second = [], []
+        for i, j in B.chunks(later, 1 << 20):
+            x, y = np.repeat(inside[i:j], later[i:j]), B.spans_of(inside[i:j] + 1, later[i:j])
+            ok = _alike(e[x], e[y])
+            first.append(e["line"][x[ok]])
+            second.append(e["line"][y[ok]])
+        for s, t in zip(start[large].tolist(), end[large].tolist()):
+            open_ = np.arange(s + 1, t)
+            for lead in range(s, s + most):
+                ok = _alike(e[open_], e[lead : lead + 1]) & (open_ > lead)
+                first.append(np.full(ok.sum(), e["line"][lead]))
+                second.append(e["line"][open_[ok]])
+                open_ = open_[~ok]
+        members = e[B.spans_of(start[large], size[large])]
+        signed = lambda x: np.ascontiguousarray(x).astype(np.uint64).view(np.int64)
+        a, b = (signed(np.concatenate(x or [np.zeros(0, np.uint64)])) for x in (second, first))
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        bucket = np.uint64(table["bucket"][0].as_py() if len(table) else 0) << np.uint64(32)
+        lone = np.concatenate([np.zeros(len(a), bool), np.ones(len(members), bool)])
+        band = np.concatenate([np.zeros(len(a), np.int64), signed(bucket | members["band"].astype(np.uint64))])
+        line, other = np.concatenate([a, signed(members["line"])]), np.concatenate([b, np.zeros(len(members), np.int64)])
+        return pa.table([pa.array(line), pa.array(other, mask=lone), pa.array(band, mask=~lone)], names=["a", "b", "band"])
+
+    return run
 
 
 def _wanted(bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool), set()
         for batch in batches:
-            lines, texts = [], []
+            lines, others, texts = [], [], []
             for block, _ in line_blocks(batch.column("text")):
                 raw = block.buf.tobytes()
                 found = np.flatnonzero(known[block.hashes & np.uint64(SIEVE_BITS - 1)])
-                for name, a, b in zip(W.signed(block.hashes[found]).tolist(), block.start[found].tolist(), block.end[found].tolist()):
-                    if name not in done:
-                        done.add(name)
+                second = W.signed(W.second_hashes(block, found)).tolist()
+                for name, other, a, b in zip(W.signed(block.hashes[found]).tolist(), second, block.start[found].tolist(), block.end[found].tolist()):
+                    if (name, other) not in done:
+                        done.add((name, other))
                         lines.append(name)
+                        others.append(other)
                         texts.append(raw[a:b].decode("utf-8", "replace"))
-            yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+            yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(others, pa.int64()), pa.array(texts, pa.string())], names=["line", "line2", "text"])
 
     return run
 
@@ -220,70 +258,105 @@ def _verify(size: int, percent: int):
 
 
 def _settle(size: int, percent: int):
-    """Links inside a band that join its parts (labels): lines of different parts are compared until
-    a link joins them. Sizes and parities of shingles rule most pairs out; the sets decide the rest."""
+    """Links in a band (or between two blocks of it) that join its parts (labels): lines of different
+    parts are compared until a link joins them. Sizes and parities of shingles rule most pairs out;
+    the sets decide the rest."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, labels = table["line"].to_pylist(), table["label"].to_pylist()
         sets = shingle_sets(table["text"].to_pylist(), size)
-        n = np.array([len(s) for s in sets])
+        n = np.array([len(s) for s in sets], np.int64)
+        order = np.argsort(n, kind="stable")
+        n, sets = n[order], [sets[i] for i in order.tolist()]
+        names, side = (table[c].to_numpy()[order] for c in ("line", "side"))
+        apart = (table["lo"][0].as_py() != table["hi"][0].as_py()) if len(table) else False
         bits = np.array([np.packbits(np.bincount((s % np.uint64(_PARITY)).astype(np.int64), minlength=_PARITY) & 1).view("<u8") for s in sets])
-        parent = {x: x for x in labels}
+        _, part = np.unique(table["label"].to_numpy()[order], return_inverse=True)
+        parent = np.arange(part.max(initial=-1) + 1)
 
         def root(x: int) -> int:
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
-                x = parent[x]
+                x = int(parent[x])
             return x
 
-        part = np.unique(np.array(labels), return_inverse=True)[1]
-        out = []
-        for i in range(1, len(names)):
-            need = -(-percent * (n[i] + n[:i]) // (100 + percent))
-            apart = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1)
-            for j in np.flatnonzero((part[:i] != part[i]) & (np.minimum(n[:i], n[i]) >= need) & (apart <= n[i] + n[:i] - 2 * need)).tolist():
-                if root(labels[i]) != root(labels[j]) and _linked(sets[i], sets[j], percent):
-                    parent[root(labels[i])] = root(labels[j])
-                    out.append((names[i], names[j]))
-        a, b = zip(*out) if out else ((), ())
+        reach = np.searchsorted(n, n * 100 // percent, side="right")
+        count = np.maximum(reach - np.arange(len(n)) - 1, 0)
+        a, b = [], []
+        for i, j in B.chunks(count, 1 << 18):
+            x, y = np.repeat(np.arange(i, j), count[i:j]), B.spans_of(np.arange(i, j) + 1, count[i:j])
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+            ok = parent[part[x]] != parent[part[y]]
+            if apart:
+                ok &= side[x] != side[y]
+            x, y = x[ok], y[ok]
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= n[x] + n[y] - 2 * need
+            for v, w in zip(x[ok].tolist(), y[ok].tolist()):
+                p, q = root(int(part[v])), root(int(part[w]))
+                if p != q and _linked(sets[v], sets[w], percent):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(names[v])
+                    b.append(names[w])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """(node, component): hashes of different lines that are linked by similar ones; a component is
-    named by its least node."""
+    """(line, line2, component): both hashes of different lines that are linked by similar ones, and
+    a number for each component.
+
+    Bands name lines by one hash. Lines that meet there are looked up with both and get numbers of
+    their own, so that lines of equal first hashes stay different lines from then on.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
-    found = written(docs.select("text").mapInArrow(M.batches(_bands(size, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_meet), "a bigint, b bigint, band bigint"))
-    pairs = written(found.filter("a <> b").select("a", "b").distinct())
+    found = written(docs.select("text").mapInArrow(M.batches(_bands(size, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_meet(SMALL_BAND)), "a bigint, b bigint, band bigint"))
+    pairs = written(found.filter("band is null").select("a", "b").distinct())
     bits = np.zeros(SIEVE_BITS, bool)
-    for row in pairs.select(F.explode(F.array("a", "b")).alias("line")).select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
+    met = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(found.filter("band is not null").select("a"))
+    for row in met.select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
         bits[row.bit] = True
-    texts = written(docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, text string").groupBy("line").agg(F.min("text").alias("text")))
+    texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string").groupBy("line", "line2").agg(F.min("text").alias("text"))
+    earlier = F.row_number().over(Window.partitionBy("line").orderBy("line2")) > 1
+    texts = written(texts.withColumn("id", F.when(earlier, F.xxhash64("line", "line2")).otherwise(F.col("line"))))
 
     def verified(some: DataFrame) -> DataFrame:
-        met = some.join(texts.toDF("a", "x_text"), "a").join(texts.toDF("b", "y_text"), "b")
-        return written(met.mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
+        x, y = (texts.select(F.col("id").alias(i), F.col("text").alias(f"{c}_text")) for c, i in (("x", "a"), ("y", "b")))
+        return written(some.join(x, "a").join(y, "b").mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
 
     def parts_of(rows: DataFrame, known: DataFrame, c: str) -> DataFrame:
         named = known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
         return rows.join(named, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
 
+    twins = cut(texts.filter("id <> line").select("line", "id"))
+    if twins.take(1):
+        # lines of equal first hashes: each stands wherever the hash does
+        every = twins.union(twins.select("line", "line").distinct())
+        both = pairs.join(every.toDF("a", "p"), "a", "left").join(every.toDF("b", "q"), "b", "left")
+        pairs = both.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).union(twins)
+        found = found.join(every.toDF("a", "p"), "a", "left").select(F.coalesce("p", "a").alias("a"), "b", "band")
     links = verified(pairs.groupBy("a").agg(F.min("b").alias("b")))
     known = cut(components(links))
     apart = parts_of(parts_of(pairs, known, "a"), known, "b").filter("a_in <> b_in").select("a", "b")
     links = links.union(verified(apart))
     known = cut(components(links))
     members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
-    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
+    several = members.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
     # similar lines often share several bands: of bands with the same lines one is enough
-    several = several.filter("lo <> hi").groupBy("lines", "n").agg(F.min("band").alias("band")).select("band")
-    settled = written(members.join(several, "band").join(texts, "line").groupBy("band").applyInArrow(M.group(_settle(size, percent)), "a bigint, b bigint"))
-    if settled.take(1):
-        known = cut(components(links.union(settled)))
-    return known.union(known.select("component", "component").distinct())
+    several = cut(several.filter("l <> h").groupBy("lines", "n").agg(F.min("band").alias("band")).select("band"))
+    if several.take(1):
+        open_ = written(members.join(several.toDF("band"), "band").join(texts.select(F.col("id").alias("line"), "text"), "line"))
+        sizes = open_.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+        dealt = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("band", "line", "label", "text", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
+        settled = written(dealt.groupBy("band", "lo", "hi").applyInArrow(M.group(_settle(size, percent)), "a bigint, b bigint"))
+        if settled.take(1):
+            known = cut(components(links.union(settled)))
+    named = known.union(known.select("component", "component").distinct())
+    return named.join(texts.select("id", "line", "line2"), F.col("node") == F.col("id")).select("line", "line2", "component")
 
 
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns: tuple[str, str] = ("doc_id", "text"), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -297,11 +370,13 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
 
     A line's runs of characters give minima in 48 bins of one hash function, and these 12 bands of
     4: a pair at similarity 0.8 shares a band with probability 0.998. Pairs that share one are
-    decided exactly, for each line first the pair with its least partner. Of a band whose lines are
-    then in different components, lines are compared until links join these or none is left to
-    compare, so that a large group of similar lines never makes all its pairs. Equal lines are told
-    by 128 bits and count once in all of this; a line that is in very many documents is one row of every
-    join but the last, which Spark splits, as the other side has one row for it.
+    decided exactly, unless 32 more bits of their minima tell them apart, for each line first the
+    pair with its least partner. A large band first offers each line one pair. If its lines are then
+    in different components, they are compared until links join these or none is left to compare, a
+    very large band in pairs of blocks, so that a large group of similar lines never sends out all
+    its pairs. Lines are told by 128 bits and count once in all of this; a line that is in very many
+    documents is one row of every join but the last, which Spark splits, as the other side has one
+    row for it.
 
     Blank lines always stay, also of empty texts; null text stays null and has no lines. Rows
     without id come after all others. Rows that share an id and the text are one document: the line
@@ -314,7 +389,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     occurrences = written(named.select("doc", "key", "text").mapInArrow(M.batches(_occurrences), "doc bigint, key bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"))
-    lines = lines.join(known, F.col("line") == F.col("node"), "left")
+    lines = lines.join(known, ["line", "line2"], "left")
     lines = lines.select("line", "line2", "first", "n", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2"))
     alone = lines.groupBy("part", "part2").agg(F.min("first").alias("stays"), F.sum("n").alias("times")).filter("times > 1").select("part", "part2", "stays")
     repeated = lines.join(alone, ["part", "part2"]).select("line", "line2", "stays")

@@ -7,7 +7,7 @@ from lanewise.llm.line_dedup import dedup_lines, shingle_sets
 
 
 def linked(x, y, percent=80):
-    s, t = (set(shingle_sets([v], 8)[0].tolist()) for v in (x, y))
+    s, t = (set(shingle_sets([v], line_dedup.SHINGLE)[0].tolist()) for v in (x, y))
     return 100 * len(s & t) >= percent * len(s | t)
 
 
@@ -92,6 +92,45 @@ def test_short_lines_with_a_word_changed(spark, docs_of):
     assert {r.doc_id for r in rows if not r.dropped} == want
 
 
+def test_large_group_of_similar_lines(spark, docs_of, monkeypatch):
+    """Edits upon edits, over leads and blocks of bands."""
+    monkeypatch.setattr(line_dedup, "SMALL_BAND", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 10)
+    r, docs = random.Random(5), []
+    line = [r.choice("abcdefghijklmnop ") for _ in range(150)]
+    for i in range(90):
+        docs.append((i, "".join(line)))
+        line = list(line)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            line[r.randrange(len(line))] = r.choice("qrstuvwxyz")
+    want = brute(docs)
+    assert 1 < sum(not gone for *_, gone in want) < 40
+    assert got(docs_of(docs)) == want
+
+
+@pytest.mark.parametrize("low, high", [(12, 20), (20, 40), (40, 60), (60, 120)])
+def test_recall_of_short_lines(low, high):
+    """Pairs at 0.8 or more whose bands and sketches meet."""
+    import numpy as np
+
+    r, hits, tries, size = random.Random(low), 0, 0, line_dedup.SHINGLE
+    while tries < 400:
+        x = "".join(r.choice("abcdefghijklmnop ") for _ in range(r.randint(low, high)))
+        y = list(x)
+        for _ in range(r.choice([1, 1, 2])):
+            at = r.choice([0, len(y) - 1, r.randrange(len(y))])
+            y[at : at + r.choice([0, 1])] = r.choice("qrst")
+        y = "".join(y)
+        if x == y or not linked(x, y):
+            continue
+        code = np.frombuffer((x + y).encode("utf-32-le"), "<u4")
+        sig = line_dedup.signatures(code, np.array([0, len(x)]), np.array([len(x), len(x + y)]), size)
+        same, bit = sig[0] == sig[1], (sig[0] ^ sig[1]) & np.uint64(1) == 0
+        meets = [same[b * 4 : b * 4 + 4].all() and bit[(np.arange(line_dedup.SKETCH) + b * 4 + 4) % 48].sum() >= line_dedup.AGREE for b in range(12)]
+        hits, tries = hits + any(meets), tries + 1
+    assert hits / tries >= 0.98
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_banding_recall(similarity):
     import numpy as np
