@@ -17,17 +17,14 @@ from lanewise.llm._tables import cut, written
 from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
-SHINGLE, BANDS, ROWS = 5, 12, 4
+SHINGLE, BANDS, ROWS = 5, 20, 6
 #: Bytes of band entries that a bucket holds on average, and lines of a band that are all paired at once.
 BUCKET_BYTES, SMALL_BAND = 12 << 20, 16
 #: Lines, and characters of lines, of a band that one task compares with so many others.
 BLOCK, BLOCK_CHARS = 2048, 1 << 21
 SIEVE_BITS = 1 << 23
-#: Of the 32 lowest bits of minima that an entry has, those in which lines must agree to be compared:
-#: at similarity 0.8 some 29 do, and fewer than this in one pair of 3000.
-SKETCH, AGREE = 32, 22
 
-ENTRY = np.dtype([("line", "<u8"), ("band", "<u4"), ("sketch", "<u4")])
+ENTRY = np.dtype([("line", "<u8"), ("band", "<u4")])
 _LAST = (1 << 63) - 1
 _BINS = BANDS * ROWS
 #: Bits of a minimum, and lines of which minima are told apart in 32 bits together with them.
@@ -140,17 +137,12 @@ def _bands(size: int, buckets: int):
                 code = np.frombuffer(block.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
                 place = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
                 sig = signatures(code, place[block.start[first]], place[block.end[first]], size)
-                e = np.zeros((len(names), BANDS), ENTRY)
-                bit, bucket = (sig & np.uint64(1)).astype(np.uint32), np.zeros((len(names), BANDS), np.int64)
+                e, bucket = np.zeros((len(names), BANDS), ENTRY), np.zeros((len(names), BANDS), np.int64)
                 for b in range(BANDS):
                     total = np.full(len(names), salt[b])
                     for r in range(ROWS):
                         total = W.mix64(total + sig[:, b * ROWS + r])
-                    sketch = np.zeros(len(names), np.uint32)
-                    for j in range(SKETCH):
-                        sketch |= bit[:, ((b + 1) * ROWS + j) % _BINS] << np.uint32(j)
-                    e[:, b]["line"], e[:, b]["band"], e[:, b]["sketch"] = names, total >> np.uint64(32), sketch
-                    bucket[:, b] = total % np.uint64(buckets)
+                    e[:, b]["line"], e[:, b]["band"], bucket[:, b] = names, total >> np.uint64(32), total % np.uint64(buckets)
                 parts.append((bucket.reshape(-1), e.reshape(-1)))
             if parts:
                 yield B.packed(*(np.concatenate(x) for x in zip(*parts)))
@@ -158,13 +150,9 @@ def _bands(size: int, buckets: int):
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x["sketch"] ^ y["sketch"]) <= SKETCH - AGREE
-
-
 def _meet(most: int):
-    """Pairs of lines of a band whose sketches agree: all in a band of ``most`` lines. In a larger one each
-    line has the first of ``most`` leads that it agrees with, and its lines follow without a partner."""
+    """All pairs of a band of up to ``most`` lines; of a larger one each line with the first, and then its
+    lines without a partner."""
 
     def run(table: pa.Table) -> pa.Table:
         e = B.unpacked(table["part"], ENTRY)
@@ -179,16 +167,11 @@ def _meet(most: int):
         first, second = [], []
         for i, j in B.chunks(later, 1 << 20):
             x, y = np.repeat(inside[i:j], later[i:j]), B.spans_of(inside[i:j] + 1, later[i:j])
-            ok = _alike(e[x], e[y])
-            first.append(e["line"][x[ok]])
-            second.append(e["line"][y[ok]])
-        for s, t in zip(start[large].tolist(), end[large].tolist()):
-            open_ = np.arange(s + 1, t)
-            for lead in range(s, s + most):
-                ok = _alike(e[open_], e[lead : lead + 1]) & (open_ > lead)
-                first.append(np.full(ok.sum(), e["line"][lead]))
-                second.append(e["line"][open_[ok]])
-                open_ = open_[~ok]
+            first.append(e["line"][x])
+            second.append(e["line"][y])
+        rest = B.spans_of(start[large] + 1, size[large] - 1)
+        first.append(np.repeat(e["line"][start[large]], size[large] - 1))
+        second.append(e["line"][rest])
         members = e[B.spans_of(start[large], size[large])]
         signed = lambda x: np.ascontiguousarray(x).astype(np.uint64).view(np.int64)
         a, b = (signed(np.concatenate(x or [np.zeros(0, np.uint64)])) for x in (second, first))
@@ -368,10 +351,9 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     of their distinct runs of ``size`` characters are common. Of each component the first line, by
     document id and place, stays.
 
-    A line's runs of characters give minima in 48 bins of one hash function, and these 12 bands of
-    4: a pair at similarity 0.8 shares a band with probability 0.998. Pairs that share one are
-    decided exactly, unless 32 more bits of their minima tell them apart, for each line first the
-    pair with its least partner. A large band first offers each line one pair. If its lines are then
+    A line's runs of characters give minima in 120 bins of one hash function, and these 20 bands of
+    6: a pair at similarity 0.8 shares a band with probability 0.998, one at 0.3 with 0.015. Pairs
+    that share one are decided exactly, for each line first the pair with its least partner. A large band first offers each line one pair. If its lines are then
     in different components, they are compared until links join these or none is left to compare, a
     very large band in pairs of blocks, so that a large group of similar lines never sends out all
     its pairs. Lines are told by 128 bits and count once in all of this; a line that is in very many
