@@ -23,7 +23,7 @@ BUCKET_BYTES, SMALL_TILE = 16 << 20, 16
 #: Entries that a part of a common shingle's tile holds on average, and sets of a tile that one task compares with so many others.
 PART, BLOCK, BLOCK_SHINGLES = 1 << 18, 4096, 1 << 22
 #: Places for each shingle, at least, of the signatures that such a task compares.
-WIDE = 16
+WIDE = 8
 #: Pairs that a task looks at in one step.
 STEP = 1 << 18
 #: Bits of the map that documents are sieved with before their texts move; a fixed size.
@@ -168,12 +168,14 @@ def _entries(shape: Shape, ranks: np.ndarray, parts: np.ndarray, buckets: int):
 
 
 def _may_link(shape: Shape, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """False only where sizes, places or signatures prove that two sets don't link."""
+    """False only where sizes, places or signatures prove that two sets don't link, or that they share
+    an earlier token, in whose tile they meet: of the first token that they share, all before it in
+    either set are shingles that the other has not."""
     n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    need = shape.overlap(n, m)
-    ok = 1 + np.minimum(n - x["at"] - 1, m - y["at"] - 1) >= need
+    most = n + m - 2 * shape.overlap(n, m)
+    ok = (x["at"].astype(np.int64) + y["at"] <= most) & (np.abs(n - m) <= most)
     apart = np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=-1)
-    return ok & (np.minimum(n, m) >= need) & (apart <= n + m - 2 * need) & (x["set"] != y["set"]) & ((x["home"] | y["home"]) == 1)
+    return ok & (apart <= most) & (x["set"] != y["set"]) & ((x["home"] | y["home"]) == 1)
 
 
 def _tile(e: np.ndarray) -> np.ndarray:
@@ -283,40 +285,71 @@ def _alive(shape: Shape):
     return run
 
 
-def _rest(shape: Shape):
-    """Links between the sets of a tile (or of two blocks of it) that join their components, decided
-    by the sets themselves where signatures of WIDE places a shingle allow a link."""
+class Forests:
+    """Forests over labels: an edge goes into the first whose trees it joins."""
+
+    def __init__(self, labels: np.ndarray, forests: int):
+        _, self.node = np.unique(labels, return_inverse=True)
+        self.parent = [np.arange(self.node.max(initial=-1) + 1) for _ in range(forests)]
+
+    def root(self, parent: np.ndarray, x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    def adds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of these edges go into a forest."""
+        last = self.parent[-1]
+        while (last[last] != last).any():
+            last[:] = last[last]
+        x, y = self.node[i], self.node[j]
+        out = np.zeros(len(x), bool)
+        for k in np.flatnonzero(last[x] != last[y]).tolist():
+            for parent in self.parent:
+                a, b = self.root(parent, int(x[k])), self.root(parent, int(y[k]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out[k] = True
+                    break
+        return out
 
-    def run(members: pa.Table) -> pa.Table:
+
+def _places(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each of the named pairs, from their places among the names."""
+    if not len(names) or not len(a):
+        return np.zeros(0, np.int64)
+    order = np.argsort(names)
+    at = [order[np.minimum(np.searchsorted(names, v, sorter=order), len(names) - 1)] for v in (a, b)]
+    here = (names[at[0]] == a) & (names[at[1]] == b)
+    return (np.minimum(*at) * len(names) + np.maximum(*at))[here]
+
+
+def _rest(shape: Shape, forests: int):
+    """Of the sets of a tile (or of two blocks of it) pairs whose labels differ and whose signatures
+    allow a link: as many as make ``forests`` forests over the labels; ``more`` tells if some are
+    left. Pairs known not to link are passed over."""
+
+    def run(members: pa.Table, refuted: pa.Table) -> pa.Table:
         e, label, side, order, apart = _by_size(members)
-        packed = members["shingles"].to_pylist()
-        sets = [np.frombuffer(packed[i], "<u8") for i in order.tolist()]
-        wide = Wide([signature(s, WIDE) for s in sets])
-        _, part = np.unique(label, return_inverse=True)
-        parent = np.arange(part.max(initial=-1) + 1)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = int(parent[x])
-            return x
-
-        a, b = [], []
+        marks, names = members["wide"].to_pylist(), members["doc_id"].to_numpy()[order]
+        wide, trees, no = Wide([marks[i] for i in order.tolist()]), Forests(label, forests), _places(names, refuted["x"].to_numpy(), refuted["y"].to_numpy())
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
         for left, right in _open_pairs(shape, e, label, side, apart):
-            while (parent[parent] != parent).any():
-                parent[:] = parent[parent]
-            ok = parent[part[left]] != parent[part[right]]
+            n, m = e["n"][left].astype(np.int64), e["n"][right].astype(np.int64)
+            ok = wide.apart(left, right) <= n + m - 2 * shape.overlap(n, m)
+            ok &= ~np.isin(left * len(e) + right, no)
             left, right = left[ok], right[ok]
-            need = shape.overlap(e["n"][left].astype(np.int64), e["n"][right].astype(np.int64))
-            ok = wide.apart(left, right) <= e["n"][left].astype(np.int64) + e["n"][right] - 2 * need
-            for i, j, least in zip(left[ok].tolist(), right[ok].tolist(), need[ok].tolist()):
-                x, y = root(int(part[i])), root(int(part[j]))
-                if x != y and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
-                    parent[max(x, y)] = min(x, y)
-                    a.append(i)
-                    b.append(j)
-        names = members["doc_id"].to_numpy()[order]
-        return pa.table([pa.array(np.maximum(names[a], names[b])), pa.array(np.minimum(names[a], names[b]))], names=["x", "y"]) if a else pa.table([pa.array([], pa.int64())] * 2, names=["x", "y"])
+            new = trees.adds(left, right)
+            more |= not new.all()
+            a.append(names[left[new]])
+            b.append(names[right[new]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        where = [members[c][0].as_py() if len(e) else 0 for c in ("id", "lo", "hi")]
+        return pa.table(
+            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *(pa.array(np.full(len(a), v, np.int64)) for v in where), pa.array(np.full(len(a), more))],
+            names=["x", "y", "id", "lo", "hi", "more"],
+        )
 
     return run
 
@@ -408,12 +441,12 @@ def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
     return cut(met.select("x", "y", "x_text", "y_text").mapInArrow(M.batches(_verify(shape)), "x bigint, y bigint").distinct())
 
 
-def _shingles(shape: Shape):
+def _marks(shape: Shape, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s for block in W.blocks(batch.column("text"), W.SPACED_LOWER) for s in shingle_sets(block, shape.gram)]
             names = W.signed(np.array([set_hash(s, _SALTS[0]) for s in found], np.uint64))
-            yield pa.record_batch([pa.array(names), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "shingles"])
+            yield pa.record_batch([pa.array(names), pa.array([signature(s, wide) for s in found], pa.binary())], names=["set", "wide"])
 
     return run
 
@@ -424,9 +457,11 @@ def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFram
 
     Of ``close`` each set's pair with its least partner is decided first, and of the others those
     whose sets are then in different components. Of a large tile with several components the sets
-    that may link to one of another component go on with their shingles to one task, which sends
-    out links that join components only; a very large tile does so in pairs of blocks. So rows grow
-    with a tile and not with its pairs.
+    that may link to one of another component go on to one task with signatures of WIDE places a
+    shingle; a very large tile does so in pairs of blocks. Of the pairs that are left there, as many
+    are decided in each round as make some forests over the components, so rows grow with a tile
+    and not with its pairs. What links joins components; a tile is looked at again only where a pair
+    did not link and others were left, then with 16 times as many forests.
     """
     links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
     known = cut(components(links))
@@ -443,16 +478,32 @@ def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFram
     several = split.groupBy("id").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = split.join(several.filter("l <> h").select("id", "blocks"), "id").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "set", "label", "entry")
-    schema = "id bigint, lo int, hi int, side boolean, set bigint, label bigint, entry binary"
+    members = members.select("id", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "set", "label", "entry")
+    schema = "id bigint, lo bigint, hi bigint, side boolean, set bigint, label bigint, entry binary"
     alive = cut(members.groupBy("id", "lo", "hi").applyInArrow(M.group(_alive(shape)), schema))
     if not alive.take(1):
         return known
     wanted = cut(sets.filter("doc_id is not null").join(alive.select("set").distinct(), "set").select("set", "doc_id"))
-    whole = _texts_of(docs, wanted.select("doc_id")).mapInArrow(M.batches(_shingles(shape)), "set bigint, shingles binary")
-    whole = whole.join(wanted, "set").dropDuplicates(["set", "doc_id"])
-    decided = alive.join(whole, "set").groupBy("id", "lo", "hi").applyInArrow(M.group(_rest(shape)), "x bigint, y bigint")
-    return cut(components(links.union(decided)))
+    wide = _texts_of(docs, wanted.select("doc_id")).mapInArrow(M.batches(_marks(shape, WIDE)), "set bigint, wide binary")
+    members = cut(alive.drop("label").join(wide.join(wanted, "set").dropDuplicates(["set", "doc_id"]), "set"))
+    key, forests = ["id", "lo", "hi"], 4
+    refuted = docs.sparkSession.createDataFrame([], "id bigint, lo bigint, hi bigint, x bigint, y bigint")
+    while True:
+        named = wanted.join(known, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "doc_id").alias("label")).distinct()
+        labelled = members.join(named, F.col("doc_id") == F.col("d")).drop("d")
+        schema = "x bigint, y bigint, id bigint, lo bigint, hi bigint, more boolean"
+        rest = cut(labelled.groupBy(*key).cogroup(refuted.groupBy(*key)).applyInArrow(M.cogroup(_rest(shape, forests)), schema))
+        found = _links(docs, rest.select("x", "y").distinct(), shape)
+        failed = cut(rest.join(found, ["x", "y"], "left_anti"))
+        links = links.union(found)
+        known = cut(components(links))
+        again = failed.filter("more").select(*key).distinct().toDF(*key)
+        if not failed.filter("more").take(1):
+            return known
+        members = cut(members.join(again, key)).toDF(*members.columns)
+        lost = failed.select("x", "y").union(refuted.select("x", "y")).distinct()
+        refuted = cut(members.select(*key, F.col("doc_id").alias("x")).join(lost, "x").select(*key, "x", "y")).toDF(*key, "x", "y")
+        forests *= 16
 
 
 def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:

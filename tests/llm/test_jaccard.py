@@ -101,8 +101,11 @@ def test_components(spark, monkeypatch, one_task):
     assert components_module.ONE_TASK > 0
 
 
-def test_group_at_the_threshold(spark, docs_of, monkeypatch):
-    """Very many pairs just below the threshold, over parts and blocks of tiles."""
+@pytest.mark.parametrize("wide", [1, 8])
+def test_group_at_the_threshold(spark, docs_of, monkeypatch, wide):
+    """Very many pairs just below the threshold, over parts and blocks of tiles; with narrow
+    signatures some are tried in vain, and more rounds follow."""
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     monkeypatch.setattr(jaccard_join, "SMALL_TILE", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 20)
     monkeypatch.setattr(jaccard_join, "PART", 25)
