@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,31 @@ def written(df: DataFrame) -> DataFrame:
 SMALL_ROWS = 100_000
 
 
+def in_ranges(df: DataFrame, parts: int, order: list[str], name: str) -> DataFrame:
+    """df in ``parts`` ranges of ``order`` by sampled cut points, at least as many as shuffles have
+    partitions, written with the range's number in the column ``name``."""
+    parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id().cast("long")))
+
+
+#: Ranges whose sums one window task adds up.
+RUN = 4096
+
+
+def earlier_sums(df: DataFrame, place: str, value: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, place, name): for each place (a whole number) the sum of the values at smaller ones,
+    for each value of ``within`` by itself. Sums go up in runs of places, so no task reads them all."""
+    some = df.groupBy(*within, place).agg(F.sum(value).alias("_sum")).withColumn("_run", F.floor(F.col(place) / RUN))
+    upto = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = some.groupBy(*within, "_run").agg(F.sum("_sum").alias("_sum"))
+    runs = runs.select(*[F.col(c).alias(f"_{c}") for c in within], F.col("_run").alias("_of"), upto(Window.partitionBy(*within).orderBy("_run")).alias("_before"))
+    inside = some.withColumn("_inside", upto(Window.partitionBy(*within, "_run").orderBy(place)))
+    same = F.col("_run") == F.col("_of")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inside.join(runs, same).select(*within, place, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def small_or_shuffled(df: DataFrame) -> DataFrame:
     """df, written and marked for broadcast if it has no more than SMALL_ROWS rows; for narrow tables."""
     df = cut(df)

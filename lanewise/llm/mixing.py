@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import cut, earlier_sums, in_ranges, small_or_shuffled
 
-#: Rows that one range or hash bucket holds on average; a bucket is the unit of a task.
+#: Rows that a range holds on average; a range is the unit of a task.
 BUCKET_ROWS = 20_000
+#: Packets that the mix has at least, if all its documents are long: a document longer than this share of the mix queues in parts.
+PACKETS = 100_000
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -61,24 +63,30 @@ def mix_sources(
     epochs: int = 2,
     seed: str = "",
     columns: tuple[str, str, str] = ("doc_id", "text", "source"),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Draws a mix of ``budget`` (a fraction of all words) whose sources come near their targets.
+    """Draws a mix of ``budget`` (a fraction of all words) by weighted fair queueing over the sources.
 
     Each source queues its documents in the order of a hash of their ids, up to ``epochs`` times
-    over. A copy starts where the words queued before it end and is served up to its source's
-    target; its virtual finish time is the words served by then over the source's weight. Copies
-    go into ranges of finish time, are sorted there, and are cut where the words of all ranges
-    before and of the copies before them reach the budget.
+    over. A document's virtual finish time is the words of its source that are queued up to its
+    end over the source's weight. All sources' queues are sorted together by finish time, in ranges
+    by sampled cut points, and cut where the words before reach the budget: so a source gets words
+    in proportion to its weight until its queue ends, and the others share what it leaves. A
+    document of more than a PACKETS-th of the mix queues in packets of that size, as long messages
+    do in networks, so no source is ahead of its share by more than a packet, and the last packet
+    is taken in part. The target (see targets) only tells what comes of that; nothing is cut at it.
 
-    Running sums go by buckets of the hash and by ranges of the finish time, each of about
-    BUCKET_ROWS rows however large a source is; only the buckets' own sums meet in one window.
+    Running sums go by ranges of the hash and of the finish time, each of about BUCKET_ROWS rows
+    however large a source is; rows of one id, or of none, are dealt over ranges like any others.
 
     Returns doc_id, size, source_size, target, taken, source, first_finish (virtual time at which
-    the first copy is through; null if none is taken), one row for each row of docs.
+    its first packet is through; null if none is taken) and the columns ``carry`` in a struct named
+    rest (null without any), one row for each row of docs.
 
-    Null or blank text: size 0, taken 0. Null ids queue first in hash order, null sources are one
-    source, after all others. Rows alike in every column are separate documents; so are rows that
-    share an id. An empty table gives an empty result. Other columns are ignored.
+    Null or blank text: size 0, taken 0. Null ids queue by the hash of no characters, null sources
+    are one source, after all others. Rows alike in every column are separate documents; so are
+    rows that share an id, which queue by size and by a hash of the text. An empty table gives an
+    empty result. Other columns are ignored.
     """
     id_col, text_col, source_col = columns
     sized = docs.select(
@@ -86,44 +94,41 @@ def mix_sources(
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("hash"),
+        F.xxhash64(text_col).alias("twist"),
+        F.monotonically_increasing_id().alias("row"),
+        (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")).alias("rest"),
     )
     sized = cut(sized)
     total_rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    digits = 0
-    while total_rows > BUCKET_ROWS * 16**digits:
-        digits += 1
-    ranges = max(1, total_rows * epochs // BUCKET_ROWS)
     limit = total * budget[0] // budget[1]
-
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs)
-    ends = sources.agg(F.max(F.ceil("target") / F.col("weight")).alias("x")).first()["x"] or 1.0
-    filled = sized.filter("size > 0").withColumn("bucket", F.substring("hash", 1, digits))
-    within = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = filled.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"))
-    queued = filled.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    queued = queued.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    queued = queued.select("doc_id", "source", "size", "hash", (F.col("earlier") + F.col("inside")).alias("first_start"))
+    packet = max(1, limit // PACKETS)
+    sources = small_or_shuffled(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs))
     known = sources.select(F.col("source").alias("s_source"), "source_size", "rank", "weight", "target")
-    queued = queued.join(known, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+
+    # rows alike in all of this but the last are interchangeable
+    order = ["hash", "doc_id", "size", "twist", "row"]
+    filled = sized.filter("size > 0").join(known, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    filled = in_ranges(filled, total_rows // BUCKET_ROWS, ["rank", *order], "bucket")
+    within = Window.partitionBy("rank", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    queued = filled.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(earlier_sums(filled, "bucket", "size", "earlier", ("rank",)), ["rank", "bucket"])
+    queued = queued.select("doc_id", "source", "size", "source_size", "rank", "weight", "target", "rest", (F.col("earlier") + F.col("inside")).alias("first_start"))
 
     copies = queued.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
-    copies = copies.withColumn("start", F.col("first_start") + F.col("epoch") * F.col("source_size"))
-    copies = copies.withColumn("served", F.greatest(F.lit(0), F.least(F.col("size"), F.ceil("target") - F.col("start"))))
-    copies = copies.filter("served > 0 or epoch = 0").withColumn("finish", (F.col("start") + F.col("served")) / F.col("weight"))
-    copies = copies.withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") / F.lit(float(ends)) * ranges)).cast("long"))
-    in_range = Window.partitionBy("range").orderBy("finish", "rank", "start").rowsBetween(Window.unboundedPreceding, -1)
-    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    spans = copies.groupBy("range").agg(F.sum("served").alias("words"))
-    spans = spans.select(F.col("range").alias("r_range"), F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("ahead"))
-    copies = copies.withColumn("inside", F.coalesce(F.sum("served").over(in_range), F.lit(0))).join(spans, F.col("range") == F.col("r_range"))
-    copies = copies.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("served"), F.lit(limit) - F.col("ahead") - F.col("inside"))))
-
-    mixed = copies.groupBy("source", "rank", "first_start", "doc_id", "size", "source_size", "target").agg(
-        F.sum("taken").alias("taken"), F.min(F.when(F.col("taken") > 0, F.col("finish"))).alias("first_finish")
-    )
+    copies = copies.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
+    copies = copies.withColumn("start", F.col("first_start") + F.col("epoch") * F.col("source_size") + F.col("at"))
+    copies = copies.withColumn("words", F.least(F.lit(packet), F.col("size") - F.col("at"))).drop("epoch", "at")
+    copies = copies.withColumn("finish", (F.col("start") + F.col("words")) / F.col("weight"))
+    order = ["finish", "rank", "start"]
+    copies = in_ranges(copies, epochs * (total_rows + total // packet) // BUCKET_ROWS, order, "range")
+    in_range = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    copies = copies.withColumn("inside", F.coalesce(F.sum("words").over(in_range), F.lit(0))).join(earlier_sums(copies, "range", "words", "ahead"), "range")
+    copies = copies.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(limit) - F.col("ahead") - F.col("inside"))))
+
+    mixed = copies.groupBy("rank", "first_start").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target", "rest")],
+        F.sum("taken").alias("taken"), F.min(F.when(F.col("taken") > 0, F.col("finish"))).alias("first_finish"),
+    )
     blank = sized.filter("size = 0").join(known, F.col("source").eqNullSafe(F.col("s_source")))
-    out = ("doc_id", "size", "source_size", "target", "taken", "source", "first_finish")
+    out = ("doc_id", "size", "source_size", "target", "taken", "source", "first_finish", "rest")
     blank = blank.withColumns({"taken": F.lit(0).cast("long"), "first_finish": F.lit(None).cast("double")})
     return mixed.select(*out).unionByName(blank.select(*out))

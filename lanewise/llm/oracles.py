@@ -32,18 +32,21 @@ WITH sized AS (
          coalesce(sum(d.size) OVER (PARTITION BY a.rank ORDER BY d.h, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_start
   FROM sized d JOIN aimed a ON d.source IS NOT DISTINCT FROM a.source
+), packets AS (
+  SELECT *, greatest(1, total * 3 // 2 // 100000)::BIGINT AS packet FROM queued WHERE size > 0
 ), copies AS (
-  SELECT *, first_start + epoch * source_size AS start,
-         greatest(0, least(size, ceil(target)::BIGINT - (first_start + epoch * source_size))) AS served
-  FROM queued, (VALUES (0), (1)) e(epoch)
+  SELECT *, first_start + epoch * source_size + at AS start, least(packet, size - at) AS words
+  FROM (SELECT *, unnest(range(0, size, packet)) AS at FROM packets), (VALUES (0), (1)) e(epoch)
 ), cut AS (
-  SELECT *, greatest(0, least(served, total * 3 // 2 - coalesce(sum(served) OVER (
-           ORDER BY (start + served) / weight, rank, start
+  SELECT id, greatest(0, least(words, total * 3 // 2 - coalesce(sum(words) OVER (
+           ORDER BY (start + words) / weight, rank, start
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)) AS taken
   FROM copies
+), summed AS (
+  SELECT id, sum(taken)::BIGINT AS taken FROM cut GROUP BY id
 )
-SELECT doc_id, size, source_size, target, sum(taken)::BIGINT AS taken
-FROM cut GROUP BY id, doc_id, size, source_size, target
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queued LEFT JOIN summed USING (id)
 """
 
 DECONTAMINATION = r"""
