@@ -35,8 +35,8 @@ WITH sized AS (
 ), packets AS (
   SELECT *, greatest(1, total * 3 // 2 // 100000)::BIGINT AS packet FROM queued WHERE size > 0
 ), copies AS (
-  SELECT *, first_start + epoch * source_size + at AS start, least(packet, size - at) AS words
-  FROM (SELECT *, unnest(range(0, size, packet)) AS at FROM packets), (VALUES (0), (1)) e(epoch)
+  SELECT *, first_start + epoch * source_size + place AS start, least(packet, size - place) AS words
+  FROM (SELECT *, unnest(range(0, size, packet)) AS place FROM packets), (VALUES (0), (1)) e(epoch)
 ), cut AS (
   SELECT id, greatest(0, least(words, total * 3 // 2 - coalesce(sum(words) OVER (
            ORDER BY (start + words) / weight, rank, start

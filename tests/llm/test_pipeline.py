@@ -78,6 +78,55 @@ def test_near_duplicates_by_five_words(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
 
 
+def say(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without id, and texts that share one, stand and fall by their own text."""
+    import corpus_pipeline as P
+
+    r = random.Random(7)
+    first, other, third, fourth = (say(r, 60) for _ in range(4))
+    near = lambda t: t + " changed"
+    docs = [(1, first), (None, first), (None, other), (None, near(other)), (None, None), (5, third), (5, near(first)), (5, fourth), (6, near(third)), (7, None), (7, ""), (9, fourth), (9, fourth)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'x' number", "'y' copy", "'z' r_id")
+    out = P.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    left = [(x.doc_id, x.text) for x in out.collect()]
+    assert (1, first) in left and (None, first) not in left and (5, near(first)) not in left
+    assert len({(None, other), (None, near(other))} & set(left)) == 1
+    assert len({(5, third), (6, near(third))} & set(left)) == 1
+    assert len([x for x in left if x[1] == fourth]) in (1, 2) and ((5, fourth) in left) != ((9, fourth) in left)
+    assert {(None, None), (7, None), (7, "")} <= set(left)
+
+
+def test_mix_of_repeated_rows(spark):
+    import corpus_pipeline as P
+
+    df = spark.createDataFrame([(1, "a b", "s", {"k": 1})] * 4 + [(None, " ", "s", None)], "doc_id bigint, text string, source string, m map<string,int>").selectExpr("*", "'x' taken", "'y' rest", "'z' rank")
+    out = P.mix(spark, df, "")
+    assert sorted(r.taken for r in out.collect()) == [2, 2, 4, 4] and {(r.rest, r.rank, r.text) for r in out.collect()} == {("y", "z", "a b")}
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Null ids, texts, languages and sources, repeated rows, clashing names, and empty tables."""
+    import corpus_pipeline as P
+
+    r = random.Random(3)
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, say(r, 40), "en", "a", 0), (1, say(r, 40), None, None, 1), (None, say(r, 40), "en", "a", None), (None, None, None, None, None), (2, "", "en", "b", 0)]
+    rows += [rows[0], rows[2], (3, say(r, 30) + "\n" + say(r, 60_000), "en", "b", 2)]
+    clashes = ["'k' key", "'t' text_key", "'n' number", "1 taken_", "'l' line", "'d' doc", "'g' g", "'s' size", "'r' r_id", "'e' rest", "'a' alike"]
+    docs = spark.createDataFrame(rows, kind).selectExpr("*", *clashes)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, folder)
+        assert name == "mix" or out.columns == docs.columns
+        found = [x.text for x in out.collect()]
+        assert rows[-1][1] in found and all(t in (x[1] for x in rows) for t in found), name
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_queries_against_sql(spark):
     """The queries that have SQL, on the smallest tables."""
