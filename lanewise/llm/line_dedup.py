@@ -82,26 +82,54 @@ def shingle_hashes(line: str, size: int) -> np.ndarray:
     return _runs(code, min(size, len(code))) + np.uint64(min(size, len(code)))
 
 
+_SHORT_CODES = (_CODES >> np.uint64(32)).astype(np.uint32)
+_SHORT_RADIX = 0x9E3779B1
+
+
+def _short_runs(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of 32 bits of each ``size`` consecutive codes, for minima; by doubling."""
+    h, length = _SHORT_CODES[code & np.uint32(0xFFFF)], 1
+    if len(code) and code.max() > 0xFFFF:
+        h = h + (code >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    out, done = None, 0
+    while length <= size:
+        power = np.uint32(pow(_SHORT_RADIX, length, 1 << 32))
+        if size & length:
+            part = h[done : len(code) - size + 1 + done]
+            out = part.copy() if out is None else out * power + part
+            done += length
+        if 2 * length <= size:
+            h = h[:-length] * power + h[length:]
+        length *= 2
+    out ^= out >> np.uint32(16)
+    out *= np.uint32(0x7FEB352D)
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x846CA68B)
+    out ^= out >> np.uint32(16)
+    return out
+
+
 def signatures(code: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     """One-permutation MinHash of each line [start, end) of the codes: the least shingle hash in each
     of the bins, empty bins filled from others in an order that depends on the bin alone."""
     lines = len(start)
     out = np.full(lines * _BINS, _EMPTY, np.uint32)
-    whole = _runs(code, size) + np.uint64(size) if len(code) >= size else np.zeros(0, np.uint64)
+    whole = _short_runs(code, size) if len(code) >= size else np.zeros(0, np.uint32)
     for a in range(0, lines, _AT_ONCE):
         b = min(lines, a + _AT_ONCE)
         count = np.maximum(end[a:b] - start[a:b] - size + 1, 0)
-        line = np.repeat(np.arange(b - a, dtype=np.uint32), count)
+        line = np.repeat(np.arange(b - a, dtype=np.uint32) * np.uint32(_BINS), count)
         h = whole[B.spans_of(start[a:b], count)]
         short = np.flatnonzero(count == 0)
         if len(short):
-            each = [int((_runs(code[start[a + i] : end[a + i]], int(end[a + i] - start[a + i])) + np.uint64(end[a + i] - start[a + i]))[0]) for i in short.tolist()]
-            line, h = np.append(line, short.astype(np.uint32)), np.append(h, np.array(each, np.uint64))
-        bins = (((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)).astype(np.uint32)
-        key = np.sort(((line * np.uint32(_BINS) + bins) << np.uint32(_MINIMUM)) | (h & np.uint64((1 << _MINIMUM) - 1)).astype(np.uint32))
-        slot = (key >> np.uint32(_MINIMUM)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        out[a * _BINS + slot[first]] = key[first] & np.uint32((1 << _MINIMUM) - 1)
+            each = [int(_short_runs(code[start[a + i] : end[a + i]], int(end[a + i] - start[a + i]))[0]) for i in short.tolist()]
+            line, h = np.append(line, short.astype(np.uint32) * np.uint32(_BINS)), np.append(h, np.array(each, np.uint32))
+        bins = ((h >> np.uint32(16)) * np.uint32(_BINS)) >> np.uint32(16)
+        key = np.sort(((line + bins) << np.uint32(_MINIMUM)) | (h & np.uint32((1 << _MINIMUM) - 1)))
+        slot = key >> np.uint32(_MINIMUM)
+        first = np.flatnonzero(slot[1:] != slot[:-1]) + 1
+        first = np.concatenate([[0], first]) if len(key) else first
+        out[a * _BINS + slot[first].astype(np.int64)] = key[first] & np.uint32((1 << _MINIMUM) - 1)
     out = out.reshape(lines, _BINS)
     row, col = np.nonzero(out == _EMPTY)
     source, step = out.copy(), 0
@@ -111,7 +139,19 @@ def signatures(code: np.ndarray, start: np.ndarray, end: np.ndarray, size: int)
         value = source[row, other]
         out[row, col] = value
         row, col = row[value == _EMPTY], col[value == _EMPTY]
-    return out.astype(np.uint64)
+    return out
+
+
+_WEIGHTS = W.mix64(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_BAND_SALTS = W.mix64(np.arange(101, BANDS + 101, dtype=np.uint64))
+
+
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """A hash for each line and band of its minima."""
+    total = np.zeros((len(sig), BANDS), np.uint64) + _BAND_SALTS
+    for r in range(ROWS):
+        total += sig[:, r::ROWS].astype(np.uint64) * _WEIGHTS[r]
+    return W.mix64(total)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +164,6 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bands(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        salt = W.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             parts = []
             for block, _ in line_blocks(batch.column("text")):
@@ -137,12 +176,9 @@ def _bands(size: int, buckets: int):
                 code = np.frombuffer(block.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
                 place = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
                 sig = signatures(code, place[block.start[first]], place[block.end[first]], size)
-                e, bucket = np.zeros((len(names), BANDS), ENTRY), np.zeros((len(names), BANDS), np.int64)
-                for b in range(BANDS):
-                    total = np.full(len(names), salt[b])
-                    for r in range(ROWS):
-                        total = W.mix64(total + sig[:, b * ROWS + r])
-                    e[:, b]["line"], e[:, b]["band"], bucket[:, b] = names, total >> np.uint64(32), total % np.uint64(buckets)
+                total = band_hashes(sig)
+                e, bucket = np.zeros((len(names), BANDS), ENTRY), (total % np.uint64(buckets)).astype(np.int64)
+                e["line"], e["band"] = names[:, None], total >> np.uint64(32)
                 parts.append((bucket.reshape(-1), e.reshape(-1)))
             if parts:
                 yield B.packed(*(np.concatenate(x) for x in zip(*parts)))
@@ -370,12 +406,11 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("key"), rest.alias("rest"))
     occurrences = written(named.select("doc", "key", "text").mapInArrow(M.batches(_occurrences), "doc bigint, key bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
-    lines = occurrences.groupBy("line", "line2").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"))
-    lines = lines.join(known, ["line", "line2"], "left")
-    lines = lines.select("line", "line2", "first", "n", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2"))
-    alone = lines.groupBy("part", "part2").agg(F.min("first").alias("stays"), F.sum("n").alias("times")).filter("times > 1").select("part", "part2", "stays")
-    repeated = lines.join(alone, ["part", "part2"]).select("line", "line2", "stays")
-    gone = occurrences.join(repeated, ["line", "line2"]).filter(F.struct("doc", "key", "at") != F.col("stays")).groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
+    lines = occurrences.groupBy("line", "line2").agg(F.count("*").alias("n")).join(known, ["line", "line2"], "left").filter("n > 1 or component is not null")
+    lines = lines.select("line", "line2", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2"))
+    repeated = written(occurrences.join(lines, ["line", "line2"]).select("doc", "key", "at", "part", "part2"))
+    stays = repeated.groupBy("part", "part2").agg(F.min(F.struct("doc", "key", "at")).alias("stays"))
+    gone = repeated.join(stays, ["part", "part2"]).filter(F.struct("doc", "key", "at") != F.col("stays")).groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     each = F.split("text", "\n", -1)
     left = F.array_join(F.filter(each, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
     return named.join(gone, ["doc", "key"], "left").select(
