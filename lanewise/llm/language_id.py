@@ -9,16 +9,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
 
 #: File of the public piece vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters that are summed together; a longer word is summed in runs of so many.
+#: Words up to so many characters are summed together with others of their length, longer ones by themselves.
 LONGEST = 64
-#: Labelled documents that the probabilities are learned from: for each language about so many, and for all together.
-SAMPLE, SAMPLE_ALL = 500, 4000
+#: Labelled documents that the probabilities are learned from: for each language about so many, and
+#: for all together; and bytes of their texts.
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 500, 4000, 64 << 20
 #: Probability of a character that is no piece, and rounds of expectation maximisation.
 UNKNOWN, ROUNDS = 1e-7, 3
 #: Bytes of scored words that a task remembers.
@@ -165,20 +167,76 @@ def expected(edges: list[list[np.ndarray]], p: np.ndarray, weight: np.ndarray) -
     return uses
 
 
+def spans(code: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """For each start and length - 1 the piece of one long word's run of characters (the number of pieces if it is none)."""
+    out, h = np.full((len(code), pieces.longest), len(pieces.pieces), np.int32), np.zeros(len(code), np.uint64)
+    for size in range(1, min(pieces.longest, len(code)) + 1):
+        h = pieces.extend(h[: len(code) - size + 1], code[size - 1 :])
+        out[: len(h), size - 1] = pieces.find(h)
+    return out
+
+
+def _long_sums(found: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log sums over the segmentations of a long word's first 0, 1, 2 ... characters (rows) in each language."""
+    n, longest = found.shape
+    logs = np.full((n + longest, p.shape[1]), -np.inf)  # the sum up to character e is at e + longest - 1
+    logs[longest - 1] = 0
+    sizes = np.arange(longest)
+    for a in range(0, n, 4096):
+        ends = np.arange(a, min(n, a + 4096))
+        starts = ends[:, None] - sizes
+        piece = np.where(starts >= 0, found[np.maximum(starts, 0), sizes], len(p) - 1)
+        q = p[piece]
+        q[:, 0][piece[:, 0] == len(p) - 1] = UNKNOWN
+        for row, e in zip(q, ends.tolist()):
+            before = logs[e : e + longest][::-1]
+            top = before.max(axis=0)
+            logs[e + longest] = top + np.log(np.maximum((np.exp(before - top) * row).sum(axis=0), 1e-300))
+    return logs[longest - 1 :]
+
+
+def long_forward(code: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The same as forward, for one long word."""
+    return _long_sums(spans(code, pieces), p)[-1]
+
+
+def long_expected(code: np.ndarray, pieces: Pieces, p: np.ndarray, weight: float) -> np.ndarray:
+    """The same as expected, for one long word."""
+    found, none, n = spans(code, pieces), len(p) - 1, len(code)
+    ahead = _long_sums(found, p[:, None])[:, 0]
+    turned = np.full_like(found, none)
+    for size in range(1, min(found.shape[1], n) + 1):
+        turned[: n - size + 1, size - 1] = found[: n - size + 1, size - 1][::-1]
+    back = _long_sums(turned, p[:, None])[::-1, 0]
+    uses = np.zeros(len(p))
+    for size in range(1, min(found.shape[1], n) + 1):
+        piece = found[: n - size + 1, size - 1]
+        uses += np.bincount(piece, weights=weight * p[piece] * np.exp(ahead[: n - size + 1] + back[size:] - ahead[-1]), minlength=len(p))
+    uses[none] = 0
+    return uses
+
+
+def codes_of(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
 def learn(counts: pd.DataFrame, languages: list[str], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Probabilities of the pieces in each language (columns), by expectation maximisation over
     words and how often each occurs; a last row of zeros."""
     size = len(pieces.pieces)
     out = np.zeros((size + 1, len(languages)))
     for k, language in enumerate(languages):
-        mine = counts[(counts.lang == language) & (counts.word.str.len() <= 24)]
-        weight = mine.n.to_numpy(dtype=float)
-        lattices = [(places, lattice(codes, pieces)) for places, codes in by_length(mine.word.tolist())]
+        mine = counts[counts.lang == language]
+        usual, long = (mine[some] for some in (mine.word.str.len() <= LONGEST, mine.word.str.len() > LONGEST))
+        weight = usual.n.to_numpy(dtype=float)
+        lattices = [(places, lattice(codes, pieces)) for places, codes in by_length(usual.word.tolist())]
         p = np.append(np.full(size, 1.0 / size), 0)
         for _ in range(rounds):
             uses = np.zeros(size + 1)
             for places, edges in lattices:
                 uses += expected(edges, p, weight[places])
+            for word, n in zip(long.word, long.n):
+                uses += long_expected(codes_of(word), pieces, p, float(n))
             uses[:size] += 0.02
             p = uses / uses.sum()
             p[size] = 0
@@ -186,10 +244,9 @@ def learn(counts: pd.DataFrame, languages: list[str], pieces: Pieces, rounds: in
     return out
 
 
-def pieces_of(word: bytes) -> list[str]:
-    """A word as the model sees it: lower case with a mark ahead, in runs of LONGEST characters."""
-    text = MARK + word.decode("utf-8", "replace").lower()
-    return [text[i : i + LONGEST] for i in range(0, len(text), LONGEST)]
+def marked(word: bytes) -> str:
+    """A word as the model sees it: lower case with a mark ahead."""
+    return MARK + word.decode("utf-8", "replace").lower()
 
 
 class Scorer:
@@ -212,14 +269,13 @@ class Scorer:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             raw = block.buf.tobytes()
-            runs, owner = [], []
-            for i, a, b in zip(fresh.tolist(), block.start[first[fresh]].tolist(), block.end[first[fresh]].tolist()):
-                for run in pieces_of(raw[a:b]):
-                    runs.append(run)
-                    owner.append(i)
-            owner = np.array(owner)
-            for places, codes in by_length(runs):
-                np.add.at(scores, owner[places], forward(lattice(codes, self.pieces), self.p, len(codes)))
+            found = [marked(raw[a:b]) for a, b in zip(block.start[first[fresh]].tolist(), block.end[first[fresh]].tolist())]
+            usual = [i for i, w in enumerate(found) if len(w) <= LONGEST]
+            for places, codes in by_length([found[i] for i in usual]):
+                scores[fresh[np.array(usual)[places]]] = forward(lattice(codes, self.pieces), self.p, len(codes))
+            for i, w in enumerate(found):
+                if len(w) > LONGEST:
+                    scores[fresh[i]] = long_forward(codes_of(w), self.pieces, self.p)
             names_all = np.concatenate([self.names, names[fresh]]) if len(self.names) + len(fresh) <= self.most else names
             scores_all = np.concatenate([self.scores, scores[fresh]]) if len(self.names) + len(fresh) <= self.most else scores
             order = np.argsort(names_all)
@@ -256,8 +312,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for word in (text or "").encode("utf-8", "replace").split():
-                for run in pieces_of(word):
-                    counts[language, run] = counts.get((language, run), 0) + 1
+                key = language, marked(word)
+                counts[key] = counts.get(key, 0) + 1
         yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
@@ -265,10 +321,11 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, columns: tuple[str, str, str] = ("doc_id", "text", "lang")) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: str | list[str] = VOCABULARY, sample: int = SAMPLE, columns: tuple[str, str, str] = ("doc_id", "text", "lang")) -> DataFrame:
     """For each row of docs: doc_id, held_out, lang_pred, score (probability of that language).
 
-    Each language has its own probabilities of the pieces of a fixed public vocabulary. A word,
+    Each language has its own probabilities of the pieces of a fixed public vocabulary (the path of
+    its file, or its pieces). A word,
     in lower case, has in each language the sum over all its segmentations into pieces, by the
     forward algorithm; a text has the product over its words (parted by ASCII white space).
 
@@ -285,13 +342,16 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
     labelled = rows.filter("not held_out and lang is not null and text is not null")
     shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(shares)
-    pieces = load_pieces(vocabulary)
+    pieces = load_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary
     p, prior = np.zeros((len(pieces) + 1, len(languages))), np.zeros(len(languages))
     if languages:
         each = max(20, min(sample, SAMPLE_ALL // len(languages)))
         place = F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 30)) / float(1 << 30)
         share = F.create_map(*[F.lit(x) for k in languages for x in (k, each / shares[k])])[F.col("lang")]
-        chosen = labelled.filter(place < share).select("lang", "text")
+        by_place = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))
+        chosen = labelled.withColumn("place", place).filter(F.col("place") < share)
+        chosen = chosen.withColumn("earlier", F.sum(F.octet_length("text")).over(by_place) - F.octet_length("text"))
+        chosen = chosen.filter(F.col("earlier") < SAMPLE_BYTES // len(languages)).select("lang", "text")
         counts = chosen.mapInArrow(M.batches(_word_counts), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
         p = learn(counts, languages, Pieces(pieces))
         prior = np.log(np.array([shares[k] for k in languages]) / sum(shares.values()))

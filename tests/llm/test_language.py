@@ -86,3 +86,68 @@ def test_odd_rows(spark, docs_of, sample):
     assert all(of[d].lang_pred == "und" and of[d].score == 0 for d in (1000, 1001, 1002)) and of[1003].lang_pred != "und" and of[None].lang_pred == "en"
     assert L.identify(docs_of([])).collect() == []
     assert [r.lang_pred for r in L.identify(docs_of([(1, "the house", None, None)])).collect()] == ["und"]
+
+
+def test_long_words_are_summed_whole():
+    """Words beyond LONGEST have the same sums, and the same expected uses, as short ones by theirs."""
+    r = random.Random(5)
+    pieces = ["a", "b", "ab", "ba", "aab", "bbab"]
+    table, q = L.Pieces(pieces), np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    p = L.probabilities_with_none(q)
+    for n in (1, 3, 7, 60, 200):
+        word = "".join(r.choice("abc") for _ in range(n))
+        code = L.codes_of(word)
+        want = L.forward(L.lattice(code[None], table), p, 1)[0]
+        assert np.allclose(L.long_forward(code, table, p), want, rtol=1e-9)
+        if n == 60:
+            assert np.allclose(L.long_expected(code, table, p[:, 0], 3.0), L.expected(L.lattice(code[None], table), p[:, 0], np.array([3.0])))
+    assert L.long_forward(L.codes_of("ab" * 20_000), table, p).shape == (2,)
+
+
+def brute_model(docs, pieces, rounds):
+    """Expectation maximisation by listing every segmentation of every word."""
+
+    def ways(word, p):
+        if not word:
+            return [(1.0, [])]
+        out = []
+        for size in range(1, len(word) + 1):
+            piece = word[:size]
+            v = p.get(piece, L.UNKNOWN if size == 1 else 0.0)
+            out += [(v * w, [piece, *rest]) for w, rest in ways(word[size:], p)] if v else []
+        return out
+
+    learned = [(t, lang) for d, t, lang, _ in docs if lang is not None and t is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    model = {}
+    for lang in sorted({x for _, x in learned}):
+        words = [L.MARK + w.lower() for t, x in learned if x == lang for w in t.split()]
+        p = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(rounds):
+            uses = dict.fromkeys(pieces, 0.02)
+            for w in words:
+                every = ways(w, p)
+                for v, cut in every:
+                    for piece in cut:
+                        if piece in uses:
+                            uses[piece] += v / sum(x for x, _ in every)
+            p = {k: v / sum(uses.values()) for k, v in uses.items()}
+        model[lang] = p, len([1 for _, x in learned if x == lang]) / len(learned)
+    return {lang: (lambda t, p=p, share=share: math.log(share) + sum(math.log(sum(v for v, _ in ways(L.MARK + w.lower(), p))) for w in t.split())) for lang, (p, share) in model.items()}
+
+
+def test_prediction_against_brute_force(spark, docs_of):
+    """A whole prediction: training by fold, shares, sums over segmentations, and scores."""
+    r = random.Random(2)
+    pieces = ["▁", "a", "b", "c", "▁a", "ab", "bc", "ca", "abc", "▁ba"]
+    letters = {"x": "aab", "y": "bbc", "z": "cca"}
+    docs = []
+    for i in range(60):
+        lang = r.choice("xyyz")
+        docs.append((i, " ".join("".join(r.choice(letters[lang] + "abcd"[: r.randint(0, 4)]) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 4))), lang, "s"))
+    logs = brute_model(docs, pieces, L.ROUNDS)
+    got = {x.doc_id: x for x in L.identify(docs_of(docs), vocabulary=pieces).collect()}
+    for d, text, *_ in docs:
+        each = {lang: f(text) for lang, f in logs.items()}
+        best = max(each, key=each.get)
+        assert got[d].lang_pred == best
+        assert got[d].score == pytest.approx(1 / sum(math.exp(v - each[best]) for v in each.values()), rel=1e-6)
