@@ -23,7 +23,7 @@ BUCKET_BYTES, SMALL_TILE = 16 << 20, 16
 #: Entries that a part of a common shingle's tile holds on average, and sets of a tile that one task compares with so many others.
 PART, BLOCK, BLOCK_SHINGLES = 1 << 18, 4096, 1 << 22
 #: Places for each shingle, at least, of the signatures that such a task compares.
-WIDE = 8
+WIDE = 2
 #: Pairs that a task looks at in one step.
 STEP = 1 << 18
 #: Bits of the map that documents are sieved with before their texts move; a fixed size.

@@ -101,7 +101,7 @@ def test_components(spark, monkeypatch, one_task):
     assert components_module.ONE_TASK > 0
 
 
-@pytest.mark.parametrize("wide", [1, 8])
+@pytest.mark.parametrize("wide", [1, 2])
 def test_group_at_the_threshold(spark, docs_of, monkeypatch, wide):
     """Very many pairs just below the threshold, over parts and blocks of tiles; with narrow
     signatures some are tried in vain, and more rounds follow."""
