@@ -26,7 +26,7 @@ from lanewise.plans.kernel_grammar import Statement, parse_kernel
 from lanewise.plans.typed import CASTS, Typed, Typer, Udf, convert
 from lanewise.sources.checkpoint import cut
 
-WHILE_LIMIT = "ME_DSL_WHILE_MAX_ITERS"
+WHILE_LIMIT = "LANEWISE_WHILE_LIMIT"
 MAX_DIMS = 8
 #: Loops of constant trip counts are unrolled up to so many statements in all.
 UNROLLED = 48
@@ -255,7 +255,7 @@ class Kernel:
                 for t in inner.all_trees():
                     if any(n.op == "reduce" and any(m.op == "var" and m.value in changing for m in n.walk()) for n in t.walk()):
                         return True
-        return any(s.kind == "print" for s in self.every())
+        return any(inner.kind == "print" for s in loops for inner in s.walk())
 
     def symbol_columns(self, df: DataFrame, index: Column | str | None, nd=None) -> dict[str, Column]:
         """Columns of the index symbols that the kernel uses."""
@@ -290,13 +290,14 @@ class Kernel:
 
         Kernels without loops, or with a few constant trips, become Columns. Other loops run as a
         NumPy interpreter over Arrow batches, which sees only the kernel's inputs. Loops whose
-        conditions reduce changing values over all rows are stepped from the driver.
+        conditions reduce changing values over all rows, or which print, are stepped from the driver.
+        A row with a null in any parameter has a null result, however the kernel is run.
         """
         missing = set(self.names) - set(df.columns)
         if missing:
             raise BindingError(f"no column {sorted(missing)[0]!r}")
         symbols = self.symbol_columns(df, index, nd)
-        if self.driven or self.unrolled(self.steps) <= UNROLLED:
+        if self.driven or self.unrolled(self.steps) <= UNROLLED or any(s.kind == "print" for s in self.every()):
             out = Lanes(self, df, symbols, index, nd).run(name)
         else:
             out = self.interpreted(df, name, symbols, index, nd)
@@ -493,6 +494,7 @@ class Lanes:
         fresh = {self.label(): (n, c) for n, c in inputs.items()}
         self.df = df.select("*", *[c.alias(k) for k, (_, c) in fresh.items()])
         self.env = {n: k for k, (n, _) in fresh.items()}
+        self.inputs = list(fresh)
         self.returned: str | None = None
         self.result: str | None = None
         self.all_returned = False
@@ -547,14 +549,23 @@ class Lanes:
         out = F.col(self.result)
         if not self.kernel.own.is_text:
             out = ieee.cast(out, self.kernel.own, self.kernel.dtype)
+        known = self.known()
         if not always_returns(self.kernel.steps):
-            known = F.lit(True)
-            for n in self.kernel.names:
-                known = known & F.col(self.env[n]).isNotNull()
-            out = F.when(known & ~F.coalesce(F.col(self.returned), F.lit(False)), F.raise_error(F.lit("a lane ended without a return"))).otherwise(out)
+            lost = ~F.coalesce(F.col(self.returned), F.lit(False))
+            lost = lost if known is None else known & lost
+            out = F.when(lost, F.raise_error(F.lit("a lane ended without a return"))).otherwise(out)
+        if known is not None:
+            out = F.when(known, out)
         kept = [F.col(f"`{c}`") for c in self.before if c != name]
         return self.df.select(*kept, out.cast(D.spark_type(self.kernel.dtype)).alias(name))
 
+    def known(self) -> Column | None:
+        """The rows without a null input: like a batch of the interpreter, others have no result."""
+        out = None
+        for label in self.inputs:
+            out = F.col(label).isNotNull() if out is None else out & F.col(label).isNotNull()
+        return out
+
     def block(self, steps: list[Step], mask: Column | None) -> None:
         for s in steps:
             if self.all_returned:
@@ -574,7 +585,7 @@ class Lanes:
             else:
                 self.returned = self.named(F.coalesce(live, F.lit(False)) | (F.col(self.returned) if self.returned else F.lit(False)))
         elif s.kind == "print":
-            self.print(s)
+            self.print(s, live)
         elif s.kind == "if":
             self.branch(s, live)
         elif s.kind in ("break", "continue"):
@@ -643,14 +654,17 @@ class Lanes:
         self.loops.pop()
         self.env.pop(s.name, None)
 
-    def print(self, s: Step) -> None:
-        """Prints from the driver; what is printed must be one value for all rows."""
-        if not s.trees:
-            print(s.text.replace("{{", "{").replace("}}", "}"))
-            return
+    def print(self, s: Step, live: Column | None) -> None:
+        """Prints from the driver, if any row without nulls is here; what is printed must be one value
+        for these rows."""
+        known = self.known()
+        here = live if known is None else known if live is None else known & live
+        rows = self.df if here is None else self.df.filter(here)
         columns = [self.lower(t) for t in s.trees]
-        row = self.df.agg(*[F.min_by(c, F.lit(0)) for c in columns], *[F.count_distinct(c) for c in columns]).first()
+        row = rows.agg(F.count("*"), *[F.any_value(c) for c in columns], *[F.count_distinct(c) for c in columns]).first()
         n = len(columns)
-        if any(x > 1 for x in row[n:]):
+        if not row[0]:
+            return
+        if any(x > 1 for x in row[1 + n :]):
             raise EvaluationError(f"line {s.line}: print of a value that differs between rows")
-        print(s.text.format(*row[:n]))
+        print(s.text.format(*row[1 : 1 + n]))

@@ -23,12 +23,17 @@ _SIMPLE: dict[str, Callable[[Column], Column]] = {
     "ln": ieee.ln, "log10": ieee.log10, "log2": ieee.log2, "log1p": ieee.log1p,
     "exp2": lambda x: F.pow(F.lit(2.0), x), "exp10": lambda x: F.pow(F.lit(10.0), x),
     "sinpi": lambda x: F.sin(F.lit(math.pi) * x), "cospi": lambda x: F.cos(F.lit(math.pi) * x),
+    "erf": special.erf_column, "erfc": special.erfc_column, "fac": special.factorial_column,
     "ceil": ieee.ceil, "floor": ieee.floor, "rint": F.rint, "round": ieee.half_away, "trunc": ieee.trunc, "sign": ieee.sign, "abs": F.abs,
 }
 
 
-def _java(name: str, a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), F.reflect(F.lit("java.lang.Math"), F.lit(name), a, b).cast("double"))
+def _java(name: str, *x: Column, kind: str = "double") -> Column:
+    """A method of Java's Math; of floats, its overload for floats."""
+    whole = x[0].isNotNull()
+    for a in x[1:]:
+        whole = whole & a.isNotNull()
+    return F.when(whole, F.reflect(F.lit("java.lang.Math"), F.lit(name), *x).cast(kind))
 
 
 def _logaddexp(a: Column, b: Column) -> Column:
@@ -43,13 +48,9 @@ def _ldexp(x: Column, e: Column) -> Column:
     return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), e - half)
 
 
-def _npr(n: Column, r: Column) -> Column:
-    return special.call("ncr", n, r) * special.call("fac", r)
-
-
 _DOUBLE: dict[str, Callable[[Column, Column], Column]] = {
     "atan2": F.atan2, "copysign": ieee.copysign, "fdim": ieee.fdim, "fmax": ieee.fmax, "fmin": ieee.fmin, "hypot": F.hypot, "ldexp": _ldexp,
-    "logaddexp": _logaddexp, "ncr": lambda n, r: special.call("ncr", n, r), "npr": _npr, "pow": F.pow,
+    "logaddexp": _logaddexp, "pow": F.pow, "npr": lambda n, r: special.call("ncr", n, r) * special.factorial_column(r),
     "nextafter": lambda a, b: _java("nextAfter", a, b), "remainder": lambda a, b: _java("IEEEremainder", a, b),
 }
 
@@ -111,7 +112,7 @@ class Lowering:
         return self.operation(n, args, types)
 
     def in_python(self, n: Typed) -> bool:
-        return n.op in special.SCALAR or n.op in ("npr", "udf")
+        return n.op in ("lgamma", "tgamma", "ncr", "npr", "udf")
 
     def operation(self, n: Typed, args: list[Column], types: list[DType]) -> Column:
         t = n.dtype
@@ -155,6 +156,10 @@ class Lowering:
                 return whole
         if t == D.FLOAT32 and op in ("add", "sub", "mul"):
             return args[0] + args[1] if op == "add" else args[0] - args[1] if op == "sub" else args[0] * args[1]
+        if t == D.FLOAT32 and op == "nextafter":
+            return _java("nextAfter", args[0], args[1].cast("double"), kind="float")
+        if t == D.FLOAT32 and op == "fma":
+            return _java("fma", *args, kind="float")
         x = [ieee.cast(a, t, D.FLOAT64) for a in args]
         return ieee.cast(self.real(op, x, divisor), D.FLOAT64, t)
 
@@ -188,8 +193,7 @@ class Lowering:
         if op in ("mod", "fmod"):
             return ieee.fmod(*x, divisor)
         if op == "fma":
-            null = x[0].isNull() | x[1].isNull() | x[2].isNull()
-            return F.when(~null, F.reflect(F.lit("java.lang.Math"), F.lit("fma"), *x).cast("double"))
+            return _java("fma", *x)
         if op in _SIMPLE:
             return _SIMPLE[op](x[0])
         if op in _DOUBLE:

@@ -33,32 +33,21 @@ def identity(name: str, t: DType) -> object:
 _FIVES = [pow(5, -(1 << j), 1 << 64) for j in range(62)]
 
 
-def _power_of_five(x: pd.Series) -> pd.Series:
-    """k with odd part = +-(5 ** k) modulo 2 ** 64; one bit of k after the other."""
-    u = _odd(x)[0]
-    u = np.where(u & np.uint64(3) == 3, -u, u)
-    k = np.zeros(len(u), np.int64)
-    for j, inverse in enumerate(_FIVES):
-        set_ = (u >> np.uint64(j + 2)) & np.uint64(1) == 1
-        k[set_] |= 1 << j
-        u = np.where(set_, u * np.uint64(inverse), u)
-    return pd.Series(k)
-
-
-def _odd(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """The odd part and the factors of two (64 for zero) of integers as 64 unsigned bits."""
-    u = np.array([int(v) & 0xFFFFFFFFFFFFFFFF for v in x], np.uint64)
+def _factors(x: pd.Series) -> pd.DataFrame:
+    """Of integers as 64 unsigned bits: factors of two (64 for zero), and of the odd part k and the
+    sign with +-(5 ** k) modulo 2 ** 64; one bit of k after the other."""
+    u = x.to_numpy(np.int64).view(np.uint64)
     low = np.where(u == 0, np.uint64(1), u & (~u + np.uint64(1)))
     twos = np.where(u == 0, 64, np.bitwise_count(low - np.uint64(1))).astype(np.int64)
-    return np.where(u == 0, np.uint64(1), u // low), twos
-
-
-def _twos(x: pd.Series) -> pd.Series:
-    return pd.Series(_odd(x)[1])
-
-
-def _turns(x: pd.Series) -> pd.Series:
-    return pd.Series((_odd(x)[0] & np.uint64(3) == 3).astype(np.int64))
+    u = np.where(u == 0, np.uint64(1), u // low)
+    values, inverse = np.unique(u, return_inverse=True)
+    turns = values & np.uint64(3) == 3
+    u, k = np.where(turns, ~values + np.uint64(1), values), np.zeros(len(values), np.int64)
+    for j, back in enumerate(_FIVES):
+        set_ = (u >> np.uint64(j + 2)) & np.uint64(1) == 1
+        k[set_] |= 1 << j
+        u = np.where(set_, u * np.uint64(back), u)
+    return pd.DataFrame({"k": k[inverse], "twos": twos, "turns": turns[inverse].astype(np.int64)})
 
 
 def _rebuilt(k: pd.Series, twos: pd.Series, turns: pd.Series) -> pd.Series:
@@ -74,8 +63,9 @@ def _integer_product(x: Column, t: DType, out: DType) -> Column:
     product of any number of rows is three sums, which Spark adds up partially like any others."""
     bits = ieee.as_signed(x) if t == D.UINT64 else x.cast("long")
     bits = F.coalesce(bits, F.lit(1))
-    k = F.sum(F.pandas_udf(_power_of_five, "bigint")(bits).cast("decimal(20,0)")).cast("string")
-    twos, turns = (F.sum(F.pandas_udf(f, "bigint")(bits)) for f in (_twos, _turns))
+    factors = F.pandas_udf(_factors, "k bigint, twos bigint, turns bigint")(bits)
+    k = F.sum(factors["k"].cast("decimal(20,0)")).cast("string")
+    twos, turns = F.sum(factors["twos"]), F.sum(factors["turns"])
     rebuilt = F.pandas_udf(_rebuilt, "string")(F.coalesce(k, F.lit("0")), F.coalesce(twos, F.lit(0)), F.coalesce(turns, F.lit(0)))
     return ieee.cast(rebuilt.cast("decimal(20,0)"), D.UINT64, out)
 

@@ -121,7 +121,11 @@ class Vector:
                 return a[0]
         if of.kind == "c":
             return {"div": np.divide, "pow": np.power, "sqrt": np.sqrt}[op](*a)
+        if op == "nextafter" and out == D.FLOAT32:
+            return np.nextafter(a[0], a[1])
         x = [v.astype(np.float64) for v in a]
+        if op == "fma" and out == D.FLOAT32:
+            return _fma32(*x)
         if op == "div":
             found = np.divide(*x)
         elif op == "fma":
@@ -188,6 +192,18 @@ def _fma(x: float, y: float, z: float) -> float:
         return math.copysign(math.inf, exact)
 
 
+def _fma32(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """x * y + z of floats, rounded once: the product is exact in doubles, and a sum that isn't is made
+    odd, so that rounding it again to a float goes the right way."""
+    product = x * y
+    total = product + z
+    back = total - product
+    lost = (product - (total - back)) + (z - back)
+    odd = total.view(np.int64) & 1
+    toward = np.where(lost > 0, np.inf, -np.inf)
+    return np.where(np.isfinite(total) & (lost != 0) & (odd == 0), np.nextafter(total, toward), total).astype(np.float32)
+
+
 def reduce(name: str, x: np.ndarray, t: DType) -> object:
     """A reduction of an array, with the identities of an empty one."""
     from lanewise.operators.reductions import identity

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -140,11 +141,43 @@ def test_nulls_pass_through(spark):
         assert values(df, text)[:2] == [None, None], text
 
 
+def test_floats_of_32_bits(spark):
+    """Neighbours, and sums of products rounded once, as floats have them."""
+    r = np.random.default_rng(4)
+    a, b, c = (r.normal(size=400).astype(np.float32) * np.float32(10) ** r.integers(-3, 4, 400).astype(np.float32) for _ in range(3))
+    df = frame(spark, a=a, b=b, c=c)
+    assert values(df, "nextafter(a, b)") == np.nextafter(a, b).tolist()
+    exact = [np.float32(v) for v in (rounded_once(Fraction(float(x)) * Fraction(float(y)) + Fraction(float(z))) for x, y, z in zip(a, b, c))]
+    assert values(df, "fma(a, b, c)") == [float(v) for v in exact]
+    names = {k: D.dtype("float32") for k in "abc"}
+    for text in ("nextafter(a, b)", "fma(a, b, c)", "remainder(a, b)"):
+        tree = compile(text, names).tree
+        assert Vector(400, {"a": a, "b": b, "c": c}).run(tree).tolist() == values(df, text), text
+
+
+def rounded_once(x):
+    """The float of 24 bits nearest to a fraction, ties to even."""
+    if not x:
+        return 0.0
+    scale = 0
+    while abs(x) * Fraction(2) ** scale < 1 << 23:
+        scale += 1
+    while abs(x) * Fraction(2) ** scale >= 1 << 24:
+        scale -= 1
+    return float(Fraction(round(x * Fraction(2) ** scale)) / Fraction(2) ** scale)
+
+
 def test_special_functions(spark):
     x = [-2.5, -1.0, -0.0, 0.0, 0.5, 3.0, 171.0, 172.0, INF, -INF, NAN]
     df = frame(spark, x=np.array(x))
     for name in ("erf", "erfc", "lgamma", "tgamma"):
-        assert same(values(df, f"{name}(x)"), [special.SCALAR[name](v) for v in x]), name
+        assert same(values(df, f"{name}(x)"), special.VECTOR[name](np.array(x))), name
+    assert same(special.VECTOR["tgamma"](np.array(x)), [math.gamma(-2.5), NAN, -INF, INF, math.gamma(0.5), 2.0, math.gamma(171.0), INF, INF, NAN, NAN])
+    assert same(special.VECTOR["lgamma"](np.array(x)), [math.lgamma(-2.5), INF, INF, INF, math.lgamma(0.5), math.log(2.0), math.lgamma(171.0), math.lgamma(172.0), INF, INF, NAN])
+    ramp = np.concatenate([np.linspace(-7, 7, 501), [0.46875, 4.0, 26.0, 30.0]])
+    df = frame(spark, x=ramp)
+    for name, exact in (("erf", math.erf), ("erfc", math.erfc)):
+        assert same(values(df, f"{name}(x)"), [exact(v) for v in ramp]), name
     pairs = [(5, 2, 10), (10, 3, 120), (8, 3, 56), (6, 2, 15), (7, 3, 35), (9, 4, 126), (4, 2, 6), (12, 5, 792), (15, 7, 6435), (20, 10, 184756)]
     df = frame(spark, n=np.array([float(p[0]) for p in pairs]), r=np.array([float(p[1]) for p in pairs]))
     assert values(df, "ncr(n, r)") == [float(p[2]) for p in pairs]

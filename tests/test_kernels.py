@@ -63,7 +63,7 @@ def test_reduction_of_changing_values_steps_all_rows(spark):
 def test_while_and_its_limit(spark, monkeypatch):
     text = "def k(x):\n    n = 0\n    while x > n:\n        n += 1\n    return n\n"
     assert run(spark, text, x=[3.0, 0.0, 70.0]) == [3.0, 0.0, 70.0]
-    monkeypatch.setenv("ME_DSL_WHILE_MAX_ITERS", "10")
+    monkeypatch.setenv("LANEWISE_WHILE_LIMIT", "10")
     with pytest.raises(Exception, match="iterations"):
         run(spark, text, x=[70.0])
 
@@ -121,6 +121,24 @@ def test_nulls_stay_null(spark):
         assert compile(text, df.schema).apply(df).orderBy("idx").first().result is None
 
 
+def test_nulls_whatever_the_loop(spark):
+    """A null in any parameter, read or not, gives null; unrolled or interpreted, with or without branches."""
+    df = spark.createDataFrame([(0, 1.0, None), (1, 2.0, 5.0), (2, None, 5.0)], "idx bigint, x double, y double")
+    for trips in (2, 60):
+        out = compile(f"def k(x, y):\n    n = 0.0\n    for i in range({trips}):\n        if x < 0:\n            n += y\n        n += 1\n    return n\n", df.schema).apply(df)
+        assert [r.result for r in out.orderBy("idx").collect()] == [None, trips, None]
+    out = compile("def k(x, y):\n    if x > 0:\n        return x\n    return y\n", df.schema).apply(df)
+    assert [r.result for r in out.orderBy("idx").collect()] == [None, 2.0, None]
+
+
+def test_print_in_branches(spark, capsys):
+    text = "def k(x):\n    if x > 5:\n        print('high {}', max(x))\n    else:\n        print('low')\n    y = 0.0\n    while y < x:\n        y += 1\n    return y\n"
+    run(spark, text, x=[1.0, 2.0])
+    assert capsys.readouterr().out.splitlines() == ["low"]
+    run(spark, text, x=[1.0, 7.0])
+    assert capsys.readouterr().out.splitlines() == ["high 7.0", "low"]
+
+
 @pytest.mark.parametrize(
     "text",
     [
