@@ -466,3 +466,5 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("streaming_windowed", _streamed, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(sum(value * 2 + 1) + bool_or(value * 2 + 1 > 100)::INT, 2) AS total FROM events GROUP BY 1, 2")
+
+from lanewise import catalog_language  # noqa: E402, F401  registers further queries
