@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanewise.api import Udf, agg, compile
 from lanewise.operators.nd import NdSpec, compile_nd
 from lanewise.sources.arrays import index_range, with_offsets
+from lanewise.sources.checkpoint import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,8 +177,8 @@ register(
 
 totals(
     "sum_mean_prod", "lineitem",
-    {"s": "sum(l_quantity)", "m": "mean(l_discount)", "n": "sum(l_linenumber)", "lo": "min(l_tax)", "hi": "max(l_extendedprice)", "p": "prod(l_tax * 0 + 1)", "both": "sum(l_tax) + min(l_quantity) * 2"},
-    {"s": "round(sum(l_quantity), 4)", "m": "round(avg(l_discount), 4)", "n": "sum(l_linenumber)::BIGINT", "lo": "round(min(l_tax), 4)", "hi": "round(max(l_extendedprice), 4)", "p": "1.0::DOUBLE", "both": "round(sum(l_tax) + min(l_quantity) * 2, 4)"},
+    {"s": "sum(l_quantity)", "m": "mean(l_discount)", "n": "sum(l_linenumber)", "lo": "min(l_tax)", "hi": "max(l_extendedprice)", "p": "prod(1 + l_tax * l_discount / 1000)", "both": "sum(l_tax) + min(l_quantity) * 2"},
+    {"s": "round(sum(l_quantity), 4)", "m": "round(avg(l_discount), 4)", "n": "sum(l_linenumber)::BIGINT", "lo": "round(min(l_tax), 4)", "hi": "round(max(l_extendedprice), 4)", "p": "round(product(1 + l_tax * l_discount / 1000), 4)", "both": "round(sum(l_tax) + min(l_quantity) * 2, 4)"},
 )
 totals(
     "any_all_predicate", "lineitem", {"a": "any(l_quantity > 49)", "b": "all(l_quantity > 49)", "c": "all(l_tax)", "n": "sum(l_quantity > 10)"},
@@ -438,9 +439,11 @@ register(
 
 
 def _vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector of embeddings as a block of one array."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "x"))
-    return df.groupBy("vec_id").agg(rounded(agg("sum(x * x)", df.schema, "float64"), 3).alias("norm2"), F.round(agg("max(abs(x))", df.schema), 3).cast("double").alias("top"))
+    """Expressions over the items of arrays, a row an array."""
+    square, size = compile("x * x", {"x": "float32"}), compile("abs(x)", {"x": "float32"})
+    norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + square.column({"x": x}))
+    top = F.array_max(F.transform("embedding", lambda x: size.column({"x": x})))
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(norm, 3).alias("norm2"), F.round(top, 3).cast("double").alias("top"))
 
 
 register("vector_norms", _vector_norms, "SELECT vec_id, round(sum((x * x)::FLOAT::DOUBLE), 3) AS norm2, round(max(abs(x)), 3)::DOUBLE AS top FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
@@ -450,19 +453,14 @@ register("vector_norms", _vector_norms, "SELECT vec_id, round(sum((x * x)::FLOAT
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a stream of the events table, run to its end."""
-    from lanewise.streaming import apply, windowed
+    from lanewise.streaming import apply, to_table, windowed
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = apply(stream.withColumn("ts", F.col("ts").cast("timestamp")), "value * 2 + 1", "v")
     out = windowed(stream, "sum(v) + any(v > 100)", "ts", "1 day", "30 days", keys=("event_type",), name="total")
-    name = f"streamed_{uuid.uuid4().hex}"
-    run = out.writeStream.outputMode("complete").format("memory").queryName(name).start()
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", rounded("total", 2).alias("total"))
+    found = to_table(out, f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", rounded("total", 2).alias("total"))
 
 
 register("streaming_windowed", _streamed, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(sum(value * 2 + 1) + bool_or(value * 2 + 1 > 100)::INT, 2) AS total FROM events GROUP BY 1, 2")

@@ -283,8 +283,8 @@ register(
     "complex_casts", _complex_casts,
     """WITH v AS (SELECT c_custkey, c_acctbal AS b, c_acctbal::FLOAT AS a FROM customer)
        SELECT c_custkey, b AS up_re, 0.0::DOUBLE AS up_im, a::DOUBLE AS wide_re, 2.0::DOUBLE AS wide_im, (a + a)::FLOAT::DOUBLE AS add_re, 4.0::DOUBLE AS add_im,
-       (a::DOUBLE - 1.5)::FLOAT::DOUBLE AS sub_re, 2.0::DOUBLE AS sub_im, (-a)::DOUBLE AS neg_re, 2.0::DOUBLE AS neg_im, round((a::DOUBLE * a - 4)::FLOAT::DOUBLE / 1e6, 3) AS mul_re, round((4 * a::DOUBLE)::FLOAT::DOUBLE / 1e6, 3) AS mul_im,
-       round((a::DOUBLE * a - 4) / 1e6, 3) AS sq_re, round(4 * a::DOUBLE / 1e6, 3) AS sq_im FROM v""",
+       (a::DOUBLE - 1.5)::FLOAT::DOUBLE AS sub_re, 2.0::DOUBLE AS sub_im, (-a)::DOUBLE AS neg_re, 2.0::DOUBLE AS neg_im, round((a::DOUBLE * a - 4)::FLOAT::DOUBLE / 1e6, 3) + 0.0 AS mul_re, round((4 * a::DOUBLE)::FLOAT::DOUBLE / 1e6, 3) + 0.0 AS mul_im,
+       round((a::DOUBLE * a - 4) / 1e6, 3) + 0.0 AS sq_re, round(4 * a::DOUBLE / 1e6, 3) + 0.0 AS sq_im FROM v""",
 )
 
 

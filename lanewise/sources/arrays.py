@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from lanewise import dtypes as D
 from lanewise.errors import TypeRefused
 from lanewise.operators.kernel import _to_arrow
 from lanewise.operators.nd import NdSpec
+from lanewise.sources.checkpoint import cut
 
 
 def index_range(spark: SparkSession, size: int | NdSpec, name: str = "idx", partitions: int | None = None) -> DataFrame:
@@ -55,16 +57,19 @@ def varlen(df: DataFrame, column: str, order: str) -> tuple[np.ndarray, bytes]:
     return np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64), b"".join(parts)
 
 
-def with_offsets(df: DataFrame, column: str, order: str, buckets: int = 1024) -> DataFrame:
-    """df with start and stop of each value in the concatenation of all, in the order of an integer
-    column. Running sums go by ranges of the order first, so no single task sums all rows."""
-    from pyspark.sql.window import Window
+#: Rows of a range whose running sums one task makes.
+RANGE_ROWS = 100_000
 
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumns({"start": F.lit(None).cast("long"), "stop": F.lit(None).cast("long")})
-    width = max(1, -(-(high - low + 1) // buckets))
-    sized = df.withColumns({"_n": F.coalesce(F.octet_length(column), F.lit(0)).cast("long"), "_b": F.call_function("div", F.col(order) - low, F.lit(width))})
+
+def with_offsets(df: DataFrame, column: str, order: str) -> DataFrame:
+    """df with start and stop of each value in the concatenation of all, in the order of a column.
+
+    Rows go into ranges of that order by sampled cut points, about RANGE_ROWS to a range however
+    many there are; running sums go by ranges first, so no single task sums all rows. Rows of equal
+    order stand in any order."""
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS)
+    sized = df.withColumn("_n", F.coalesce(F.octet_length(column), F.lit(0)).cast("long"))
+    sized = cut(sized.repartitionByRange(ranges, order).withColumn("_b", F.spark_partition_id()))
     whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(whole), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,22 +1,29 @@
-"""Cutting the lineage of an iterated plan in the cluster's shared folder."""
+"""The cluster's shared folder, and cutting the lineage of an iterated plan there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder named by ``spark.checkpoint.dir`` (a temporary one only where that is
-    unset and the session is local), without its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of this machine only where that is unset and
+    the session's executors are threads of this process."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, without its lineage."""
+    context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lanewise-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

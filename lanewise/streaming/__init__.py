@@ -25,3 +25,15 @@ def windowed(stream: DataFrame, text: str, time: str, length: str, late: str, sl
     value = agg(text, stream.schema)
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return stream.withWatermark(time, late).groupBy(window.alias("window"), *keys).agg(value.alias(name))
+
+
+def to_table(result: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of windows over all that its source holds now; the windows as a table in a folder
+    that all executors share."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows")
+
+    run = result.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(save).start()
+    run.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/windows")
