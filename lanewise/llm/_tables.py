@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +56,25 @@ def written(df: DataFrame) -> DataFrame:
 SMALL_ROWS = 100_000
 
 
+_BLOCK = 1 << 13
+
+
+def _block_map(table: pa.Table) -> pa.Table:
+    bits = np.zeros(_BLOCK, bool)
+    bits[table["place"].to_numpy()] = True
+    return pa.table([table["block"].slice(0, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def bit_map(slots: Column, df: DataFrame, size: int) -> np.ndarray:
+    """A bit map of a fixed size with the slots of df's rows set. Blocks of it are made by the
+    executors, so the driver gets size / 8 bytes at most however many rows there are."""
+    places = df.select(F.shiftright(slots, 13).alias("block"), slots.bitwiseAND(_BLOCK - 1).alias("place")).distinct()
+    out = np.zeros(max(size, _BLOCK) // 8, np.uint8)
+    for row in places.groupBy("block").applyInArrow(_block_map, "block bigint, bits binary").collect():
+        out[row.block * _BLOCK // 8 : (row.block + 1) * _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out).view(bool)
+
+
 def in_ranges(df: DataFrame, parts: int, order: list[str], name: str) -> DataFrame:
     """df in ``parts`` ranges of ``order`` by sampled cut points, at least as many as shuffles have
     partitions, written with the range's number in the column ``name``."""

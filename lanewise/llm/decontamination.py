@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import bit_map, cut
 
 #: Words of a shared span that is surely found, and words of a fingerprint.
 SPAN, GRAM = 8, 5
@@ -119,9 +119,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
     kind = schema.schema["item_id"].dataType.simpleString()
     prints = schema.mapInArrow(M.batches(_item_prints(span, gram)), f"item_id {kind}, family int, print bigint, around binary").distinct()
     prints = cut(prints)
-    sieve = np.zeros(SIEVE_BITS, bool)
-    for row in prints.select(F.expr(f"print & {SIEVE_BITS - 1}").alias("bit")).distinct().toLocalIterator():
-        sieve[row.bit] = True
+    sieve = bit_map(F.col("print").bitwiseAND(SIEVE_BITS - 1), prints, SIEVE_BITS)
     short = sorted(r.family for r in prints.select("family").distinct().collect() if r.family < span)
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import bit_map, cut
 from lanewise.llm.components import components
 
 #: Slots in which shingles are counted; of those found common, so many at most are known by rank.
@@ -428,9 +428,7 @@ def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of documents of these ids, and of few others."""
     slot = F.xxhash64("doc_id").bitwiseAND(SIEVE_BITS - 1)
-    bits = np.zeros(SIEVE_BITS, bool)
-    for row in ids.select(slot.alias("slot")).distinct().toLocalIterator():
-        bits[row.slot] = True
+    bits = bit_map(slot, ids, SIEVE_BITS)
     return docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), "doc_id bigint, text string")
 
 
@@ -463,14 +461,12 @@ def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFram
     and not with its pairs. What links joins components; a tile is looked at again only where a pair
     did not link and others were left, then with 16 times as many forests.
     """
-    links = _links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)
-    known = cut(components(links))
+    known = cut(components(_links(docs, close.groupBy("x").agg(F.min("y").alias("y")), shape)))
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     both = close.join(of("x"), "x", "left").join(of("y"), "y", "left")
     more = cut(both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y"))
     if more.take(1):
-        links = links.union(_links(docs, more, shape))
-        known = cut(components(links))
+        known = cut(components(known.union(_links(docs, more, shape))))
 
     named = sets.filter("doc_id is not null").join(known, F.col("doc_id") == F.col("node"), "left")
     named = named.groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
@@ -495,8 +491,7 @@ def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFram
         rest = cut(labelled.groupBy(*key).cogroup(refuted.groupBy(*key)).applyInArrow(M.cogroup(_rest(shape, forests)), schema))
         found = _links(docs, rest.select("x", "y").distinct(), shape)
         failed = cut(rest.join(found, ["x", "y"], "left_anti"))
-        links = links.union(found)
-        known = cut(components(links))
+        known = cut(components(known.union(found)))
         again = failed.filter("more").select(*key).distinct().toDF(*key)
         if not failed.filter("more").take(1):
             return known

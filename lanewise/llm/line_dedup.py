@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut, written
+from lanewise.llm._tables import bit_map, cut, written
 from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
@@ -333,10 +333,8 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
     found = written(docs.select("text").mapInArrow(M.batches(_bands(size, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_meet(SMALL_BAND)), "a bigint, b bigint, band bigint"))
     pairs = written(found.filter("band is null").select("a", "b").distinct())
-    bits = np.zeros(SIEVE_BITS, bool)
     met = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(found.filter("band is not null").select("a"))
-    for row in met.select(F.col("line").bitwiseAND(SIEVE_BITS - 1).alias("bit")).distinct().toLocalIterator():
-        bits[row.bit] = True
+    bits = bit_map(F.col("line").bitwiseAND(SIEVE_BITS - 1), met, SIEVE_BITS)
     texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string").groupBy("line", "line2").agg(F.min("text").alias("text"))
     earlier = F.row_number().over(Window.partitionBy("line").orderBy("line2")) > 1
     texts = written(texts.withColumn("id", F.when(earlier, F.xxhash64("line", "line2")).otherwise(F.col("line"))))
@@ -356,11 +354,9 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
         both = pairs.join(every.toDF("a", "p"), "a", "left").join(every.toDF("b", "q"), "b", "left")
         pairs = both.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).union(twins)
         found = found.join(every.toDF("a", "p"), "a", "left").select(F.coalesce("p", "a").alias("a"), "b", "band")
-    links = verified(pairs.groupBy("a").agg(F.min("b").alias("b")))
-    known = cut(components(links))
+    known = cut(components(verified(pairs.groupBy("a").agg(F.min("b").alias("b")))))
     apart = parts_of(parts_of(pairs, known, "a"), known, "b").filter("a_in <> b_in").select("a", "b")
-    links = links.union(verified(apart))
-    known = cut(components(links))
+    known = cut(components(known.union(verified(apart))))
     members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
     several = members.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
     # similar lines often share several bands: of bands with the same lines one is enough
@@ -373,7 +369,7 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
         dealt = dealt.select("band", "line", "label", "text", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
         settled = written(dealt.groupBy("band", "lo", "hi").applyInArrow(M.group(_settle(size, percent)), "a bigint, b bigint"))
         if settled.take(1):
-            known = cut(components(links.union(settled)))
+            known = cut(components(known.union(settled)))
     named = known.union(known.select("component", "component").distinct())
     return named.join(texts.select("id", "line", "line2"), F.col("node") == F.col("id")).select("line", "line2", "component")
 
