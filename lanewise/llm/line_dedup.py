@@ -403,9 +403,10 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     occurrences = written(named.select("doc", "key", "text").mapInArrow(M.batches(_occurrences), "doc bigint, key bigint, at bigint, line bigint, line2 bigint"))
     known = similar_lines(named, size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.count("*").alias("n")).join(known, ["line", "line2"], "left").filter("n > 1 or component is not null")
-    lines = lines.select("line", "line2", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2"))
+    # tables in between, as Spark splits a task of many equal keys only where both sides of a join come straight from shuffles
+    lines = written(lines.select("line", "line2", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2")))
     repeated = written(occurrences.join(lines, ["line", "line2"]).select("doc", "key", "at", "part", "part2"))
-    stays = repeated.groupBy("part", "part2").agg(F.min(F.struct("doc", "key", "at")).alias("stays"))
+    stays = written(repeated.groupBy("part", "part2").agg(F.min(F.struct("doc", "key", "at")).alias("stays")))
     gone = repeated.join(stays, ["part", "part2"]).filter(F.struct("doc", "key", "at") != F.col("stays")).groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     each = F.split("text", "\n", -1)
     left = F.array_join(F.filter(each, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
