@@ -19,7 +19,7 @@ GROUP_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 
 PATH = np.dtype([("anchor", "<u8"), ("path", "<u8"), ("doc", "<i8"), ("group", "<u4")])
 EDGE = np.dtype([("edge", "<u8"), ("check", "<u4"), ("group", "<u4"), ("doc", "<i8")])
-ANSWER = np.dtype([("key", "<u8"), ("kind", "u1")])
+ANSWER = np.dtype([("key", "<u8"), ("key2", "<u8"), ("kind", "u1")])
 #: Kinds of answers to a group: an earlier document has the path; the path's anchor branches; an earlier document has the edge.
 EARLIER, BRANCH, EDGE_EARLIER = 1, 2, 3
 
@@ -43,10 +43,7 @@ class Paths:
     first: np.ndarray  # its first edge (the word that it starts with)
     count: np.ndarray  # of its edges
     anchor: np.ndarray
-    path: np.ndarray  # hash of all its words
-
-    def key(self) -> np.ndarray:
-        return self.path ^ (self.anchor * W._GRAM)
+    path: np.ndarray  # hash of all its words; with the anchor's, 128 bits tell paths apart
 
 
 def paths_of(block: W.Block, shape: Shape) -> Paths:
@@ -91,29 +88,57 @@ class Group:
         column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
         self.blocks = list(W.blocks(column, W.SPACED))
         self.paths = [paths_of(b, shape) for b in self.blocks]
-        self.key = np.concatenate([p.key() for p in self.paths] or [np.zeros(0, np.uint64)])
+        none = [np.zeros(0, np.uint64)]
+        self.key, self.key2 = (np.concatenate(x or none) for x in ([p.anchor for p in self.paths], [p.path for p in self.paths]))
         self.row = np.concatenate([b.first + p.text for b, p in zip(self.blocks, self.paths)] or [np.zeros(0, np.int64)])
         self.doc, self.named = self.docs[self.row], self.known[self.row]
-        self.least = least(self.key, self.doc, self.named)
+        self.least = least(self.key, self.key2, self.doc, self.named)
 
     def split(self, flags: np.ndarray) -> list[np.ndarray]:
         return np.split(flags, np.cumsum([len(p.first) for p in self.paths])[:-1]) if self.paths else []
 
-    def edges(self, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(block, path's place in the group, word, hash) of all edges of the chosen paths."""
+    def answered(self, answers: np.ndarray, kind: int) -> np.ndarray:
+        """Which paths have an answer of this kind."""
+        some = answers[answers["kind"] == kind]
+        return among(self.key, self.key2, some["key"], some["key2"])
+
+    def edges(self, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, path's place in the group, word, hash, another of 32 bits) of all edges of the chosen paths."""
         done = 0
         for i, (block, paths) in enumerate(zip(self.blocks, self.paths)):
             mine = np.flatnonzero(chosen[done : done + len(paths.first)])
             word = B.spans_of(paths.first[mine], paths.count[mine])
-            yield i, done + np.repeat(mine, paths.count[mine]), word, W.gram_hashes(block.hashes, self.shape.k)[word] if len(word) else word.view(np.uint64)
+            first, second = (W.gram_hashes(block.hashes, self.shape.k, seed)[word] if len(word) else word.view(np.uint64) for seed in (0, 1))
+            yield i, done + np.repeat(mine, paths.count[mine]), word, first, second >> np.uint64(32)
             done += len(paths.first)
 
 
-def least(key: np.ndarray, doc: np.ndarray, named: np.ndarray) -> np.ndarray:
-    """For each record the least doc of the named records with its key."""
+def numbered(key: np.ndarray, key2: np.ndarray) -> np.ndarray:
+    """A number for each record, the same for equal pairs of keys."""
+    order = np.lexsort((key2, key))
+    a, b = key[order], key2[order]
+    fresh = np.ones(len(a), np.int64)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(fresh) - 1
+    return out
+
+
+def among(key: np.ndarray, key2: np.ndarray, some: np.ndarray, some2: np.ndarray) -> np.ndarray:
+    """Which pairs of keys are among some others."""
+    maybe = np.flatnonzero(np.isin(key, some))
+    out = np.zeros(len(key), bool)
+    if len(maybe):
+        index = numbered(np.concatenate([key[maybe], some]), np.concatenate([key2[maybe], some2]))
+        out[maybe] = np.isin(index[: len(maybe)], index[len(maybe) :])
+    return out
+
+
+def least(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """For each record the least doc of the named records with its keys."""
     if not len(key):
         return doc
-    _, index = np.unique(key, return_inverse=True)
+    index = numbered(key, key2)
     lowest = np.full(index.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, index[named], doc[named])
     return lowest[index]
@@ -122,55 +147,50 @@ def least(key: np.ndarray, doc: np.ndarray, named: np.ndarray) -> np.ndarray:
 def _emit_paths(shape: Shape, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         group = Group(table, shape)
-        anchor = np.concatenate([p.anchor for p in group.paths] or [group.key])
-        path = np.concatenate([p.path for p in group.paths] or [group.key])
         mine = np.flatnonzero(group.named)
-        _, first = np.unique(group.key[mine], return_index=True)
+        _, first = np.unique(numbered(group.key[mine], group.key2[mine]), return_index=True)
         mine = mine[first]
         records = np.zeros(len(mine), PATH)
-        records["anchor"], records["path"], records["doc"], records["group"] = anchor[mine], path[mine], group.least[mine], group.group
+        records["anchor"], records["path"], records["doc"], records["group"] = group.key[mine], group.key2[mine], group.least[mine], group.group
         return pa.Table.from_batches([B.packed((W.mix64(records["anchor"]) % np.uint64(buckets)).astype(np.int64), records)])
 
     return run
 
 
-def _answers(groups: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.Table:
+def _answers(groups: np.ndarray, key: np.ndarray, key2: np.ndarray, kind: np.ndarray) -> pa.Table:
     out = np.zeros(len(key), ANSWER)
-    out["key"], out["kind"] = key, kind
+    out["key"], out["key2"], out["kind"] = key, key2, kind
     return pa.Table.from_batches([B.packed(groups.astype(np.int64), out)])
 
 
 def _resolve_paths(table: pa.Table) -> pa.Table:
     r = np.sort(B.unpacked(table["part"], PATH), order=["anchor", "path", "doc"])
     if not len(r):
-        return _answers(r["group"], r["anchor"], r["group"])
+        return _answers(r["group"], r["anchor"], r["path"], r["group"])
     new_anchor = np.concatenate([[True], r["anchor"][1:] != r["anchor"][:-1]])
     new_path = new_anchor | np.concatenate([[True], r["path"][1:] != r["path"][:-1]])
     least_doc = r["doc"][np.flatnonzero(new_path)][np.cumsum(new_path) - 1]
     anchor_no = np.cumsum(new_anchor) - 1
     branches = (np.bincount(anchor_no, weights=new_path) > 1)[anchor_no]
-    key = r["path"] ^ (r["anchor"] * W._GRAM)
     later, branching = r["doc"] > least_doc, branches & (r["doc"] == least_doc)
-    return _answers(
-        np.concatenate([r["group"][later], r["group"][branching]]), np.concatenate([key[later], key[branching]]), np.concatenate([np.full(later.sum(), EARLIER), np.full(branching.sum(), BRANCH)])
-    )
+    both = lambda c: np.concatenate([r[c][later], r[c][branching]])
+    return _answers(both("group"), both("anchor"), both("path"), np.concatenate([np.full(later.sum(), EARLIER), np.full(branching.sum(), BRANCH)]))
 
 
 def _emit_edges(shape: Shape, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         group = Group(docs, shape)
         a = B.unpacked(answers["part"], ANSWER)
-        chosen = np.isin(group.key, a["key"][a["kind"] == BRANCH]) & group.named & (group.doc == group.least)
+        chosen = group.answered(a, BRANCH) & group.named & (group.doc == group.least)
         parts = []
-        for i, path, word, edge in group.edges(chosen):
+        for _, path, word, edge, check in group.edges(chosen):
             e = np.zeros(len(word), EDGE)
-            e["edge"], e["doc"], e["group"] = edge, group.doc[path], group.group
-            e["check"] = (W.gram_hashes(group.blocks[i].hashes, shape.k, seed=1)[word] >> np.uint64(32)) if len(word) else 0
+            e["edge"], e["check"], e["doc"], e["group"] = edge, check, group.doc[path], group.group
             parts.append(e)
         e = np.concatenate(parts or [np.zeros(0, EDGE)])
-        e = e[np.lexsort((e["doc"], e["edge"]))]
+        e = e[np.lexsort((e["doc"], e["check"], e["edge"]))]
         if len(e):
-            e = e[np.concatenate([[True], e["edge"][1:] != e["edge"][:-1]])]
+            e = e[np.concatenate([[True], (e["edge"][1:] != e["edge"][:-1]) | (e["check"][1:] != e["check"][:-1])])]
         return pa.Table.from_batches([B.packed((e["edge"] % np.uint64(buckets)).astype(np.int64), e)])
 
     return run
@@ -181,7 +201,7 @@ def _resolve_edges(table: pa.Table) -> pa.Table:
     fresh = np.ones(len(e), bool)
     fresh[1:] = (e["edge"][1:] != e["edge"][:-1]) | (e["check"][1:] != e["check"][:-1])
     later = e["doc"] > e["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(e) else fresh
-    return _answers(e["group"][later], e["edge"][later], np.full(later.sum(), EDGE_EARLIER))
+    return _answers(e["group"][later], e["edge"][later], e["check"][later], np.full(later.sum(), EDGE_EARLIER))
 
 
 def _cut_out(shape: Shape, kind: pa.DataType):
@@ -190,16 +210,16 @@ def _cut_out(shape: Shape, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         group = Group(docs, shape)
         a = B.unpacked(answers["part"], ANSWER)
-        whole = group.named & (np.isin(group.key, a["key"][a["kind"] == EARLIER]) | (group.doc > group.least))
-        open_ = group.named & ~whole & np.isin(group.key, a["key"][a["kind"] == BRANCH])
+        whole = group.named & (group.answered(a, EARLIER) | (group.doc > group.least))
+        open_ = group.named & ~whole & group.answered(a, BRANCH)
         places = list(group.edges(open_))
-        edge, path = (np.concatenate([p[i] for p in places] or [np.zeros(0, t)]) for i, t in ((3, np.uint64), (1, np.int64)))
-        doc = group.doc[path]
-        gone = np.isin(edge, a["key"][a["kind"] == EDGE_EARLIER]) | (doc > least(edge, doc, np.ones(len(doc), bool)))
+        edge, check, path = (np.concatenate([p[i] for p in places] or [np.zeros(0, t)]) for i, t in ((3, np.uint64), (4, np.uint64), (1, np.int64)))
+        doc, earlier = group.doc[path], a[a["kind"] == EDGE_EARLIER]
+        gone = among(edge, check, earlier["key"], earlier["key2"]) | (doc > least(edge, check, doc, np.ones(len(doc), bool)))
         done = 0
         rows = len(group.table)
         words, spans, kept = np.zeros(rows, np.int64), [[] for _ in range(rows)], [""] * rows
-        for block, flags, (_, p, word, _) in zip(group.blocks, group.split(whole), places):
+        for block, flags, (_, p, word, *_) in zip(group.blocks, group.split(whole), places):
             paths = group.paths[0] if len(group.paths) == 1 else group.paths[next(i for i, b in enumerate(group.blocks) if b is block)]
             change = np.zeros(len(block.hashes) + 1, np.int64)
             taken = np.flatnonzero(flags)
@@ -237,7 +257,8 @@ def cut_repeats(docs: DataFrame, k: int = 13, anchor: int = 6, columns: tuple[st
     its earliest document; where an anchor has one path only, the path doesn't branch and is settled
     whole. Where it branches (a shared span ends or differs), the earliest document of each path
     unfolds it to edges, and a second join, by edge, finds their earliest documents. Paths are told
-    apart by 128 bits and edges by 96. The groups' coordinates then make up the spans.
+    apart by 128 bits of hashes and edges by 96, in joins, groups and answers alike; words are not
+    compared beyond that. The groups' coordinates then make up the spans.
 
     Documents are dealt to groups by id, and texts move once. A group sends a path or an edge once,
     with the smallest id it has there, so what is found in very many documents weighs as much as
