@@ -17,8 +17,6 @@ from lanewise.llm._tables import cut, written
 
 #: Characters of the longest gram; bytes of text in a group of documents.
 ORDER, GROUP_BYTES = 4, 8 << 20
-#: Characters at the language's median that each text is smoothed with, so that short texts vary less.
-PRIOR = 200
 #: Held-back trusted documents below which a language takes the limit of all languages.
 FEW = 20
 #: What stands before a text.
@@ -155,13 +153,12 @@ def probabilities(counts: DataFrame, grams: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns: tuple[str, str, str] = ("doc_id", "text", "lang")) -> DataFrame:
     """For each row of docs: doc_id, key (sha256 of the text), n_chars, perplexity (of a character),
-    score (log perplexity smoothed with PRIOR characters at the median), limit, keep.
+    score (its logarithm), limit (of scores), keep.
 
     Trusted documents are those that labels (doc_id, quality) calls good. A model of character
     grams is learned from four fifths of them, by hash of the id; the others give each language the
-    median and the ``quantile`` of scores, by mergeable sketches. A text is kept up to that limit,
-    which lies above the quantile by its distance from the median times 2 / sqrt(documents).
-    A language with fewer than FEW of these, and a null language, takes the values of all.
+    ``quantile`` of its perplexity, by mergeable sketches. A text is kept up to that limit. A language
+    with fewer than FEW of these, and a null language, takes the limit of all.
 
     Documents are dealt to groups by id, so texts move once. A group sends its distinct grams, with
     counts over its trusted documents. Probabilities are joined on, gram by gram, and come back to
@@ -194,25 +191,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, columns
     scored = cut(scored)
 
     known = scored.filter("n_chars > 0").join(trusted.filter(held), "doc")
-    middle = known.groupBy("lang").agg(F.percentile_approx(F.col("cost") / F.col("n_chars"), 0.5, 10000).alias("middle"), F.count("*").alias("held"))
-    middle = cut(middle.filter((F.col("held") >= FEW) & F.col("lang").isNotNull()))
-    overall = known.agg(F.percentile_approx(F.col("cost") / F.col("n_chars"), 0.5, 10000)).first()[0]
-
-    def smoothed(rows: DataFrame) -> DataFrame:
-        rows = rows.join(middle.select("lang", "middle"), "lang", "left")
-        rows = rows.withColumn("middle", F.coalesce("middle", F.lit(overall).cast("double")))
-        return rows.withColumn("score", (F.col("cost") + PRIOR * F.col("middle")) / (F.col("n_chars") + PRIOR))
-
-    levels = smoothed(known)
-
     def limited(rows: DataFrame) -> DataFrame:
-        # a quantile of few documents is known the less well, so it gets the more room
-        level = F.percentile_approx("score", quantile, 10000)
-        return rows.agg((level + (level - F.percentile_approx("score", 0.5, 10000)) * 2 / F.sqrt(F.count("*"))).alias("limit"), F.count("*").alias("held"))
-
-    limits = limited(levels.groupBy("lang")).filter((F.col("held") >= FEW) & F.col("lang").isNotNull())
-    any_limit = limited(levels.groupBy()).first()["limit"]
-    out = smoothed(scored).join(limits.select("lang", "limit"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(any_limit).cast("double")))
-    keep = (F.col("n_chars") > 0) & F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))
-    perplexity = F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars")))
-    return out.select("doc_id", "key", "n_chars", perplexity.alias("perplexity"), "score", "limit", keep.alias("keep"))
+        return rows.agg(F.percentile_approx(F.col("cost") / F.col("n_chars"), quantile, 10000).alias("limit"), F.count("*").alias("held"))
+
+    limits = limited(known.groupBy("lang")).filter((F.col("held") >= FEW) & F.col("lang").isNotNull())
+    any_limit = limited(known.groupBy()).first()["limit"]
+    out = scored.join(limits.select("lang", "limit"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(any_limit).cast("double")))
+    score = F.when(F.col("n_chars") > 0, F.col("cost") / F.col("n_chars"))
+    keep = (F.col("n_chars") > 0) & F.coalesce(score <= F.col("limit"), F.lit(True))
+    return out.select("doc_id", "key", "n_chars", F.exp(score).alias("perplexity"), score.alias("score"), "limit", keep.alias("keep"))

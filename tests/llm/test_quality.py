@@ -109,6 +109,20 @@ def test_perplexity_of_each_document(spark, docs_of, sample):
         assert rows[i].perplexity == pytest.approx(math.exp(cost / len(docs[i][1])), rel=1e-6)
 
 
+def test_limit_is_the_quantile_of_each_language(spark, docs_of, sample):
+    """A text is kept exactly up to the quantile of held-back trusted texts of its language."""
+    docs, labels = sample
+    lang = {d: x for d, _, x, _ in docs}
+    rows = {r.doc_id: r for r in classify(docs_of(docs), spark.createDataFrame(labels, "doc_id bigint, quality int"), quantile=0.9).collect()}
+    held = {r.doc for r in spark.range(1).selectExpr("explode(sequence(0L, 399L)) AS doc").filter("pmod(xxhash64(doc, 'held back'), 5) = 0").collect()}
+    for x in ("en", "fr"):
+        known = sorted(rows[d].score for d, q in labels if q == 1 and d in held and lang[d] == x)
+        limit = known[math.ceil(0.9 * len(known)) - 1] if len(known) >= 20 else sorted(rows[d].score for d, q in labels if q == 1 and d in held)[math.ceil(0.9 * sum(q == 1 and d in held for d, q in labels)) - 1]
+        for d in rows:
+            if lang[d] == x:
+                assert rows[d].limit == limit and rows[d].keep == (rows[d].score <= limit) and rows[d].score == pytest.approx(math.log(rows[d].perplexity))
+
+
 def test_odd_tables(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert classify(docs_of([]), none).collect() == []
