@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql.window import Window
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _words as W
-from lanewise.llm._tables import cut
+from lanewise.llm._tables import cut, small_or_shuffled
 
-# Phrases that name a licence, and notices in the public wording of the licences.
+# Phrases that name a licence, and notices and whole short licences in their public wording.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = [
     ("mit", "Released under the MIT License."),
@@ -30,10 +31,18 @@ NOTICES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
-#: Words of a gram; diagonals this close are one; matched words that are enough, or their share.
+#: Words of a gram; diagonals this close are one; matched words that are enough, or the share that is.
 GRAM, NEAR, ENOUGH, SHARE = 3, 2, 24, 0.8
+#: Share of a notice that enough words are at least, as licences have phrases in common.
+PART = 0.35
 
 
 def _word_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -43,6 +52,45 @@ def _word_hashes(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _word_lists(texts: list[str]) -> list[list[bytes]]:
+    """The words of each text as bytes, A-Z as a-z."""
+    out: list[list[bytes]] = []
+    for block in W.blocks(pa.array(texts, pa.string()), W.ALNUM_LOWER):
+        raw = block.buf.tobytes().lower()
+        words = [raw[a:b] for a, b in zip(block.start.tolist(), block.end.tolist())]
+        out += [words[a:b] for a, b in zip(block.word_at[:-1].tolist(), block.word_at[1:].tolist())]
+    return out
+
+
+def _verify(notices: list[tuple[str, str]], gram: int, enough: int, share: float):
+    """Candidate spans (template, start, stop, first and last word of the template) of texts, compared
+    word by word with the notices: matched counts the words of common runs, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _word_lists([t for _, t in notices])
+        for batch in batches:
+            found = []
+            spans = batch.column("found").to_pylist()
+            for i in range(0, batch.num_rows, 64):
+                texts = _word_lists(batch.column("text").slice(i, 64).to_pylist())
+                for row, words in enumerate(texts, i):
+                    for s in spans[row]:
+                        notice = known[s["template"]]
+                        matched = _common(words[s["start"] : s["stop"]], notice[s["t_start"] : s["t_stop"]], gram)
+                        if matched >= share * len(notice) or matched >= enough and matched >= PART * len(notice):
+                            found.append((row, notices[s["template"]][0], s["start"], s["stop"], matched, matched / len(notice)))
+            row, *rest = zip(*found) if found else ((),) * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.record_batch([batch.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))], names=["key", "label", "start", "stop", "matched", "share"])
+
+    return run
+
+
+def _common(a: list[bytes], b: list[bytes], gram: int) -> int:
+    """Words of the common runs of ``gram`` or more words, in order."""
+    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= gram)
+
+
 def template_grams(spark: SparkSession, notices: list[tuple[str, str]], gram: int) -> DataFrame:
     """gram, template, t_at, t_words, label for each gram of each notice."""
     rows = []
@@ -102,8 +150,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
 
     Every word gram of a text that some notice has too is joined to the notice's positions and
     votes for a diagonal, its position less the notice's. Diagonals no more than ``near`` apart
-    merge, which lets a word be added or left out. A merged group is verified by the distinct
-    words of the notice that its grams cover: ``enough`` of them, or ``share`` of the notice.
+    merge, which lets a word be added or left out. A merged group whose grams cover ``enough`` words
+    of the notice, or ``share`` of it, is verified: the words of its span are compared with the
+    notice's, and those of common runs of ``gram`` words or more must be ``share`` of the notice, or
+    ``enough`` and PART of it.
 
     The notices are constants of this module or arguments of the caller, so their grams are few
     and sieve the texts' grams inside the scan; only matches are shuffled, by text, so that a text
@@ -132,9 +182,12 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     votes = votes.withColumn("fresh", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 40)).over(along) > near).cast("int"))
     votes = votes.withColumn("run", F.sum("fresh").over(along))
     merged = votes.groupBy("key", "template", "label", "t_words", "run").agg(F.flatten(F.collect_list("t_at")).alias("t_at"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-    matched = F.size(F.array_distinct(F.flatten(F.transform("t_at", lambda t: F.sequence(t, t + gram - 1))))).cast("long")
-    merged = merged.withColumn("matched", matched).withColumn("share", F.col("matched") / F.col("t_words"))
-    verified = merged.filter((F.col("matched") >= enough) | (F.col("share") >= share))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("t_at", lambda t: F.sequence(t, t + gram - 1))))).cast("long")
+    merged = merged.withColumn("covered", covered).filter((F.col("covered") >= enough) | (F.col("covered") >= share * F.col("t_words")))
+    spans = merged.select("key", F.struct("template", "start", "stop", F.array_min("t_at").alias("t_start"), (F.array_max("t_at") + gram).alias("t_stop")).alias("span"))
+    spans = cut(spans.groupBy("key").agg(F.collect_list("span").alias("found")))
+    texts = source.select("key", "text").join(small_or_shuffled(spans.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    verified = texts.join(spans, "key").mapInArrow(M.batches(_verify(notices, gram, enough, share)), "key string, label string, start bigint, stop bigint, matched bigint, share double")
     noticed = verified.groupBy("key").agg(
         F.array_sort(F.collect_set("label")).alias("noticed"), F.array_sort(F.collect_list(F.struct("start", "stop", "label", "matched", "share"))).alias("spans"), F.max("share").alias("best")
     )
