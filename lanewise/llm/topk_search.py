@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,8 @@ from lanewise.llm._tables import cut
 
 #: Candidates and queries in a block, on average; a task holds one block of each.
 CANDIDATES, QUERIES = 16_384, 4_096
+#: Rows, and bytes of them, that the centres of the tree's top level are chosen from; centres, and bytes of them, at most.
+SAMPLE, SAMPLE_BYTES, CENTRES, CENTRE_BYTES = 20_000, 32 << 20, 2_048, 16 << 20
 #: Points of a leaf, children of a node, and the factor by which the next level's radius is smaller.
 LEAF, FANOUT, BASE = 128, 12, 1.6
 #: Inner products below this are exact in doubles.
@@ -88,9 +91,11 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
 class Search:
     """The k best candidates of each query; ties to smaller ids."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None):
+        """``least``: scores that each query has k candidates of elsewhere; lower ones are not wanted."""
         self.k = k
         q_order, self.q_root = cover_tree(queries)
+        self.least = np.full(len(queries), -np.inf) if least is None else least[q_order]
         p_order, self.p_root = cover_tree(points)
         self.queries, self.query_ids = queries[q_order], query_ids[q_order]
         self.points, self.ids = points[p_order], ids[p_order]
@@ -104,7 +109,7 @@ class Search:
         return upper + 1e-9 * (q.norm + q.radius) * (p.norm + p.radius)
 
     def worst(self, q: Node) -> float:
-        return float(self.scores[q.start : q.end, -1].min())
+        return float(np.maximum(self.scores[q.start : q.end, -1], self.least[q.start : q.end]).min())
 
     def run(self) -> None:
         if len(self.queries) and len(self.points):
@@ -129,7 +134,8 @@ class Search:
             scores = self.queries[q.start : q.end] @ self.points[start:end].T
             ids = np.broadcast_to(self.ids[start:end], scores.shape)
             scores = np.where(ids == self.query_ids[q.start : q.end, None], -np.inf, scores)
-            alive = np.flatnonzero((scores >= self.scores[q.start : q.end, -1:]).any(axis=1))
+            scores[scores < self.least[q.start : q.end, None]] = -np.inf
+            alive = np.flatnonzero(((scores >= self.scores[q.start : q.end, -1:]) & (scores > -np.inf)).any(axis=1))
             if not len(alive):
                 continue
             rows = q.start + alive
@@ -162,9 +168,12 @@ def _search(k: int):
             found = _exact(a, names, b, ids, k)
         else:
             a, b = (np.array([x + [0] * (width - len(x)) for x in rows], float).reshape(len(rows), width) for rows in (a, b))
-            search = Search(a, names, b, ids, k)
+            least = queries["least"].to_numpy(zero_copy_only=False).astype(float)
+            # a long beyond 2 ** 53 is rounded as a double; a little less is safe
+            least = np.where(np.isnan(least), -np.inf, least - 1e-9 * np.abs(least) * (np.abs(least) >= EXACT))
+            search = Search(a, names, b, ids, k, least)
             search.run()
-            row, col = np.nonzero(search.scores > -np.inf)
+            row, col = np.nonzero((search.scores > -np.inf) & (search.found < np.iinfo(np.int64).max))
             found = list(zip(search.query_ids[row].tolist(), search.found[row, col].tolist(), search.scores[row, col].astype(np.int64).tolist()))
         columns = list(zip(*found)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
@@ -180,17 +189,85 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
     return F.when(sound, F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-limit)), F.lit(limit))).cast("long")))
 
 
+def _padded(vectors: list[list[int]], width: int) -> np.ndarray:
+    return np.array([v + [0] * (width - len(v)) for v in vectors], float).reshape(len(vectors), width)
+
+
+def centres_of(points: np.ndarray, most: int) -> np.ndarray:
+    """The top level of a cover tree: each centre the point farthest from those before, from the
+    mean's nearest on; fewer than ``most`` if the points are not that many."""
+    points = np.unique(points, axis=0)
+    if not len(points):
+        return points
+    chosen = [int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+    away = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < most and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def _assigned(centres: np.ndarray):
+    """The nearest centre of each vector, and how far it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = (centres**2).sum(axis=1)
+        for batch in batches:
+            x = _padded(batch.column("v").to_pylist(), centres.shape[1])
+            nearest = (norms - 2 * (x @ centres.T)).argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+            away = np.sqrt(((x - centres[nearest]) ** 2).sum(axis=1))
+            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(nearest, pa.int64()), pa.array(away)], names=["vec_id", "v", "centre", "away"])
+
+    return run
+
+
+def _reached(centres: np.ndarray, radius: np.ndarray, first: bool):
+    """Of each query the centre of largest inner product (first); or all around which some candidate
+    may score ``least``: by the centre's score, the radius and the query's norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = np.sqrt((centres**2).sum(axis=1))
+        for batch in batches:
+            x = _padded(batch.column("v").to_pylist(), centres.shape[1])
+            scores, size = x @ centres.T, np.sqrt((x**2).sum(axis=1))[:, None]
+            if first:
+                some = np.zeros(scores.shape, bool)
+                some[np.arange(len(x)), np.where(radius >= 0, scores, -np.inf).argmax(axis=1)] = True
+            else:
+                least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)[:, None]
+                bound = scores + size * radius + 1e-9 * size * (norms + np.abs(radius)) + 1e-9 * np.abs(least)
+                some = (np.isnan(least) | (bound >= least)) & (radius >= 0)
+            row, centre = np.nonzero(some)
+            yield pa.record_batch([*(batch.column(c).take(pa.array(row)) for c in ("vec_id", "v", "least")), pa.array(centre, pa.int64())], names=["vec_id", "v", "least", "centre"])
+
+    return run
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Searches of queries (vec_id, v, least, centre, salt) in the candidates of that centre and salt,
+    the queries of a block in chunks."""
+    chunks = queries.groupBy("centre", "salt").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
+    asked = queries.join(chunks, ["centre", "salt"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.col("chunks")).cast("int"))
+    offered = candidates.join(chunks, ["centre", "salt"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = ["centre", "salt", "chunk"]
+    return asked.groupBy(*key).cogroup(offered.select("vec_id", "v", *key).groupBy(*key)).applyInArrow(M.cogroup(_search(k)), "query_id bigint, vec_id bigint, score bigint")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, columns: tuple[str, str] = ("vec_id", "embedding")) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row that is_query the k other rows of largest
     inner product of whole-numbered vectors, ties to smaller ids; all of them if there are fewer.
 
     Equal vectors stand for one another: of each vector only the k + 1 smallest ids can be among
-    anyone's best. Candidates and queries are dealt to blocks of bounded size, and each pair of
-    blocks is one task: cover trees over both are walked together, and a pair of nodes is passed
-    over if its centres, radii and norms bound every inner product below the worst k-th score of
-    the node's queries. The tasks' bests meet once more for the k of each query. Scores are exact:
-    whole numbers in doubles below 2 ** 53, Python's integers beyond; a score that no long holds is
-    the nearest that one does.
+    anyone's best. Centres chosen from a bounded sample (SAMPLE rows of smallest hash) are the top
+    level of a cover tree; every candidate goes to its nearest centre, whose covering radius is
+    measured over all of them, and a centre's candidates are dealt to blocks of bounded size. A query
+    is first searched in one block of its best centre. Its kth score there is a bound that most
+    centres cannot reach: by their own score, radius and the query's norm. Only to the blocks of
+    the others is the query sent, so candidates never meet all queries unless no bound tells them
+    apart. In a pair of blocks, cover trees over both are walked together, and a pair of nodes is
+    passed over if its centres, radii and norms bound every inner product below the worst kth score
+    of the node's queries. Scores are exact: whole numbers in doubles below 2 ** 53, Python's
+    integers beyond; a score that no long holds is the nearest that one does.
 
     Vectors that are null, or hold null, NaN or infinite components, take no part; nor do rows
     without id. Missing components count as 0. Rows that share an id are separate candidates, but
@@ -200,13 +277,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, columns: tuple[str,
     vec_id, vector = columns
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_numbers(F.col(vector)).alias("v"), is_query.alias("asks")).filter("vec_id is not null and v is not null")
     rows = cut(rows)
-    total, asking = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    parts, groups = max(1, math.ceil(total / CANDIDATES)), max(1, math.ceil(asking / QUERIES))
+    total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     copies = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.select("vec_id", "v").withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    candidates = kept.select("vec_id", "v", deal(parts).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = rows.filter("asks").select("vec_id", "v").distinct().select("vec_id", "v", deal(groups).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInArrow(M.cogroup(_search(k)), "query_id bigint, vec_id bigint, score bigint")
+    kept = rows.select("vec_id", "v").withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1).select("vec_id", "v")
+    bytes_each = 8 * max(1, width)
+    sample = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // bytes_each)))
+    most = max(1, min(CENTRES, CENTRE_BYTES // bytes_each, math.ceil(total / CANDIDATES)))
+    centres = centres_of(_padded([r.v for r in sample.collect()], width), most) if total else np.zeros((0, width))
+    if not len(centres):
+        centres = np.zeros((1, width))
+    assigned = cut(kept.mapInArrow(M.batches(_assigned(centres)), "vec_id bigint, v array<bigint>, centre bigint, away double"))
+    radius, salts = np.full(len(centres), -1.0), np.ones(len(centres), np.int64)
+    for r in assigned.groupBy("centre").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():
+        radius[r.centre], salts[r.centre] = r.radius * (1 + 1e-9), math.ceil(r.n / CANDIDATES)
+    salts_of = F.element_at(F.array(*[F.lit(int(n)) for n in salts]), (F.col("centre") + 1).cast("int"))
+    salt = F.pmod(F.xxhash64("vec_id"), salts_of)
+    candidates = assigned.select("vec_id", "v", "centre", salt.alias("salt"))
+    queries = rows.filter("asks").select("vec_id", "v").distinct().withColumn("least", F.lit(None).cast("long"))
+    schema = "vec_id bigint, v array<bigint>, least bigint, centre bigint"
+    first = cut(queries.mapInArrow(M.batches(_reached(centres, radius, True)), schema).withColumn("salt", salt))
+    found = cut(_meet(first, candidates, k))
+    if len(centres) > 1 or salts.max() > 1:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        least = found.withColumn("place", place).filter(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+        bounded = first.select("vec_id", "v", F.col("centre").alias("c"), F.col("salt").alias("s")).join(least, F.col("vec_id") == F.col("query_id"), "left")
+        again = bounded.select("vec_id", "v", "least").mapInArrow(M.batches(_reached(centres, radius, False)), schema)
+        again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of - 1))).withColumn("salt", F.col("salt").cast("long"))
+        again = again.join(first.select("vec_id", "v", "centre", "salt"), ["vec_id", "v", "centre", "salt"], "left_anti")
+        found = found.union(_meet(cut(again), candidates, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
