@@ -8,12 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
 from lanewise.llm import _words as W
-from lanewise.llm._tables import bit_map, cut, written
+from lanewise.llm._tables import bit_map, cut, small_or_shuffled, written
 from lanewise.llm.components import components
 
 #: Characters of a shingle; bands, and minima that make a band.
@@ -241,6 +240,25 @@ def _wanted(bits: bytes):
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line once, of rows sorted by both hashes, with a number: the first hash, and for further lines
+    of that hash one made of both."""
+    line = other = np.zeros(1, np.int64)
+    begun = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        line, other = (np.concatenate([last[-1:], batch.column(i).to_numpy()]) for last, i in ((line, 0), (other, 1)))
+        further = line[1:] == line[:-1]
+        again = further & (other[1:] == other[:-1])
+        if not begun:
+            further[0] = again[0] = False
+            begun = True
+        name = np.where(further, W.signed(W.mix64(line[1:].view(np.uint64) + W.mix64(other[1:].view(np.uint64)))), line[1:])
+        # lines between equal ones of a hash are sorted by the other, so a third is further too
+        yield pa.record_batch([*batch.columns, pa.array(name)], names=["line", "line2", "text", "id"]).filter(pa.array(~again))
+
+
 def shingle_sets(lines: list[str], size: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each line."""
     codes = [line.encode("utf-32-le", "replace") for line in lines]
@@ -335,29 +353,25 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
     pairs = written(found.filter("band is null").select("a", "b").distinct())
     met = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(found.filter("band is not null").select("a"))
     bits = bit_map(F.col("line").bitwiseAND(SIEVE_BITS - 1), met, SIEVE_BITS)
-    texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string").groupBy("line", "line2").agg(F.min("text").alias("text"))
-    earlier = F.row_number().over(Window.partitionBy("line").orderBy("line2")) > 1
-    texts = written(texts.withColumn("id", F.when(earlier, F.xxhash64("line", "line2")).otherwise(F.col("line"))))
+    texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string")
+    texts = texts.repartition("line").sortWithinPartitions("line", "line2")
+    texts = written(texts.mapInArrow(M.batches(_named), "line bigint, line2 bigint, text string, id bigint"))
 
     def verified(some: DataFrame) -> DataFrame:
-        x, y = (texts.select(F.col("id").alias(i), F.col("text").alias(f"{c}_text")) for c, i in (("x", "a"), ("y", "b")))
-        return written(some.join(x, "a").join(y, "b").mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
+        # lines of one first hash stand wherever it does
+        x, y = (texts.select(F.col("line").alias(i), F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text")) for c, i in (("x", "a"), ("y", "b")))
+        met = some.join(x, "a").join(y, "b").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "x_text", "y_text")
+        return written(met.mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
 
     def parts_of(rows: DataFrame, known: DataFrame, c: str) -> DataFrame:
         named = known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
         return rows.join(named, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
 
-    twins = cut(texts.filter("id <> line").select("line", "id"))
-    if twins.take(1):
-        # lines of equal first hashes: each stands wherever the hash does
-        every = twins.union(twins.select("line", "line").distinct())
-        both = pairs.join(every.toDF("a", "p"), "a", "left").join(every.toDF("b", "q"), "b", "left")
-        pairs = both.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).union(twins)
-        found = found.join(every.toDF("a", "p"), "a", "left").select(F.coalesce("p", "a").alias("a"), "b", "band")
-    known = cut(components(verified(pairs.groupBy("a").agg(F.min("b").alias("b")))))
-    apart = parts_of(parts_of(pairs, known, "a"), known, "b").filter("a_in <> b_in").select("a", "b")
-    known = cut(components(known.union(verified(apart))))
-    members = parts_of(found.filter("band is not null").select("a", "band"), known, "a").select("band", F.col("a").alias("line"), F.col("a_in").alias("label"))
+    known = cut(components(verified(pairs)))
+    twins = small_or_shuffled(texts.filter("id <> line").select(F.col("line").alias("a"), "id"))
+    large = found.filter("band is not null").select("a", "band").join(twins, "a", "left")
+    members = parts_of(large.select(F.explode(F.when(F.col("id").isNull(), F.array("a")).otherwise(F.array("a", "id"))).alias("a"), "band"), known, "a")
+    members = cut(members.select("band", F.col("a").alias("line"), F.col("a_in").alias("label")))
     several = members.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
     # similar lines often share several bands: of bands with the same lines one is enough
     several = cut(several.filter("l <> h").groupBy("lines", "n").agg(F.min("band").alias("band")).select("band"))
@@ -385,10 +399,10 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
 
     A line's runs of characters give minima in 120 bins of one hash function, and these 20 bands of
     6: a pair at similarity 0.8 shares a band with probability 0.998, one at 0.3 with 0.015. Pairs
-    that share one are decided exactly, for each line first the pair with its least partner. A large band first offers each line one pair. If its lines are then
-    in different components, they are compared until links join these or none is left to compare, a
-    very large band in pairs of blocks, so that a large group of similar lines never sends out all
-    its pairs. Lines are told by 128 bits and count once in all of this; a line that is in very many
+    that share one are decided exactly; of a large band each line first has one pair. If its lines are
+    then in different components, they are compared until links join these or none is left to
+    compare, a very large band in pairs of blocks, so that a large group of similar lines never sends
+    out all its pairs. Lines are told by 128 bits and count once in all of this; a line that is in very many
     documents is one row of every join but the last, which Spark splits, as the other side has one
     row for it.
 
@@ -409,7 +423,8 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     stays = written(repeated.groupBy("part", "part2").agg(F.min(F.struct("doc", "key", "at")).alias("stays")))
     gone = repeated.join(stays, ["part", "part2"]).filter(F.struct("doc", "key", "at") != F.col("stays")).groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     each = F.split("text", "\n", -1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     left = F.array_join(F.filter(each, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
     return named.join(gone, ["doc", "key"], "left").select(
-        "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(each)).cast("long").alias("n_lines"), "dropped", "rest"
+        "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"), n_lines.alias("n_lines"), "dropped", "rest"
     )
