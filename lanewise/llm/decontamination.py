@@ -129,7 +129,8 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
         f"doc_id {kind}, key string, n_words bigint, hits array<struct<family:int,print:bigint,at:bigint,around:binary>>",
     )
     texts = cut(texts)
-    hits = texts.filter(F.size("hits") > 0).select("key", F.inline("hits"))
+    # texts that many documents share meet the items once
+    hits = texts.filter(F.size("hits") > 0).select("key", "hits").dropDuplicates(["key"]).select("key", F.inline("hits"))
     met = hits.join(prints.withColumnRenamed("around", "i_around"), ["family", "print"])
     kind = prints.schema["item_id"].dataType.simpleString()
     windows = met.select("key", "item_id", "at", "family", "around", "i_around").mapInArrow(M.batches(_extend(span, gram)), f"key string, item_id {kind}, start bigint, stop bigint")
