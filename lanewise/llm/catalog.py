@@ -80,6 +80,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL expresses: matches of the fixed patterns."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL expresses: places of the phrases."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_decontamination": op2_decontamination,
@@ -91,6 +101,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
     "op4_mixing": op4_mixing,
+    "base_secrets": base_secrets,
+    "base_licenses": base_licenses,
 }
 
 ORACLES = {
@@ -99,4 +111,6 @@ ORACLES = {
     "op10_jaccard_join": oracles.JACCARD,
     "op2_decontamination": oracles.DECONTAMINATION,
     "op4_mixing": oracles.MIXING,
+    "base_secrets": oracles.SECRET_BASE,
+    "base_licenses": oracles.LICENSE_BASE,
 }

@@ -116,7 +116,7 @@ def test_stages_on_odd_tables(spark, folder):
     r = random.Random(3)
     kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = [(1, say(r, 40), "en", "a", 0), (1, say(r, 40), None, None, 1), (None, say(r, 40), "en", "a", None), (None, None, None, None, None), (2, "", "en", "b", 0)]
-    rows += [rows[0], rows[2], (3, say(r, 30) + "\n" + say(r, 60_000), "en", "b", 2)]
+    rows += [rows[0], rows[2], (3, say(r, 30) + "\n" + say(r, 160_000), "en", "b", 2)]
     clashes = ["'k' key", "'t' text_key", "'n' number", "1 taken_", "'l' line", "'d' doc", "'g' g", "'s' size", "'r' r_id", "'e' rest", "'a' alike"]
     docs = spark.createDataFrame(rows, kind).selectExpr("*", *clashes)
     for name, stage in P.STAGES:
@@ -142,3 +142,75 @@ def test_queries_against_sql(spark):
         assert sorted(got.columns) == sorted(want.columns)
         rows = sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in got.collect())
         assert rows == sorted(tuple(str(r[want.columns.index(c)]) for c in sorted(got.columns)) for r in want.fetchall()), name
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """The whole pipeline against plain versions of its stages, one after the other."""
+    import math
+
+    import corpus_pipeline as P
+    from test_decontamination import words as plain_words
+    from test_lines import brute as plain_lines
+    from test_mixing import queue, size
+    from test_quality import ORDER, PAD, brute_model
+
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(150)]
+    some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    item, foot = some(12), some(9)
+    docs = []
+    for i in range(150):
+        text = some(r.randint(15, 50))
+        if i % 12 == 5 and docs:
+            text = docs[r.randrange(len(docs))][1] + (" end" if i % 24 == 5 else "")
+        if i % 15 == 4:
+            text += "\n" + foot
+        if i % 17 == 3:
+            text += " " + item
+        if i % 19 == 2:
+            text = "".join(r.choice("#!%&xqz") for _ in range(150))
+        docs.append((i, text, "en", r.choice(["a", "b", "c"])))
+    labels = [(d, 1) for d, t, *_ in docs if d % 3 and d % 19 != 2]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    held = {x.doc for x in spark.range(1).selectExpr("explode(sequence(0L, 149L)) AS doc").filter("pmod(xxhash64(doc, 'held back'), 5) = 0").collect()}
+    p = brute_model([docs[d][1] for d, _ in labels if d not in held])
+    score = {d: -sum(math.log(p((PAD * (ORDER - 1) + t)[j : j + ORDER])) for j in range(len(t))) / len(t) for d, t, *_ in docs}
+    known = sorted(score[d] for d, _ in labels if d in held)
+    assert len(known) >= 20
+    limit = known[math.ceil(0.99 * len(known)) - 1]
+    left = [x for x in docs if score[x[0]] <= limit + 1e-9]
+    assert 100 < len(left) < 150
+
+    lines = {d: (t, gone) for d, t, _, gone in plain_lines(left)}
+    left = [(d, lines[d][0], *rest) for d, _, *rest in left if not lines[d][1] or lines[d][0].strip()]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    root = {d: d for d, *_ in left}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {d: grams(t) for d, t, *_ in left}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    left = [x for x in left if top(x[0]) == x[0]]
+
+    def windows(w):
+        return {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+
+    left = [x for x in left if not windows(plain_words(x[1])) & windows(plain_words(item))]
+    budget = 3 * sum(size(t) for _, t, *_ in left) // 2
+    want = {d: n for d, n in queue(left, budget, max(1, budget // 100_000)).items() if n}
+    got = {x.doc_id: (x.text, x.taken) for x in P.run(spark, str(tmp_path)).collect()}
+    assert got == {d: (t, want[d]) for d, t, *_ in left if d in want}
