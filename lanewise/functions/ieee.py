@@ -22,8 +22,8 @@ def spark(t: DType):
 
 
 def negative(x: Column) -> Column:
-    """The sign bit."""
-    return (x < 0) | (x.cast("string") == "-0.0")
+    """The sign bit; zeros tell theirs by their reciprocal."""
+    return (x < 0) | ((x == 0) & (F.pow(x, F.lit(-1.0)) < 0))
 
 
 def divide(a: Column, b: Column, divisor: float | None = None) -> Column:
@@ -41,6 +41,17 @@ def fmod(a: Column, b: Column, divisor: float | None = None) -> Column:
     return F.when((b == 0) & a.isNotNull(), NAN).otherwise(F.try_mod(a, b))
 
 
+def remainder(a: Column, b: Column) -> Column:
+    """a less the nearest multiple of b, the even one of two; exact, as all its subtractions are."""
+    size = F.abs(b)
+    rest = F.try_mod(F.abs(a), size + size)
+    once = rest - size
+    near = F.when(rest <= size - rest, rest).when(once >= size - once, once - size).otherwise(once)
+    out = F.when(negative(a), -near).otherwise(near)
+    odd = (b == 0) | F.isnan(a) | F.isnan(b) | (F.abs(a) == INF)
+    return F.when(odd & a.isNotNull() & b.isNotNull(), NAN).when(size == INF, a).when(a.isNotNull() & b.isNotNull(), out)
+
+
 def _log(f, x: Column) -> Column:
     return F.when(x > 0, f(x)).when(x == 0, -INF).when(x.isNotNull(), NAN)
 

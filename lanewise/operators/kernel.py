@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from lanewise import dtypes as D
 from lanewise.dtypes import DType
@@ -323,13 +322,12 @@ class Kernel:
             row = df.agg(*[reductions.aggregate(n.value, lower.lower(n.args[0]), n.args[0].dtype).alias(f"r{i}") for i, n in enumerate(found.values())]).first()
             values = {k: complex(row[i]["re"], row[i]["im"]) if n.dtype.kind == "c" else row[i] for i, (k, n) in enumerate(found.items())}
         inputs = [*self.names, *symbols]
-        taken = set(df.columns)
-        labels = [next(c for c in (f"_in{i}", *[f"_in{i}_{j}" for j in range(99)]) if c not in taken) for i in range(len(inputs))]
-        columns = {c: symbols[n] if n in symbols else self.stored(n) for c, n in zip(labels, inputs)}
-        kept = [F.col(f"`{c}`") for c in df.columns if c != name]
-        wide = df.select(*kept, *[v.alias(c) for c, v in columns.items()])
-        schema = StructType([f for f in df.schema.fields if f.name != name] + [StructField(name, D.spark_type(self.dtype))])
-        return wide.mapInArrow(_interpreter(self, inputs, labels, name, values, while_limit()), schema)
+        run = F.arrow_udf(_interpreter(self, inputs, values, while_limit()), D.spark_type(self.dtype))
+        if any(n.op == "udf" and not n.value.pure for s in self.every() for t in s.all_trees() for n in t.walk()):
+            run = run.asNondeterministic()
+        # a row without inputs still is a lane
+        columns = [symbols[n] if n in symbols else self.stored(n) for n in inputs] or [F.lit(0).cast("long")]
+        return df.withColumn(name, run(F.struct(*[c.alias(f"a{i}") for i, c in enumerate(columns)])))
 
 
 def _to_numpy(column: pa.Array, t: DType) -> np.ndarray:
@@ -361,25 +359,26 @@ def _to_arrow(x: np.ndarray, t: DType, null: np.ndarray) -> pa.Array:
     return pa.array(x, kind, mask=null)
 
 
-def _interpreter(kernel: Kernel, inputs: list[str], labels: list[str], name: str, values: dict[str, object], limit: int) -> Callable:
+def _interpreter(kernel: Kernel, inputs: list[str], values: dict[str, object], limit: int) -> Callable:
+    """A function of a struct of the inputs, so that no other column leaves the JVM."""
     types = [kernel.names.get(n, D.INT64) for n in inputs]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in labels]
-            null = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                null |= c.is_null().to_numpy(zero_copy_only=False)
-            whole = pa.array(~null)
-            arrays = {n: _to_numpy(c.filter(whole), t) for n, c, t in zip(inputs, columns, types)}
-            n = int((~null).sum())
-            result = Masks(kernel, n, arrays, values, limit).run()
-            full = np.zeros(batch.num_rows, result.dtype if not kernel.dtype.is_text else object)
-            full[~null] = result
-            kept = [(f, c) for f, c in zip(batch.schema.names, batch.columns) if f not in labels]
-            yield pa.record_batch([*[c for _, c in kept], _to_arrow(full, kernel.dtype, null)], names=[*[f for f, _ in kept], name])
-
-    return run
+    def run(rows: pa.Array) -> pa.Array:
+        columns = rows.flatten()[: len(inputs)]
+        null = np.zeros(len(rows), bool)
+        for c in columns:
+            null |= c.is_null().to_numpy(zero_copy_only=False)
+        whole = pa.array(~null)
+        arrays = {n: _to_numpy(c.filter(whole) if null.any() else c, t) for n, c, t in zip(inputs, columns, types)}
+        result = Masks(kernel, int((~null).sum()), arrays, values, limit).run()
+        full = np.zeros(len(rows), result.dtype if not kernel.dtype.is_text else object)
+        full[~null] = result
+        return _to_arrow(full, kernel.dtype, null)
+
+    def interpret(rows: pa.Array) -> pa.Array:
+        return run(rows)
+
+    return interpret
 
 
 class Masks:

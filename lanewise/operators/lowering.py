@@ -51,7 +51,7 @@ def _ldexp(x: Column, e: Column) -> Column:
 _DOUBLE: dict[str, Callable[[Column, Column], Column]] = {
     "atan2": F.atan2, "copysign": ieee.copysign, "fdim": ieee.fdim, "fmax": ieee.fmax, "fmin": ieee.fmin, "hypot": F.hypot, "ldexp": _ldexp,
     "logaddexp": _logaddexp, "pow": F.pow, "npr": lambda n, r: special.call("ncr", n, r) * special.factorial_column(r),
-    "nextafter": lambda a, b: _java("nextAfter", a, b), "remainder": lambda a, b: _java("IEEEremainder", a, b),
+    "nextafter": lambda a, b: _java("nextAfter", a, b), "remainder": ieee.remainder,
 }
 
 

@@ -155,6 +155,15 @@ def test_floats_of_32_bits(spark):
         assert Vector(400, {"a": a, "b": b, "c": c}).run(tree).tolist() == values(df, text), text
 
 
+def test_remainder_of_doubles(spark):
+    sizes = [0.0, -0.0, 5e-324, 1e-310, 0.5, 1.0, 1.5, 2.5, -3.5, 7.0, 1e17, 1.7e308, -1.7e308, INF, -INF, NAN]
+    a, b = (np.array(v) for v in zip(*[(x, y) for x in sizes for y in sizes]))
+    df = frame(spark, a=a, b=b)
+    want = [NAN if math.isnan(x) or math.isnan(y) or math.isinf(x) or y == 0 else math.remainder(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    got = values(df, "remainder(a, b)")
+    assert all((math.isnan(g) and math.isnan(w)) or (g == w and math.copysign(1, g) == math.copysign(1, w)) for g, w in zip(got, want)), [x for x in zip(a, b, got, want) if x[2] != x[3]][:5]
+
+
 def rounded_once(x):
     """The float of 24 bits nearest to a fraction, ties to even."""
     if not x:
