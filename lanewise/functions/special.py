@@ -1,4 +1,4 @@
-"""Functions that Spark has no expression for: as Columns by published approximations, or over Arrow batches."""
+"""Functions that Spark has no expression for: over whole Arrow batches."""
 
 from __future__ import annotations
 
@@ -24,19 +24,19 @@ _LARGE = (
 )
 
 
-def _ratio(x, parts: tuple[tuple[float, ...], tuple[float, ...]]):
+def _ratio(x: np.ndarray, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> np.ndarray:
     above, below = (0.0 * x + p[0] for p in parts)
     for a, b in zip(parts[0][1:], parts[1][1:]):
         above, below = above * x + a, below * x + b
     return above / below
 
 
-def _tail(y, exp, floor, middle):
+def _tail(y: np.ndarray) -> np.ndarray:
     """erfc of y above 0.46875; the square is split so that its exponential keeps all digits."""
-    near = floor(y * 16.0) / 16.0
+    near = np.floor(y * 16.0) / 16.0
     inverse = 1.0 / (y * y)
     far = (1 / math.sqrt(math.pi) - inverse * _ratio(inverse, _LARGE)) / y
-    return exp(-near * near) * exp((near - y) * (near + y)) * middle(y <= 4.0, _ratio(y, _MIDDLE), far)
+    return np.exp(-near * near) * np.exp((near - y) * (near + y)) * np.where(y <= 4.0, _ratio(y, _MIDDLE), far)
 
 
 def _erfs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,26 +45,10 @@ def _erfs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = np.abs(x)
         small = x * _ratio(np.minimum(y, 1) ** 2, _SMALL)
         z = np.clip(y, 0.46875, 30.0)
-        tail = np.where(np.isnan(x), x, _tail(z, np.exp, np.floor, np.where))
+        tail = np.where(np.isnan(x), x, _tail(z))
         return np.where(y <= 0.46875, small, np.copysign(1 - tail, x)), np.where(y <= 0.46875, 1 - small, np.where(x < 0, 2 - tail, tail))
 
 
-def _tail_column(y: Column) -> Column:
-    z = F.least(F.greatest(y, F.lit(0.46875)), F.lit(30.0))
-    return _tail(z, F.exp, lambda v: F.floor(v).cast("double"), lambda test, a, b: F.when(test, a).otherwise(b))
-
-
-def erf_column(x: Column) -> Column:
-    y = F.abs(x)
-    far = 1.0 - _tail_column(y)
-    return F.when(F.isnan(x), x).when(y <= 0.46875, x * _ratio(x * x, _SMALL)).when(x > 0, far).when(x < 0, -far)
-
-
-def erfc_column(x: Column) -> Column:
-    y = F.abs(x)
-    return F.when(F.isnan(x), x).when(y <= 0.46875, 1.0 - x * _ratio(x * x, _SMALL)).when(x > 0, _tail_column(y)).when(x < 0, 2.0 - _tail_column(y))
-
-
 def factorial_column(n: Column) -> Column:
     """NaN outside the domain, infinite from 21 on."""
     return F.when(F.isnan(n) | (n < 0), math.nan).when(n < 21, F.factorial(n.cast("int")).cast("double")).when(n.isNotNull(), math.inf)

@@ -23,7 +23,7 @@ _SIMPLE: dict[str, Callable[[Column], Column]] = {
     "ln": ieee.ln, "log10": ieee.log10, "log2": ieee.log2, "log1p": ieee.log1p,
     "exp2": lambda x: F.pow(F.lit(2.0), x), "exp10": lambda x: F.pow(F.lit(10.0), x),
     "sinpi": lambda x: F.sin(F.lit(math.pi) * x), "cospi": lambda x: F.cos(F.lit(math.pi) * x),
-    "erf": special.erf_column, "erfc": special.erfc_column, "fac": special.factorial_column,
+    "fac": special.factorial_column,
     "ceil": ieee.ceil, "floor": ieee.floor, "rint": F.rint, "round": ieee.half_away, "trunc": ieee.trunc, "sign": ieee.sign, "abs": F.abs,
 }
 
@@ -112,7 +112,7 @@ class Lowering:
         return self.operation(n, args, types)
 
     def in_python(self, n: Typed) -> bool:
-        return n.op in ("lgamma", "tgamma", "ncr", "npr", "udf")
+        return n.op in ("erf", "erfc", "lgamma", "tgamma", "ncr", "npr", "udf")
 
     def operation(self, n: Typed, args: list[Column], types: list[DType]) -> Column:
         t = n.dtype

@@ -51,11 +51,16 @@ def _factors(x: pd.Series) -> pd.DataFrame:
 
 
 def _rebuilt(k: pd.Series, twos: pd.Series, turns: pd.Series) -> pd.Series:
-    out = []
-    for a, b, c in zip(k, twos, turns):
-        v = pow(5, int(a) % (1 << 62), 1 << 64) * (-1) ** (int(c) % 2)
-        out.append(str((v << min(int(b), 64)) % (1 << 64)))
-    return pd.Series(out)
+    """+-(5 ** k) * 2 ** twos modulo 2 ** 64, by squaring."""
+    exponent = np.array([int(a) % (1 << 62) for a in k], np.uint64)
+    out, power = np.ones(len(exponent), np.uint64), 5
+    for j in range(62):
+        out = np.where((exponent >> np.uint64(j)) & np.uint64(1) == 1, out * np.uint64(power), out)
+        power = power * power % (1 << 64)
+    out = np.where(turns.to_numpy(np.int64) % 2 == 1, ~out + np.uint64(1), out)
+    shift = np.minimum(twos.to_numpy(np.int64), 64).astype(np.uint64)
+    out = np.where(shift < 64, out << np.minimum(shift, np.uint64(63)), np.uint64(0))
+    return pd.Series([str(v) for v in out.tolist()])
 
 
 def _integer_product(x: Column, t: DType, out: DType) -> Column:
