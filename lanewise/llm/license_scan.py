@@ -191,7 +191,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     noticed = verified.groupBy("key").agg(
         F.array_sort(F.collect_set("label")).alias("noticed"), F.array_sort(F.collect_list(F.struct("start", "stop", "label", "matched", "share"))).alias("spans"), F.max("share").alias("best")
     )
-    out = scanned.drop("hits").join(noticed, "key", "left")
+    out = scanned.drop("hits").join(small_or_shuffled(noticed), "key", "left")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "named",
         F.coalesce("noticed", F.array().cast("array<string>")).alias("noticed"),
