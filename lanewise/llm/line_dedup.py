@@ -47,10 +47,11 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 def line_blocks(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray]]:
     """(block, number of each line in its text); its "words" are the lines with more than white space."""
     for block in W.blocks(column, LINES):
-        ink = np.concatenate([[0], np.cumsum(~_BLANK[block.buf], dtype=np.int32)])
         feeds = np.flatnonzero(block.buf == 0x0A)
         number = np.searchsorted(feeds, block.start) - np.repeat(np.searchsorted(feeds, block.text_at[:-1]), np.diff(block.word_at))
-        keep = ink[block.end] > ink[block.start]
+        keep = ~_BLANK[block.buf[block.start]]
+        for i in np.flatnonzero(~keep).tolist():
+            keep[i] = not _BLANK[block.buf[block.start[i] : block.end[i]]].all()
         text = block.text_of_word()[keep]
         block.start, block.end, block.hashes = block.start[keep], block.end[keep], block.hashes[keep]
         block.word_at = np.searchsorted(text, np.arange(len(block) + 1))
@@ -118,7 +119,8 @@ def signatures(code: np.ndarray, start: np.ndarray, end: np.ndarray, size: int)
         b = min(lines, a + _AT_ONCE)
         count = np.maximum(end[a:b] - start[a:b] - size + 1, 0)
         line = np.repeat(np.arange(b - a, dtype=np.uint32) * np.uint32(_BINS), count)
-        h = whole[B.spans_of(start[a:b], count)]
+        ends = np.cumsum(count)
+        h = whole[np.arange(len(line), dtype=np.int32) + np.repeat((start[a:b] - (ends - count)).astype(np.int32), count)]
         short = np.flatnonzero(count == 0)
         if len(short):
             each = [int(_short_runs(code[start[a + i] : end[a + i]], int(end[a + i] - start[a + i]))[0]) for i in short.tolist()]
@@ -173,7 +175,7 @@ def _bands(size: int, buckets: int):
                 names = block.hashes[first]
                 done.update(names.tolist())
                 code = np.frombuffer(block.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-                place = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
+                place = np.concatenate([np.zeros(1, np.int32), np.cumsum((block.buf & 0xC0) != 0x80, dtype=np.int32)])
                 sig = signatures(code, place[block.start[first]], place[block.end[first]], size)
                 total = band_hashes(sig)
                 e, bucket = np.zeros((len(names), BANDS), ENTRY), (total % np.uint64(buckets)).astype(np.int64)
@@ -286,9 +288,13 @@ def _verify(size: int, percent: int):
         for batch in batches:
             keep = []
             for i in range(0, batch.num_rows, 1000):
+                # a line is often in several pairs
                 part = batch.slice(i, 1000)
-                x, y = (shingle_sets(part.column(part.schema.get_field_index(c)).to_pylist(), size) for c in ("x_text", "y_text"))
-                keep += [i + row for row, (s, t) in enumerate(zip(x, y)) if _linked(s, t, percent)]
+                both = pa.concat_arrays([part.column("x_text"), part.column("y_text")])
+                _, first, at = np.unique(np.concatenate([part.column(c).to_numpy() for c in ("a", "b")]), return_index=True, return_inverse=True)
+                sets = shingle_sets(both.take(pa.array(first)).to_pylist(), size)
+                rows = part.num_rows
+                keep += [i + row for row, (x, y) in enumerate(zip(at[:rows].tolist(), at[rows:].tolist())) if _linked(sets[x], sets[y], percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -340,19 +346,18 @@ def _settle(size: int, percent: int):
     return run
 
 
-def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
+def similar_lines(docs: DataFrame, lines: int, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """(line, line2, component): both hashes of different lines that are linked by similar ones, and
-    a number for each component.
+    a number for each component. ``lines``: how many there are, to deal them by.
 
     Bands name lines by one hash. Lines that meet there are looked up with both and get numbers of
     their own, so that lines of equal first hashes stay different lines from then on.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(total / 200 * BANDS * ENTRY.itemsize / BUCKET_BYTES))
+    buckets = max(8, lines * BANDS * ENTRY.itemsize // BUCKET_BYTES)
     found = written(docs.select("text").mapInArrow(M.batches(_bands(size, buckets)), B.SCHEMA).groupBy("bucket").applyInArrow(M.group(_meet(SMALL_BAND)), "a bigint, b bigint, band bigint"))
     pairs = written(found.filter("band is null").select("a", "b").distinct())
-    met = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(found.filter("band is not null").select("a"))
-    bits = bit_map(F.col("line").bitwiseAND(SIEVE_BITS - 1), met, SIEVE_BITS)
+    # lines of large bands are in pairs too
+    bits = bit_map(F.col("line").bitwiseAND(SIEVE_BITS - 1), pairs.select(F.explode(F.array("a", "b")).alias("line")), SIEVE_BITS)
     texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string")
     texts = texts.repartition("line").sortWithinPartitions("line", "line2")
     texts = written(texts.mapInArrow(M.batches(_named), "line bigint, line2 bigint, text string, id bigint"))
@@ -363,15 +368,11 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> Da
         met = some.join(x, "a").join(y, "b").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "x_text", "y_text")
         return written(met.mapInArrow(M.batches(_verify(size, percent)), "a bigint, b bigint"))
 
-    def parts_of(rows: DataFrame, known: DataFrame, c: str) -> DataFrame:
-        named = known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        return rows.join(named, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-
     known = cut(components(verified(pairs)))
     twins = small_or_shuffled(texts.filter("id <> line").select(F.col("line").alias("a"), "id"))
     large = found.filter("band is not null").select("a", "band").join(twins, "a", "left")
-    members = parts_of(large.select(F.explode(F.when(F.col("id").isNull(), F.array("a")).otherwise(F.array("a", "id"))).alias("a"), "band"), known, "a")
-    members = cut(members.select("band", F.col("a").alias("line"), F.col("a_in").alias("label")))
+    large = large.select(F.explode(F.when(F.col("id").isNull(), F.array("a")).otherwise(F.array("a", "id"))).alias("line"), "band")
+    members = large.join(small_or_shuffled(known), F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("component", "line").alias("label"))
     several = members.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("n"))
     # similar lines often share several bands: of bands with the same lines one is enough
     several = cut(several.filter("l <> h").groupBy("lines", "n").agg(F.min("band").alias("band")).select("band"))
@@ -415,7 +416,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, percent: int = 80, columns
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("key"), rest.alias("rest"))
     occurrences = written(named.select("doc", "key", "text").mapInArrow(M.batches(_occurrences), "doc bigint, key bigint, at bigint, line bigint, line2 bigint"))
-    known = similar_lines(named, size, percent)
+    known = similar_lines(named, occurrences.count(), size, percent)
     lines = occurrences.groupBy("line", "line2").agg(F.count("*").alias("n")).join(known, ["line", "line2"], "left").filter("n > 1 or component is not null")
     # tables in between, as Spark splits a task of many equal keys only where both sides of a join come straight from shuffles
     lines = written(lines.select("line", "line2", F.coalesce("component", "line").alias("part"), F.when(F.col("component").isNull(), F.col("line2")).otherwise(0).alias("part2")))
