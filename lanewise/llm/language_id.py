@@ -90,8 +90,8 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(size, kind="stable")
     edges = np.flatnonzero(np.diff(size[order], prepend=-1)) if len(words) else []
     for a, b in zip(edges, [*edges[1:], len(words)]):
-        for i in range(a, b, 16384):
-            mine = order[i : min(b, i + 16384)]
+        for i in range(a, b, 4096):
+            mine = order[i : min(b, i + 4096)]
             n = int(size[mine[0]])
             yield mine, np.frombuffer("".join(words[k] for k in mine).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(mine), n).astype(np.uint64)
 
@@ -290,7 +290,7 @@ def _predict(pieces: list[str], p: np.ndarray, prior: np.ndarray, languages: lis
         letters[0x41:0x5B] = letters[0x61:0x7B] = True
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for block in W.blocks(batch.column("text"), W.SPACED, 4 << 20) if scorer else ():
+            for block in W.blocks(batch.column("text"), W.SPACED, 2 << 20) if scorer else ():
                 sums = np.concatenate([[0], np.cumsum(letters[block.buf])])
                 lettered = sums[block.text_at[1:]] > sums[block.text_at[:-1]]
                 for t in np.flatnonzero(~lettered).tolist():
