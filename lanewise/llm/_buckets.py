@@ -12,7 +12,9 @@ SCHEMA = "bucket bigint, part binary"
 
 def packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket that has records."""
-    order = np.argsort(bucket, kind="stable")
+    # small numbers are sorted by radix
+    few = len(bucket) and int(bucket.max()) < 1 << 16
+    order = np.argsort(bucket.astype(np.uint16) if few else bucket, kind="stable")
     bucket, records = bucket[order], records[order]
     edge = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else np.zeros(0, np.int64)
     ends = [*edge[1:].tolist(), len(bucket)]

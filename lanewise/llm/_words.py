@@ -148,7 +148,9 @@ def blocks(column: pa.Array, words: WordClass, limit: int = BLOCK_BYTES) -> Iter
         up, down = _tables(len(buf))
         sums = np.empty(len(buf) + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum(words.values[buf] * up[: len(buf)], out=sums[1:])
+        terms = words.values[buf]
+        terms *= up[: len(buf)]
+        np.cumsum(terms, out=sums[1:])
         hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
         yield Block(first, buf, text_at, start, end, np.searchsorted(start, text_at), hashes)
 
@@ -165,7 +167,9 @@ def second_hashes(block: Block, chosen: np.ndarray | None = None) -> np.ndarray:
         return mix64(total - length.astype(np.uint64))
     sums = np.empty(len(block.buf) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_OTHER_VALUES[block.buf] * up[: len(block.buf)], out=sums[1:])
+    terms = _OTHER_VALUES[block.buf]
+    terms *= up[: len(block.buf)]
+    np.cumsum(terms, out=sums[1:])
     return mix64((sums[block.end] - sums[block.start]) * down[block.start] - (block.end - block.start).astype(np.uint64))
 
 

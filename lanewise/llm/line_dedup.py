@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.llm import _memory as M
 from lanewise.llm import _buckets as B
@@ -242,25 +243,6 @@ def _wanted(bits: bytes):
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line once, of rows sorted by both hashes, with a number: the first hash, and for further lines
-    of that hash one made of both."""
-    line = other = np.zeros(1, np.int64)
-    begun = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        line, other = (np.concatenate([last[-1:], batch.column(i).to_numpy()]) for last, i in ((line, 0), (other, 1)))
-        further = line[1:] == line[:-1]
-        again = further & (other[1:] == other[:-1])
-        if not begun:
-            further[0] = again[0] = False
-            begun = True
-        name = np.where(further, W.signed(W.mix64(line[1:].view(np.uint64) + W.mix64(other[1:].view(np.uint64)))), line[1:])
-        # lines between equal ones of a hash are sorted by the other, so a third is further too
-        yield pa.record_batch([*batch.columns, pa.array(name)], names=["line", "line2", "text", "id"]).filter(pa.array(~again))
-
-
 def shingle_sets(lines: list[str], size: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each line."""
     codes = [line.encode("utf-32-le", "replace") for line in lines]
@@ -359,8 +341,10 @@ def similar_lines(docs: DataFrame, lines: int, size: int = SHINGLE, percent: int
     # lines of large bands are in pairs too
     bits = bit_map(F.col("line").bitwiseAND(SIEVE_BITS - 1), pairs.select(F.explode(F.array("a", "b")).alias("line")), SIEVE_BITS)
     texts = docs.select("text").mapInArrow(M.batches(_wanted(np.packbits(bits).tobytes())), "line bigint, line2 bigint, text string")
-    texts = texts.repartition("line").sortWithinPartitions("line", "line2")
-    texts = written(texts.mapInArrow(M.batches(_named), "line bigint, line2 bigint, text string, id bigint"))
+    # one shuffle and one sort serve both: each line once, and numbers, which are the first hash, or of both for a further line of it
+    texts = texts.repartition("line").sortWithinPartitions("line", "line2").dropDuplicates(["line", "line2"])
+    further = F.lag("line2").over(Window.partitionBy("line").orderBy("line2")).isNotNull()
+    texts = written(texts.withColumn("id", F.when(further, F.xxhash64("line", "line2")).otherwise(F.col("line"))))
 
     def verified(some: DataFrame) -> DataFrame:
         # lines of one first hash stand wherever it does
