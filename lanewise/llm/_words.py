@@ -142,17 +142,21 @@ def word_spans(buf: np.ndarray, text_at: np.ndarray, is_word: np.ndarray) -> tup
     return start, end
 
 
+def span_hashes(words: WordClass, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    up, down = _tables(len(buf))
+    sums = np.empty(len(buf) + 1, dtype=np.uint64)
+    sums[0] = 0
+    terms = words.values[buf]
+    terms *= up[: len(buf)]
+    np.cumsum(terms, out=sums[1:])
+    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def blocks(column: pa.Array, words: WordClass, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     for first, buf, text_at in text_groups(column, limit):
         start, end = word_spans(buf, text_at, words.is_word)
-        up, down = _tables(len(buf))
-        sums = np.empty(len(buf) + 1, dtype=np.uint64)
-        sums[0] = 0
-        terms = words.values[buf]
-        terms *= up[: len(buf)]
-        np.cumsum(terms, out=sums[1:])
-        hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        yield Block(first, buf, text_at, start, end, np.searchsorted(start, text_at), hashes)
+        yield Block(first, buf, text_at, start, end, np.searchsorted(start, text_at), span_hashes(words, buf, start, end))
 
 
 def second_hashes(block: Block, chosen: np.ndarray | None = None) -> np.ndarray:

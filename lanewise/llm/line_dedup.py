@@ -47,16 +47,19 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 def line_blocks(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray]]:
     """(block, number of each line in its text); its "words" are the lines with more than white space."""
-    for block in W.blocks(column, LINES):
-        feeds = np.flatnonzero(block.buf == 0x0A)
-        number = np.searchsorted(feeds, block.start) - np.repeat(np.searchsorted(feeds, block.text_at[:-1]), np.diff(block.word_at))
-        keep = ~_BLANK[block.buf[block.start]]
-        for i in np.flatnonzero(~keep).tolist():
-            keep[i] = not _BLANK[block.buf[block.start[i] : block.end[i]]].all()
-        text = block.text_of_word()[keep]
-        block.start, block.end, block.hashes = block.start[keep], block.end[keep], block.hashes[keep]
-        block.word_at = np.searchsorted(text, np.arange(len(block) + 1))
-        yield block, number[keep]
+    for first, buf, text_at in W.text_groups(column):
+        feeds = np.flatnonzero(buf == 0x0A)
+        lines = np.diff(np.searchsorted(feeds, text_at)) + 1
+        # a text's last line ends with it, the others at a feed, and so in order
+        start, end = np.sort(np.concatenate([text_at[:-1], feeds + 1])), np.sort(np.concatenate([feeds, text_at[1:]]))
+        number = np.arange(len(start)) - np.repeat(np.cumsum(lines) - lines, lines)
+        keep = end > start
+        keep[keep] = ~_BLANK[buf[start[keep]]]
+        for i in np.flatnonzero(~keep & (end > start)).tolist():
+            keep[i] = not _BLANK[buf[start[i] : end[i]]].all()
+        text = np.repeat(np.arange(len(lines)), lines)[keep]
+        start, end = start[keep], end[keep]
+        yield W.Block(first, buf, text_at, start, end, np.searchsorted(text, np.arange(len(lines) + 1)), W.span_hashes(LINES, buf, start, end)), number[keep]
 
 
 _CODES = W.mix64(np.arange(1, 65537, dtype=np.uint64))
