@@ -168,7 +168,7 @@ def _types(spark: SparkSession) -> list[tuple]:
 
 listed("types_and_sizes", "subject string, dtype string, itemsize bigint", _types, [(k, t or "text", n) for k, (t, n) in _TYPED.items()])
 listed("explained", "place bigint, node string", lambda spark: list(enumerate(compile("a * 2 + 1 > b", {"a": "int32", "b": "float64"}).explain().splitlines())), [(0, "gt: bool"), (1, "  cast: float64"), (2, "    add: int32"), (3, "      mul: int32"), (4, "        var a: int32"), (5, "        2: int32"), (6, "      1: int32"), (7, "  var b: float64")])
-listed("options_and_version", "subject string, outcome string", lambda spark: [("version", "three numbers" if len(version().split(".")) == 3 else version()), ("options", str(compile("x + 1", {"x": "int32"}, simd="off", accuracy="1ulp", jit="cc").dtype))], [("version", "three numbers"), ("options", "int32")])
+listed("accepted_options", "subject string, outcome string", lambda spark: [("version", "three numbers" if len(version().split(".")) == 3 else version()), ("options", str(compile("x + 1", {"x": "int32"}, simd="off", accuracy="1ulp", jit="cc").dtype))], [("version", "three numbers"), ("options", "int32")])
 
 
 def _varlen_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
