@@ -191,6 +191,10 @@ def compile_kernel(text: str, names: dict[str, DType], out: DType, udfs: dict[st
         widths = [r.dtype.width for r in compiler.returns]
         first = first.wide(None if None in widths else max(widths))
     result = out if out.is_number else first
+    if result.is_whole and all(r.whole for r in compiler.returns):
+        for s in (s for step in steps for s in step.walk() if s.kind == "return"):
+            s.trees = [s.trees[0].whole]
+        first = D.INT64
     return Kernel(text, program.name, names, compiler.locals, steps, first, result, udfs, compiler.used)
 
 

@@ -288,3 +288,17 @@ def test_result_does_not_depend_on_partitions(spark):
     df = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") * 0.1).alias("a"), ((n - F.col("id")) * 0.05).alias("b"))
     one, many = (evaluate(df.repartition(k), "sqrt(a*a + b*b) - min(a)").agg(F.sum("result"), F.max("result")).first() for k in (1, 16))
     assert one[0] == pytest.approx(many[0], rel=1e-12) and one[1] == many[1]
+
+
+def test_integers_that_meet_in_doubles_wrap_in_an_integer_output(spark):
+    """A literal of an unsigned output is unsigned, and meets int64 in float64 only."""
+    keys = np.array([0, 21845, 21846, -1, 899_999, 2**61 + 5, -(2**63)], np.int64)
+    df = frame(spark, k=keys, u=np.array([1, 2, 3, 4, 255, 6, 7], np.uint8))
+    k, u = keys.tolist(), [1, 2, 3, 4, 255, 6, 7]
+    for text, kind, want in [
+        ("k * 3", "uint16", [x * 3 for x in k]), ("-(k + 7) * u", "uint8", [-(x + 7) * y for x, y in zip(k, u)]), ("where(u > 2, k, u) - 1", "uint32", [(x if y > 2 else y) - 1 for x, y in zip(k, u)]),
+        ("k ** 2", "uint16", [x * x for x in k]), ("def f(k):\n    return k * 3\n", "uint16", [x * 3 for x in k]), ("def f(k):\n    n = 0\n    while n < 2:\n        n += 1\n    return k * 3\n", "uint16", [x * 3 for x in k]),
+    ]:
+        assert values(df, text, kind) == [x % (1 << int(kind[4:])) for x in want], text
+    assert values(df, "k * 3.0", "uint16") == [0, 65535, 65535, 0, 65535, 65535, 0]
+    assert compile("k * 3", {"k": "int64"}, "float64").tree.op == "mul" and compile("k + u", {"k": "int64", "u": "uint8"}).dtype == D.FLOAT64
