@@ -37,7 +37,7 @@ STEP = INSIDE // 2
 #: Logits are counted in slots of 1 / SLOTS, from -EDGE to EDGE.
 SLOTS, EDGE = 64, 40
 #: Bytes of text that are scored at once.
-GROUP_BYTES = 1 << 15
+GROUP_BYTES = 1 << 16
 
 _MADE = np.zeros(256, bool)
 _MADE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
@@ -76,12 +76,15 @@ class Found:
 
 def _found(buf: np.ndarray, text_at: np.ndarray) -> Found:
     texts = len(text_at) - 1
-    whole = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    lead = (buf & 0xC0) != 0x80
+    whole = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(lead, out=whole[1:])
     gap = BEFORE * np.arange(1, texts + 1)
     zero = whole[text_at[:-1]] + gap
-    lead = np.flatnonzero((buf & 0xC0) != 0x80)
     x = np.zeros(int(whole[-1]) + BEFORE * (texts + 1), np.uint8)
-    x[np.arange(len(lead)) + np.repeat(gap, np.diff(whole[text_at]))] = np.minimum(buf[lead], 127)
+    inside = np.ones(len(x), bool)
+    inside[np.append(zero, len(x))[:, None] - np.arange(1, BEFORE + 1)] = False
+    x[inside] = np.minimum(buf, 127)[lead]
     start, end = W.word_spans(buf, text_at, _MADE)
     signs = np.append(np.flatnonzero(buf == 0x3D), len(buf))
     sign = signs[np.searchsorted(signs, start)]
@@ -91,10 +94,9 @@ def _found(buf: np.ndarray, text_at: np.ndarray) -> Found:
     start, end = start[long], end[long]
     text = np.searchsorted(text_at, start, side="right") - 1
     start, end = whole[start] + gap[text], whole[end] + gap[text]
-    label, base = np.zeros(len(start), np.int64), {}
-    for t in _suspects(buf, text_at).tolist():
-        base[t] = base_spans(buf[text_at[t] : text_at[t + 1]].tobytes().decode("utf-8", "replace"))
-        for _, a, b in base[t]:
+    label, base = np.zeros(len(start), np.int64), _bases(buf, text_at)
+    for t, spans in base.items():
+        for _, a, b in spans:
             met = np.arange(np.searchsorted(end, zero[t] + a, side="right"), np.searchsorted(start, zero[t] + b))
             label[met] = np.where((end[met] >= zero[t] + b) | (label[met] == 1), 1, 2)
     count = np.maximum(1, -(-(end - start - INSIDE) // STEP) + 1)
@@ -125,8 +127,11 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 def _suspects(buf: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     """Texts that can hold a match of a pattern; the others hold none."""
-    start, end = W.word_spans(buf, text_at, _HEX)
-    at = [start[end - start >= 24]]
+    runs, long = [_HEX[buf]], 1  # places from which 1, 2, 4, 8, 16 digits follow, and 24
+    while long < 16:
+        runs.append(runs[-1][:-long] & runs[-1][long:])
+        long *= 2
+    at = [np.flatnonzero(runs[4][:-8] & runs[3][16:])]
     raw = buf.tobytes()
     low = raw.lower()
     for data, mark in [(raw, b"AKIA"), *((low, m) for m in MARKS)]:
@@ -138,6 +143,11 @@ def _suspects(buf: np.ndarray, text_at: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(text_at, np.concatenate(at), side="right") - 1)
 
 
+def _bases(buf: np.ndarray, text_at: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
+    """Base spans by text; texts without any may be missing."""
+    return {t: base_spans(buf[text_at[t] : text_at[t + 1]].tobytes().decode("utf-8", "replace")) for t in _suspects(buf, text_at).tolist()}
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -146,19 +156,20 @@ def _sample(findings: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[dict[int, str]] = [{}, {}]
+        largest = [np.uint64(2**64 - 1)] * 2  # no greater hash can be among the smallest
         for batch in batches:
-            for _, buf, text_at in W.text_groups(batch.column("text")):
+            for _, buf, text_at in W.text_groups(batch.column("text"), 2 * GROUP_BYTES):
                 f = _found(buf, text_at)
+                known = f.label[f.of] == 1
                 for y in (0, 1):
-                    rows = np.flatnonzero((f.label[f.of] == 1) == y)
+                    rows = np.flatnonzero((known == y) & (f.hash <= largest[y]))
                     h, at = np.unique(f.hash[rows], return_index=True)
-                    if len(best[y]) >= findings:
-                        near = h <= np.uint64(max(best[y]))
-                        h, at = h[near], at[near]
                     for k, i in zip(h[:findings].tolist(), rows[at[:findings]].tolist()):
                         if k not in best[y]:
                             best[y][k] = f.window(i)
-                    best[y] = {k: best[y][k] for k in sorted(best[y])[:findings]}
+                    if len(best[y]) > findings:
+                        best[y] = {k: best[y][k] for k in sorted(best[y])[:findings]}
+                        largest[y] = np.uint64(max(best[y]))
         rows = [(y, k, w) for y in (0, 1) for k, w in best[y].items()]
         y, k, w = zip(*rows) if rows else ((), (), ())
         yield pa.record_batch([pa.array(y, pa.int32()), pa.array(W.signed(np.array(k, np.uint64)), pa.int64()), pa.array(w, pa.string())], names=["label", "h", "window"])
@@ -173,6 +184,8 @@ class CharNet:
     count, so that the values of a place are the same in all windows."""
 
     SYMBOLS, WIDTH, DIM, FILTERS = 128, 5, 12, 24
+    #: Places that are convolved at once.
+    PLACES = 1 << 13
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -184,12 +197,14 @@ class CharNet:
             "out_bias": np.zeros(1),
         }
         self.scale, self.shift, self.least = 1.0, 0.0, 0.0
+        self.looked_up: list[np.ndarray] | None = None
+        self.room: np.ndarray | None = None
 
     @staticmethod
     def codes(windows: list[str]) -> np.ndarray:
         """Code points below 127 as they are, all others as 127."""
-        x = np.array([[min(ord(c), 127) for c in w] for w in windows], np.int64)
-        return x.reshape(len(windows), WINDOW)
+        x = np.array(windows, f"<U{WINDOW}").view(np.uint32).reshape(len(windows), WINDOW)
+        return np.minimum(x, 127).astype(np.int64)
 
     def _forward(self, x: np.ndarray):
         e = self.p["embed"][x]
@@ -208,50 +223,84 @@ class CharNet:
         pooled = np.concatenate(parts, axis=1)
         return wide, z, (tops, counts), pooled, pooled @ self.p["out"] + self.p["out_bias"]
 
+    def tables(self) -> list[np.ndarray]:
+        """What two, two and one symbols in a row add to the filters of a place (and the bias), so that
+        a place takes three rows; padding adds what no sum makes positive."""
+        if self.looked_up is None:
+            one = [self.p["embed"] @ self.p["conv"][j * self.DIM : (j + 1) * self.DIM] for j in range(self.WIDTH)]
+            one[-1] = one[-1] + self.p["bias"]
+            for t in one:
+                t[0] = -1e30
+            pair = lambda t, u: (t[:, None] + u[None]).reshape(-1, self.FILTERS)
+            self.looked_up = [t.astype(np.float32) for t in (pair(*one[:2]), pair(*one[2:4]), one[4])]
+        return self.looked_up
+
     def scores(self, f: Found, rows: np.ndarray) -> np.ndarray:
-        """Of some windows what candidate and surroundings add to the logit. Each place of the texts is
-        convolved once; largest values of 2, 4, 8 ... places in a row give those of any number."""
-        k, n, w = self.FILTERS, len(f.x) - self.WIDTH + 1, self.WIDTH
-        p = {name: a.astype(np.float32) for name, a in self.p.items()}
-        each = p["embed"][f.x].reshape(-1)
-        a = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(each, w * self.DIM)[:: self.DIM]) @ p["conv"]
-        a += p["bias"]
-        np.maximum(a, 0, out=a)
-        shown = np.concatenate([[0], np.cumsum(f.x > 0)])
-        held = shown[w:] - shown[:-w] == w
-        a[~held] = 0
-        sums = np.zeros((n + 1, 2))
-        np.cumsum(a @ np.stack([p["out"][k : 2 * k], p["out"][3 * k :]], axis=1), axis=0, dtype=float, out=sums[1:])
-        count = np.concatenate([[0], np.cumsum(held)])
-        first, last = f.first[rows], f.last[rows]
-        length = last - first - w + 1
-        power = np.frexp(np.maximum(length, 1))[1] - 1
-        tops = [a]
-        for _ in range(max(4, power.max(initial=0))):
-            step = 1 << (len(tops) - 1)
-            tops.append(np.maximum(tops[-1][:-step], tops[-1][step:]))
+        """Of some windows, in order, what candidate and surroundings add to the logit. Each place of the
+        texts is convolved once, PLACES at a time, as caches hold those."""
+        first, last, at = f.first[rows], f.last[rows], 0
         out = np.zeros((2, len(rows)))
-        for e in np.unique(power).tolist():
-            mine = np.flatnonzero(power == e)
-            at = first[mine]
-            out[0, mine] = np.maximum(tops[e][at], tops[e][at + length[mine] - (1 << e)]) @ p["out"][:k]
-        ahead, after = BEFORE - w + 1, AFTER - w + 1
-        before = np.maximum(tops[4][first - BEFORE], tops[4][first - BEFORE + ahead - 16])
-        out[1] = np.maximum(before, tops[3][last + after - 8]) @ p["out"][2 * k : 3 * k]
-        spread = lambda v, x, y: v[y] - v[x]
-        out[0] += spread(sums[:, 0], first, first + length) / np.maximum(spread(count, first, first + length), 1) + self.p["out_bias"]
-        total, of = (spread(v, first - BEFORE, first - BEFORE + ahead) + spread(v, last, last + after) for v in (sums[:, 1], count))
-        out[1] += total / np.maximum(of, 1)
+        while at < len(rows):
+            upto = int(np.searchsorted(first, first[at] + self.PLACES))
+            low, high = int(first[at]) - BEFORE, int(last[upto - 1]) + AFTER
+            out[:, at:upto] = self._scores(f.x[low:high], first[at:upto] - low, last[at:upto] - low)
+            at = upto
         return out
 
-    def around(self, windows: list[str]) -> np.ndarray:
-        """What the surroundings of windows add to the logit."""
+    def _scores(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Largest values of 2, 4, 8 ... places in a row give those of any number."""
+        k, n, w = self.FILTERS, len(x) - self.WIDTH + 1, self.WIDTH
+        out = self.p["out"].astype(np.float32)
+        two, next_two, one = self.tables()
+        shown = x > 0
+        held = shown[:n].copy()
+        for j in range(1, w):
+            held &= shown[j : n + j]
+        x = x.astype(np.intp)
+        pairs = x[:-1] * self.SYMBOLS + x[1:]
+        length = last - first - w + 1
+        power = np.frexp(length)[1] - 1
+        levels = max(4, power.max(initial=0)) + 1
+        if self.room is None or len(self.room) < (levels + 1) * n:
+            self.room = np.zeros(((levels + 1) * n, k), np.float32)
+        tops = self.room[: levels * n].reshape(levels, n, k)
+        a, nothing = tops[0], self.room[levels * n : (levels + 1) * n]
+        # clipping changes nothing, and lets take write to a in place
+        two.take(pairs[:n], axis=0, out=a, mode="clip")
+        a += next_two.take(pairs[2 : n + 2], axis=0)
+        a += one.take(x[4:], axis=0)
+        nothing[:] = 0
+        np.maximum(a, nothing, out=a)  # of two arrays, as that is vectorised
+        for e in range(1, levels):
+            step, size = 1 << (e - 1), max(0, n + 1 - (1 << e))
+            np.maximum(tops[e - 1, :size], tops[e - 1, step : size + step], out=tops[e, :size])
+        top = lambda e, at: self.room.take(e * n + at, axis=0)
+        sums = np.zeros((2, n + 1))
+        for total, part in zip(sums, (out[k : 2 * k], out[3 * k :])):
+            np.cumsum(a @ part, dtype=float, out=total[1:])
+        count = np.zeros(n + 1, np.int64)
+        np.cumsum(held, out=count[1:])
+        spread = lambda v, x, y: v[y] - v[x]
+        ahead, after = BEFORE - w + 1, AFTER - w + 1
+        # no place of a candidate holds padding
+        inner = np.maximum(top(power, first), top(power, first + length - (1 << power))) @ out[:k]
+        inner = inner + spread(sums[0], first, first + length) / length + self.p["out_bias"]
+        before = np.maximum(top(4, first - BEFORE), top(4, first - BEFORE + ahead - 16))
+        outer = np.maximum(before, top(3, last + after - 8)) @ out[2 * k : 3 * k]
+        total, of = (spread(v, first - BEFORE, first - BEFORE + ahead) + spread(v, last, last + after) for v in (sums[1], count))
+        return np.stack([inner, outer + total / np.maximum(of, 1)])
+
+    def both(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of windows, and what their surroundings add to these."""
         x, half = self.codes(windows), 2 * self.FILTERS
-        return np.concatenate([self._forward(x[i : i + 512])[-2][:, half:] @ self.p["out"][half:] for i in range(0, len(x), 512)])
+        some = [self._forward(x[i : i + 512])[-2:] for i in range(0, len(x), 512)] or [(np.zeros((0, 2 * half)), np.zeros(0))]
+        return np.concatenate([z for _, z in some]), np.concatenate([pooled[:, half:] @ self.p["out"][half:] for pooled, _ in some])
+
+    def around(self, windows: list[str]) -> np.ndarray:
+        return self.both(windows)[1]
 
     def logits(self, windows: list[str]) -> np.ndarray:
-        x = self.codes(windows)
-        return np.concatenate([self._forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)] or [np.zeros(0)])
+        return self.both(windows)[0]
 
     def probability(self, windows: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(windows) + self.shift, -60, 60)))
@@ -279,9 +328,9 @@ class CharNet:
                 g["conv"] = wide.reshape(-1, wide.shape[2]).T @ dz.reshape(-1, self.FILTERS)
                 g["bias"] = dz.sum((0, 1))
                 dw = dz @ self.p["conv"].T
-                g["embed"] = np.zeros_like(self.p["embed"])
-                for j in range(self.WIDTH):
-                    np.add.at(g["embed"], x[rows][:, j : j + z.shape[1]], dw[:, :, j * self.DIM : (j + 1) * self.DIM])
+                cell = np.concatenate([x[rows][:, j : j + z.shape[1]].ravel() for j in range(self.WIDTH)])[:, None] * self.DIM + np.arange(self.DIM)
+                slopes = np.concatenate([dw[:, :, j * self.DIM : (j + 1) * self.DIM].reshape(-1, self.DIM) for j in range(self.WIDTH)])
+                g["embed"] = np.bincount(cell.ravel(), slopes.ravel(), self.SYMBOLS * self.DIM).reshape(self.SYMBOLS, self.DIM)
                 step += 1
                 for k, a in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * a
@@ -354,8 +403,8 @@ def _logits(nets: list[CharNet], f: Found) -> tuple[np.ndarray, np.ndarray, np.n
     other = np.flatnonzero(which)
     if len(other):
         windows, net = [f.window(i) for i in other.tolist()], nets[1]
-        out[other] = net.logits(windows)
-        moved[other] = out[other] - net.around(windows) + net.elsewhere[(place[other] % np.uint64(len(net.elsewhere))).astype(np.int64)]
+        out[other], around = net.both(windows)
+        moved[other] = out[other] - around + net.elsewhere[(place[other] % np.uint64(len(net.elsewhere))).astype(np.int64)]
     return which, out, moved
 
 
@@ -381,8 +430,10 @@ def _score(nets: list[CharNet] | None, floors: list[float], id_type: pa.DataType
             near: list[list[dict]] = [[] for _ in range(rows)]
             top = np.full((2, rows), -np.inf)
             for row, buf, text_at in W.text_groups(batch.column("text"), GROUP_BYTES):
-                f = _found(buf, text_at)
+                found = None if nets else _bases(buf, text_at)
                 if nets:
+                    f = _found(buf, text_at)
+                    found = f.base
                     net, z, moved = _logits(nets, f)
                     label = (f.label[f.of] == 1).astype(np.int64)
                     for kind, some, logit in ((label, label >= 0, z), (2, label == 1, moved)):
@@ -392,7 +443,7 @@ def _score(nets: list[CharNet] | None, floors: list[float], id_type: pa.DataType
                         c = int(f.of[i])
                         t = int(f.text[c])
                         near[row + t].append({"start": int(f.start[c] - f.zero[t]), "end": int(f.end[c] - f.zero[t]), "z": float(z[i]), "net": int(net[i])})
-                for t, spans in f.base.items():
+                for t, spans in found.items():
                     base[row + t] = [{"kind": k, "start": a, "end": b} for k, a, b in spans]
             nothing = pa.nulls(rows, pa.int64())
             yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(near, near_type), pa.array(top[0]), pa.array(top[1]), nothing, nothing], names=names)
@@ -403,7 +454,7 @@ def _score(nets: list[CharNet] | None, floors: list[float], id_type: pa.DataType
     return run
 
 
-def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
+def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, columns: tuple[str, str] = ("doc_id", "text"), network: bool = True) -> DataFrame:
     """For each row of docs: doc_id, base and added (arrays of kind, start, end; code points, end
     exclusive, by start), score (1 with a base span, else the highest probability of a candidate).
 
@@ -421,19 +472,23 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
 
     Null text counts as empty. Rows alike are judged alike. Without findings of both labels in both
     halves nothing is added. An empty table gives an empty result. Other columns are ignored.
+    With ``network`` false nothing is added either: base is the same, and no network is trained or run.
     """
     doc_id, text = columns
     kind = docs.schema[doc_id].dataType
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = cut(texts.select("text").mapInArrow(M.batches(_sample(findings)), "label int, h bigint, window string").distinct())
-    # as unsigned: those without the sign bit come first
-    order = [F.col("h") < 0, F.col("h"), F.col("window")]
-    known = pd.concat([sample.filter(F.col("label") == y).orderBy(*order).limit(findings).toPandas() for y in (0, 1)], ignore_index=True)
-    nets = train_both(known)
+    nets = None
+    if network:
+        sample = cut(texts.select("text").mapInArrow(M.batches(_sample(findings)), "label int, h bigint, window string").distinct())
+        # as unsigned: those without the sign bit come first
+        order = [F.col("h") < 0, F.col("h"), F.col("window")]
+        known = pd.concat([sample.filter(F.col("label") == y).orderBy(*order).limit(findings).toPandas() for y in (0, 1)], ignore_index=True)
+        nets = train_both(known)
     floors = [guess(net, known[(known.h.to_numpy().astype(np.int64) & 1) == 1 - f], recall) for f, net in enumerate(nets)] if nets else [0.0, 0.0]
     schema = f"doc_id {kind.simpleString()}, base {span}, near array<struct<start:bigint,end:bigint,z:double,net:int>>, top double, other double, slot bigint, n bigint"
-    scored = cut(texts.mapInArrow(M.batches(_score(nets, floors, to_arrow_type(kind))), schema))
+    scored = texts.mapInArrow(M.batches(_score(nets, floors, to_arrow_type(kind))), schema)
+    scored = cut(scored) if nets else scored
     rows = scored.filter("slot is null")
     if not nets:
         return rows.select("doc_id", "base", F.array().cast(span).alias("added"), F.when(F.size("base") > 0, 1.0).otherwise(0.0).alias("score"))
@@ -454,9 +509,8 @@ def scan_secrets(docs: DataFrame, recall: float = 0.95, findings: int = 4000, co
 
 def guess(net: CharNet, findings: pd.DataFrame, recall: float) -> float:
     """A logit below the threshold to expect, from findings that the network has not learned."""
-    z = net.logits(findings[findings.label == 1].window.tolist())
-    inner = z - net.around(findings[findings.label == 1].window.tolist())
-    z = np.concatenate([z, inner + np.median(net.elsewhere)])
+    z, around = net.both(findings[findings.label == 1].window.tolist())
+    z = np.concatenate([z, z - around + np.median(net.elsewhere)])
     return float(np.quantile(z, 1 - recall)) - 2.0
 
 
