@@ -24,6 +24,9 @@ BUCKET_BYTES, SMALL_TILE = 16 << 20, 16
 PART, BLOCK, BLOCK_SHINGLES = 1 << 18, 4096, 1 << 22
 #: Places for each shingle, at least, of the signatures that such a task compares.
 WIDE = 2
+#: Shingles for each place, at most, of the signatures that sieve pairs of sets before: two unlike sets
+#: differ in half of the places, and so in more than sets that link may.
+BRIEF = 3
 #: Pairs that a task looks at in one step.
 STEP = 1 << 18
 #: Bits of the map that documents are sieved with before their texts move; a fixed size.
@@ -78,6 +81,12 @@ def signature(s: np.ndarray, wide: int = 1) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def brief(bits: bytes, n: int) -> bytes:
+    """The signature of a set of n, folded to a place for BRIEF shingles at least."""
+    words = 1 << max(0, (-(-n // BRIEF) - 1).bit_length() - 6)
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<u8").reshape(-1, words), axis=0).tobytes()
+
+
 def bits_apart(x: bytes, y: bytes) -> int:
     """Bits by which two signatures differ, the longer folded to the length of the shorter."""
     a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -123,6 +132,16 @@ def _describe(gram: int):
     return run
 
 
+def _bits_from(s: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """For each token of a prefix the parity bits, in 128 places, of the set without the tokens before it."""
+    odd = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    bits = np.zeros((len(prefix), 2), np.uint64)
+    place = (prefix[:-1] & np.uint64(127)).astype(np.int64)
+    bits[np.arange(1, len(prefix)), place >> 6] = np.uint64(1) << (place & 63).astype(np.uint64)
+    bits[0] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    return np.bitwise_xor.accumulate(bits, axis=0)
+
+
 def _entries(shape: Shape, ranks: np.ndarray, parts: np.ndarray, buckets: int):
     """Tile entries of the prefix of each set: its rarest shingles, as many as cannot all be missed.
     The tile of a shingle of rank r is dealt over parts[r] parts."""
@@ -145,10 +164,9 @@ def _entries(shape: Shape, ranks: np.ndarray, parts: np.ndarray, buckets: int):
                         prefix, rank = s[first], rank[first]
                     else:
                         prefix, rank = s[:keep], rank[:keep]
-                    odd = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
                     e = np.zeros(keep, ENTRY)
                     e["token"], e["set"], e["n"], e["at"] = prefix, name, n, np.arange(keep)
-                    e["bits"], e["parts"] = np.packbits(odd.astype(np.uint8)).view("<u8"), parts[rank]
+                    e["bits"], e["parts"] = _bits_from(s, prefix), parts[rank]
                     # a common shingle's tile is dealt out by bands; each set also visits the band below
                     e["home"] = 1
                     usual = rank > 0
@@ -170,12 +188,13 @@ def _entries(shape: Shape, ranks: np.ndarray, parts: np.ndarray, buckets: int):
 def _may_link(shape: Shape, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """False only where sizes, places or signatures prove that two sets don't link, or that they share
     an earlier token, in whose tile they meet: of the first token that they share, all before it in
-    either set are shingles that the other has not."""
-    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    either set are shingles that the other has not, and from it on they differ in as many at least as
+    their sizes and signatures from there on do."""
+    n, m, i, j = (v.astype(np.int64) for v in (x["n"], y["n"], x["at"], y["at"]))
     most = n + m - 2 * shape.overlap(n, m)
-    ok = (x["at"].astype(np.int64) + y["at"] <= most) & (np.abs(n - m) <= most)
-    apart = np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=-1)
-    return ok & (apart <= most) & (x["set"] != y["set"]) & ((x["home"] | y["home"]) == 1)
+    apart = np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=-1).astype(np.int64)
+    ok = i + j + np.maximum(apart, np.abs((n - i) - (m - j))) <= most
+    return ok & (x["set"] != y["set"]) & ((x["home"] | y["home"]) == 1)
 
 
 def _tile(e: np.ndarray) -> np.ndarray:
@@ -215,8 +234,8 @@ def _all_pairs(shape: Shape, e: np.ndarray, start: np.ndarray, end: np.ndarray)
 
 def _tiles(shape: Shape, most: int):
     """Pairs of tiles of up to ``most`` sets; of each large tile, or part of one, a pair for each set with the first
-    that it may link to, and the tile itself (sets, sizes and entries), for the sets that stay apart
-    after that."""
+    that it may link to, and of the tile itself the sets that may link to others too (with sizes and
+    entries), for those that stay apart after that. A part, or a tile too large to look at here, goes on whole."""
 
     def run(table: pa.Table) -> pa.Table:
         e = B.unpacked(table["part"], ENTRY)
@@ -232,18 +251,26 @@ def _tiles(shape: Shape, most: int):
         small = (size > 1) & ~large
         a, b = _all_pairs(shape, e, start[small], end[small])
         firsts, seconds = [a], [b]
+        stay = [np.zeros(0, np.int64)]
         for s, t in zip(start[large].tolist(), end[large].tolist()):
             tile = e[s:t]
-            leads = tile[np.argsort(tile["set"])[:most]]
-            open_ = np.arange(len(tile))
-            for lead in leads:
+            open_, led = np.arange(len(tile)), np.full(len(tile), -1)
+            for place in np.argsort(tile["set"])[:most].tolist():
+                lead = tile[place]
                 ok = _may_link(shape, tile[open_], np.broadcast_to(lead, open_.shape))
                 firsts.append(tile["set"][open_[ok]])
                 seconds.append(np.full(ok.sum(), lead["set"]))
+                led[open_[ok]] = place
                 open_ = open_[~ok]
+            more = np.full(len(tile), len(tile) > BLOCK or tile["parts"][0] > 1)
+            if not more[0]:
+                for left, right in _reaches(shape, tile, np.array([0]), np.array([len(tile)])):
+                    ok = _may_link(shape, tile[left], tile[right]) & (led[left] != right) & (led[right] != left)
+                    more[left[ok]] = more[right[ok]] = True
+            stay.append(s + np.flatnonzero(more))
         found = _pairs(np.concatenate(firsts), np.concatenate(seconds))
         found = found.append_column("tile", pa.nulls(len(found), pa.int64())).append_column("entry", pa.nulls(len(found), pa.binary()))
-        members = e[B.spans_of(start[large], size[large])]
+        members = e[np.concatenate(stay)]
         tile = _tile(members).view(np.int64)
         entries = pa.array([x.tobytes() for x in members], pa.binary())
         return pa.concat_tables([found, pa.table([pa.array(members["set"].view(np.int64)), pa.array(members["n"].astype(np.int64)), pa.array(tile), entries], names=found.column_names)])
@@ -273,14 +300,18 @@ def _by_size(members: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _alive(shape: Shape):
-    """The sets of a tile (or of two blocks of it) that may link to one of another component."""
+    """The sets of a tile (or of two blocks of it) that may link to one of another component, by brief
+    signatures too."""
 
     def run(members: pa.Table) -> pa.Table:
         e, label, side, order, apart = _by_size(members)
-        alive = np.zeros(len(e), bool)
+        marks = members["bits"].to_pylist()
+        alive, short = np.zeros(len(e), bool), Wide([marks[i] for i in order.tolist()])
         for left, right in _open_pairs(shape, e, label, side, apart):
-            alive[left] = alive[right] = True
-        return members.take(pa.array(order[alive]))
+            n, m = e["n"][left].astype(np.int64), e["n"][right].astype(np.int64)
+            ok = short.apart(left, right) <= n + m - 2 * shape.overlap(n, m)
+            alive[left[ok]] = alive[right[ok]] = True
+        return members.drop_columns(["bits"]).take(pa.array(order[alive]))
 
     return run
 
@@ -412,24 +443,48 @@ def _close(shape: Shape):
             n, m = batch.column("x_n").to_numpy(), batch.column("y_n").to_numpy()
             most = n + m - 2 * shape.overlap(n, m)
             apart = [bits_apart(x, y) for x, y in zip(batch.column("x_bits").to_pylist(), batch.column("y_bits").to_pylist())]
-            yield batch.select(["x", "y"]).filter(pa.array(np.array(apart, np.int64) <= most))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(np.array(apart, np.int64) <= most))
 
     return run
 
 
-def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
-    """(x, y), x > y: representatives of pairs of sets whose whole signatures allow a link."""
+def _briefs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [brief(bits, n) for bits, n in zip(batch.column("bits").to_pylist(), batch.column("n").to_pylist())]
+        yield batch.drop_columns(["bits"]).append_column("bits", pa.array(marks, pa.binary()))
+
+
+def _brief(sets: DataFrame) -> DataFrame:
+    """Sets (set, doc_id, n) with brief signatures (bits)."""
+    return sets.filter("doc_id is not null").select("set", "doc_id", "n", "bits").mapInArrow(M.batches(_briefs), "set bigint, doc_id bigint, n bigint, bits binary")
+
+
+def _near(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b, x, y): pairs of sets whose signatures in ``sets`` allow a link, and their representatives."""
     first, second = (sets.select(F.col("set").alias(a), F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for a, x in (("a", "x"), ("b", "y")))
-    met = pairs.distinct().join(first, "a").join(second, "b").filter("x <> y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits")
-    close = met.mapInArrow(M.batches(_close(shape)), "x bigint, y bigint")
+    met = pairs.join(first, "a").join(second, "b").filter("x <> y").select("a", "b", "x", "y", "x_n", "y_n", "x_bits", "y_bits")
+    return met.mapInArrow(M.batches(_close(shape)), "a bigint, b bigint, x bigint, y bigint")
+
+
+def _candidates(sets: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
+    """(x, y), x > y: representatives of pairs of sets whose whole signatures allow a link. Those that
+    brief ones rule out go no further, so whole ones move for few sets."""
+    near = cut(_near(_brief(sets), pairs.distinct(), shape))
+    whole = _rows_of(sets.select("set", "doc_id", "n", "bits"), "set", near.select(F.col("a").alias("set")).union(near.select("b")), "set bigint, doc_id bigint, n bigint, bits binary")
+    close = _near(whole, near.select("a", "b").distinct(), shape)
     return cut(close.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
 
 
+def _rows_of(df: DataFrame, key: str, ids: DataFrame, schema: str) -> DataFrame:
+    """Rows of df that have these keys, and few others."""
+    slot = F.xxhash64(key).bitwiseAND(SIEVE_BITS - 1)
+    bits = bit_map(slot, ids, SIEVE_BITS)
+    return df.filter(F.col(key).isNotNull()).withColumn("slot", slot).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), schema)
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of documents of these ids, and of few others."""
-    slot = F.xxhash64("doc_id").bitwiseAND(SIEVE_BITS - 1)
-    bits = bit_map(slot, ids, SIEVE_BITS)
-    return docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(M.batches(_sieve(np.packbits(bits).tobytes())), "doc_id bigint, text string")
+    return _rows_of(docs.select("doc_id", "text"), "doc_id", ids, "doc_id bigint, text string")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, shape: Shape) -> DataFrame:
@@ -470,11 +525,11 @@ def _settled(docs: DataFrame, sets: DataFrame, tiles: DataFrame, close: DataFram
 
     named = sets.filter("doc_id is not null").join(known, F.col("doc_id") == F.col("node"), "left")
     named = named.groupBy("set").agg(F.min(F.coalesce("component", "doc_id")).alias("label"))
-    split = tiles.join(named, "set")
+    split = tiles.join(named, "set").join(_brief(sets).select("set", "bits").dropDuplicates(["set"]), "set")
     several = split.groupBy("id").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = split.join(several.filter("l <> h").select("id", "blocks"), "id").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("id", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "set", "label", "entry")
+    members = members.select("id", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "set", "label", "entry", "bits")
     schema = "id bigint, lo bigint, hi bigint, side boolean, set bigint, label bigint, entry binary"
     alive = cut(members.groupBy("id", "lo", "hi").applyInArrow(M.group(_alive(shape)), schema))
     if not alive.take(1):
@@ -510,8 +565,9 @@ def jaccard_components(docs: DataFrame, gram: int = 3, percent: int = 90, column
     Equal sets count once. Of each set the rarest shingles are tokens, so many that two sets that
     link share one; "rare" is by counts of all documents in fixed slots. A tile holds the sets of a
     token (of a common token: those of a size band and its neighbour). In a tile, sizes, the
-    token's places and the bits by which two signatures differ bound the overlap from above: 128
-    bits in the tile, then as many as a set has shingles. Pairs that remain are decided by
+    token's places and the bits by which two signatures differ bound the overlap from above: in the
+    tile 128 bits of the shingles from the token on, then a place for BRIEF shingles, then as many
+    places as a set has shingles. Pairs that remain are decided by
     intersecting their sorted sets, for each set first the pair with its least partner.
 
     Large tiles first offer each set one pair; the tile of a very common token does so in parts. Only

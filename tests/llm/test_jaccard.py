@@ -1,8 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lanewise.llm import _buckets as B
+from lanewise.llm import _words as W
 from lanewise.llm import components as components_module
 from lanewise.llm import jaccard_join
 from lanewise.llm.components import components
@@ -119,3 +123,48 @@ def test_group_at_the_threshold(spark, docs_of, monkeypatch, wide):
     want = brute(docs)
     assert 5 < len({c for *_, c in want}) < 75
     assert got(docs_of(docs)) == want
+
+
+def test_large_unlike_sets_go_no_further(spark, docs_of, monkeypatch):
+    """Sets of so many shingles that 128 bits tell nothing, in tiles of common passages: none
+    gets as far as wide signatures, and near copies among them still link."""
+    r, calls, rest = random.Random(3), [], jaccard_join._rest
+    monkeypatch.setattr(jaccard_join, "_rest", lambda *a: calls.append(a) or rest(*a))
+    passages = [" ".join(f"p{i}-{j}" for j in range(120)) for i in range(100)]
+    texts = [" ".join(r.sample(passages, 12)) for _ in range(200)]
+    docs = [*enumerate(texts), (900, texts[7] + " end"), (901, "start " + texts[8])]
+    assert got(docs_of(docs)) == brute(docs)
+    assert not calls
+
+
+def test_bounds_of_pairs():
+    """Where two sets first meet no bound rules out a pair that links, and brief signatures don't either."""
+    r, shape = random.Random(6), jaccard_join.Shape()
+    texts = []
+    for n in [3, 12, 40, 200, 700, 2500] * 5:
+        body = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for edits in (0, max(1, n // 80), n // 60):
+            for at in r.sample(range(n), edits):
+                body[at] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(body[: n - r.randrange(1 + n // 100)]))
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    found = [s for b in W.blocks(batch.column("text"), W.SPACED_LOWER) for s in jaccard_join.shingle_sets(b, 3)]
+    ranks = np.zeros(jaccard_join.SLOTS, np.uint16)
+    ranks[np.random.default_rng(1).integers(0, len(ranks), 300_000)] = 1
+    (out,) = jaccard_join._entries(shape, ranks, np.ones(2, np.uint16), 1)(iter([batch]))
+    entries = B.unpacked(out.column("part"), jaccard_join.ENTRY)
+    entries = entries[entries["home"] == 1]
+    of = {name: entries[entries["set"] == name] for name in np.unique(entries["set"]).tolist()}
+    linked = 0
+    for k, s in enumerate(found):
+        for t in found[k + 1 :]:
+            shared, a, b = len(np.intersect1d(s, t)), jaccard_join.set_hash(s, jaccard_join._SALTS[0]), jaccard_join.set_hash(t, jaccard_join._SALTS[0])
+            if a == b or 100 * shared < 90 * (len(s) + len(t) - shared):
+                continue
+            linked += 1
+            common, i, j = np.intersect1d(of[a]["token"], of[b]["token"], return_indices=True)
+            first = np.argmin(of[a]["at"][i])
+            assert len(common) and jaccard_join._may_link(shape, of[a][i[first : first + 1]], of[b][j[first : first + 1]]).all()
+            marks = [jaccard_join.brief(jaccard_join.signature(v), len(v)) for v in (s, t)]
+            assert jaccard_join.bits_apart(*marks) <= len(s) + len(t) - 2 * shared
+    assert linked > 20
